@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .exact_top_k import exact_top_k
 from .near_duplicates import near_duplicates
 from .packing import pack
 
@@ -25,10 +26,27 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = exact_top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op7_bpe": op7_bpe,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+}
