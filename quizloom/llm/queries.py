@@ -10,6 +10,7 @@ from .common import table
 from .exact_top_k import exact_top_k
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .posting_lists import nearest
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20).withColumnRenamed("id", "vec_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_decode(table(spark, sf_dir, "documents"), digests=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -35,6 +41,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
+    "op4_posting_lists": op4_posting_lists,
     "op7_bpe": op7_bpe,
     "op10_exact_top_k": op10_exact_top_k,
 }
