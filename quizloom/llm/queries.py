@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .common import table
+from .common import held_out, remainder, table
 from .exact_top_k import exact_top_k
+from .language import identify
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .posting_lists import nearest
+from .quality import THRESHOLD as GOOD
+from .quality import fit_quality, quality_score
+from .toxicity import THRESHOLD as TOXIC
+from .toxicity import fit_toxicity, toxicity_score
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +32,31 @@ def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20).withColumnRenamed("id", "vec_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), quality_score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_decode(table(spark, sf_dir, "documents"), digests=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), toxicity_score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, remainder("doc_id", 3) != 1)
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = exact_top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
@@ -42,7 +67,10 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op4_posting_lists": op4_posting_lists,
+    "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
