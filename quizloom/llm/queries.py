@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .common import held_out, remainder, table
 from .exact_top_k import exact_top_k
 from .language import identify
+from .main_text import extract
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .posting_lists import nearest
@@ -39,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_decode(table(spark, sf_dir, "documents"), digests=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_posting_lists": op4_posting_lists,
     "op5_quality": op5_quality,
+    "op6_main_text": op6_main_text,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
