@@ -15,6 +15,7 @@ from .packing import pack
 from .posting_lists import nearest
 from .quality import THRESHOLD as GOOD
 from .quality import fit_quality, quality_score
+from .secrets import scan, train
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import fit_toxicity, toxicity_score
 
@@ -24,6 +25,21 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, train(docs))
+
+    def listed(only_base: bool):
+        spans = F.filter("spans", lambda s: s["kind"] != "crf") if only_base else F.col("spans")
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex", "crf")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(True), 256).alias("base_sha256"), listed(False).alias("spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -70,6 +86,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_posting_lists": op4_posting_lists,
     "op5_quality": op5_quality,
