@@ -103,7 +103,7 @@ def escape_braces(text: Column) -> Column:
 
 def object_id(value: Column) -> Column:
     """An id that may be wrapped as {"$oid": ...}."""
-    return F.coalesce(F.get_json_object(value, "$.['$oid']"), value)
+    return F.coalesce(F.get_json_object(value, "$['$oid']"), value)
 
 
 def day(stamp: Column) -> Column:

@@ -456,3 +456,48 @@ def typography(runs: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.try_divide(F.sum(F.when(F.col("bold"), F.length("text")).otherwise(0)), n), F.lit(0.0)), 6).alias("bold_ratio"),
         F.round(F.coalesce(F.try_divide(upper, letters), F.lit(0.0)), 6).alias("upper_ratio"), F.max("font_pt").alias("font_pt"),
     )
+
+
+# Smaller steps over lines and items.
+
+
+def number_resets(items: DataFrame, key: str = "doc_id", order: str = "item_no") -> DataFrame:
+    """Flags items that begin to count anew: number 1 after a larger one (`number` is the item's)."""
+    before = F.lag("number").over(Window.partitionBy(key).orderBy(order))
+    return items.withColumn("reset", F.coalesce((F.col("number") == 1) & (before > 1), F.lit(False)))
+
+
+def best_headings(candidates: DataFrame) -> DataFrame:
+    """Of the levels proposed for a paragraph the one of highest confidence, of equal ones the smaller level."""
+    best = F.max_by("level", F.struct("confidence", (-F.col("level")).alias("l")))
+    return candidates.groupBy("doc_id", "paragraph_no").agg(best.alias("level"), F.max("confidence").alias("confidence"))
+
+
+def list_bases(paragraphs: DataFrame) -> DataFrame:
+    """What list levels are raised by within a document: 1 less the smallest one."""
+    return paragraphs.withColumn("list_base", 1 - F.min("list_level").over(Window.partitionBy("doc_id")))
+
+
+def inline_items(text: Column) -> Column:
+    """The items `1) a; 2) b` on one line, two at least, else none."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d+\)\s+[^;]+?)(?=\s*;\s*\d+\)|;?\s*$)"), 1)
+    return F.when(F.size(found) > 1, F.transform(found, lambda s: T.strip(s))).otherwise(F.array().cast("array<string>"))
+
+
+def letter_items(text: Column) -> Column:
+    """Lines that begin `а) `, each with the lines after it up to the next."""
+    parts = F.split(text, r"\n(?=[а-яА-Я]\)\s)")
+    return F.filter(F.transform(parts, lambda s: T.strip(s)), lambda s: s.rlike(T.LETTER_ITEM))
+
+
+def noted(text: Column, replacements: dict[str, str]) -> Column:
+    """Footnote digits at the words they belong to: `left` + digits, not next to other digits, becomes `left (см.сноску digits)`."""
+    for left, digits in replacements.items():
+        quoted = "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in left)
+        text = F.regexp_replace(text, rf"{quoted}{digits}(?!\d)", left.replace("\\", "\\\\").replace("$", "\\$") + f" (см.сноску {digits})")
+    return text
+
+
+def first_text(*columns: Column) -> Column:
+    """The first that is neither NULL nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

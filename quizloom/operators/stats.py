@@ -119,3 +119,23 @@ def chunk_sizes(chunks: DataFrame, key: str, text: str = "chunk_text") -> DataFr
         F.count("*").alias("chunks"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.round(F.avg(n), 6).alias("mean_len"), F.median(n).alias("median_len"),
         F.count_if(n < 500).alias("under_500"), F.count_if((n >= 500) & (n < 1000)).alias("under_1000"), F.count_if((n >= 1000) & (n < 2000)).alias("under_2000"), F.count_if(n >= 2000).alias("from_2000"),
     )
+
+
+def by_count(counts: DataFrame, label: str = "label") -> DataFrame:
+    """Categories by count, largest first, then by name."""
+    return counts.orderBy(F.desc("n"), label)
+
+
+def run_name(name: Column, mode: Column) -> Column:
+    return F.concat_ws("__", name, mode)
+
+
+def queue_name(number: Column, stamp: Column) -> Column:
+    return F.format_string("queue_%d_%s", number, stamp)
+
+
+def breakdown_lines(block: Column, scores: Column, reasons: Column) -> Column:
+    """`block: x/n`, and for each score of 0 a line with its reason."""
+    head = F.concat(block, F.lit(": "), F.aggregate(scores, F.lit(0), lambda a, x: a + x).cast("string"), F.lit("/"), F.size(scores).cast("string"))
+    pairs = F.zip_with(scores, reasons, lambda s, r: F.when(s == 0, F.concat(F.lit("  - "), F.coalesce(r, F.lit("")))))
+    return F.concat_ws("\n", head, F.nullif(F.array_join(F.array_compact(pairs), "\n"), F.lit("")))
