@@ -128,9 +128,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     labels = components(links(distinct.select("fp"), radius))
-    labelled = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")))
-    named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    classes = cut(labelled.join(named, "label").select("fp", "component_id"))
+    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp")
+    named = cut(linked.groupBy("label").agg(F.min("least_id").alias("component_id")))
+    of_linked = linked.join(named, "label").select("fp", "component_id")
+    classes = cut(distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
