@@ -76,6 +76,6 @@ def numbered_pages(rows: DataFrame, key: str, order: list, size: int) -> DataFra
 
 def shares(counts: DataFrame, value: str = "n") -> DataFrame:
     """The share in percent of each row, within 0 and 100."""
-    total = counts.agg(F.sum(value).alias("__total"))
-    share = F.when(F.col("__total") > 0, F.least(F.greatest(100.0 * F.col(value) / F.col("__total"), F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.round(share, 6)).drop("__total")
+    total = counts.agg(F.sum(value).alias("total")).scalar()
+    share = F.when(total > 0, F.least(F.greatest(100.0 * F.col(value) / total, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
+    return counts.withColumn("share", F.round(share, 6))

@@ -58,7 +58,7 @@ def dataset_stats(datasets: DataFrame, questions: DataFrame, stored: bool = Fals
 def overall(stats: DataFrame, questions: DataFrame) -> DataFrame:
     """One row: datasets, questions, states, mean progress, and the rate over all questions (not the mean of rates)."""
     one = stats.agg(F.count("*").alias("datasets"), F.sum("total_questions").alias("questions"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "processing").alias("processing"), F.round(F.avg("progress_pct"), 6).alias("mean_progress"))
-    return one.crossJoin(parsed(questions).agg(rate().alias("validation_rate")))
+    return one.withColumn("validation_rate", parsed(questions).agg(rate().alias("r")).scalar())
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
