@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .labelled import labelled_sample
 
 #: Labelled rows of each label that the log-odds are estimated on, at most.
@@ -112,17 +113,17 @@ def lexicon(sample: DataFrame) -> list:
     not stand out. At most UNITS rows are brought to the driver.
     """
     by_word = sample.select("text", "label").mapInPandas(contexts, "word string, before long, label int").distinct().groupBy("word")
-    counts = by_word.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counts = cut(by_word.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")))
     stems = F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("word") > n, F.concat(F.substring(F.col("word"), F.lit(1), n), F.lit("*"))))
     units = counts.select(F.explode(F.array_append(F.array_compact(stems), F.col("word"))).alias("unit"), "toxic", "clean")
     units = units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count("*").alias("forms"))
-    total = F.broadcast(counts.agg(F.sum("toxic").alias("nt"), F.sum("clean").alias("nc")))  # one row
-    t, c, nt, nc = (F.col(x) for x in ("t", "c", "nt", "nc"))
+    nt, nc = map(F.lit, counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first())
+    t, c = F.col("t"), F.col("c")
     prior, weight = F.lit(PRIOR) * (t + c), F.lit(PRIOR) * (nt + nc)
     odds = F.log((t + prior) / (nt + weight - t - prior)) - F.log((c + prior) / (nc + weight - c - prior))
     z = odds / F.sqrt(1 / (t + prior) + 1 / (c + prior))
     enough = (F.col("t") >= LEAST_CONTEXTS) & (~F.col("unit").endswith("*") | (F.col("forms") >= LEAST_FORMS))
-    scored = units.filter(enough).crossJoin(total).select("unit", "t", "c", "nc", odds.alias("odds"), z.alias("z"))
+    scored = units.filter(enough).select("unit", "t", "c", nc.alias("nc"), odds.alias("odds"), z.alias("z"))
     return scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "unit").limit(UNITS).collect()
 
 
