@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: So many characters of text are encoded at a time, and so many distinct words are remembered, in each Python worker.
-BLOCK_CHARS, MEMORY_WORDS = 2_000_000, 400_000
+BLOCK_CHARS, MEMORY_WORDS = 500_000, 300_000
 
 
 #: Texts without such characters are split by the patterns of the standard library, on plain classes; others by Unicode's.
@@ -47,6 +47,17 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
+def missing_at(found: list) -> list[int]:
+    """The places of None in a list."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def byte_characters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free one from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -179,12 +190,13 @@ class WordBpe:
                 self.known.clear()
             split = [self.words(t) for t in texts[first:stop]]
             found = [list(map(self.known.get, words)) for words in split]
-            missing = {w for words, own in zip(split, found) if None in own for w, x in zip(words, own) if x is None}
+            gaps = [missing_at(own) for own in found]
+            missing = list({words[i] for words, at in zip(split, gaps) for i in at})
             if missing:
-                self.learn(list(missing))
-            for words, own in zip(split, found):
-                if None in own:
-                    own = [self.known[w] for w in words]
+                self.learn(missing)
+            for words, own, at in zip(split, found, gaps):
+                for i in at:
+                    own[i] = self.known[words[i]]
                 yield b"".join([ids for ids, _ in own]), " ".join([text for _, text in own])
 
 

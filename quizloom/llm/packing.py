@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -17,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UNUSUAL, blocks, vocabulary_path
+from .bpe import UNUSUAL, blocks, missing_at, vocabulary_path
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 END_ID = 1
 #: Tokens that are packed together before windows are closed, and tokens of a step group.
 POOL_TOKENS, STEP_TOKENS = 2_000_000, 65_536
 #: So many distinct words are remembered in each Python worker.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 
 #: The fixed pattern by which byte-level vocabularies of this kind split text before merging.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -60,11 +61,14 @@ class WordCache(dict):
                 self.clear()
             pieces = [self.pieces(t) for t in texts[first:stop]]
             found = [list(map(self.get, own)) for own in pieces]
-            missing = list({x for own, ids in zip(pieces, found) if None in ids for x, i in zip(own, ids) if i is None})
+            gaps = [missing_at(ids) for ids in found]
+            missing = list({own[i] for own, at in zip(pieces, gaps) for i in at})
             for x, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self[x] = np.array(e.ids, "<u4").tobytes()
-            for own, ids in zip(pieces, found):
-                yield np.frombuffer(b"".join([self[x] for x in own] if None in ids else ids), "<u4")
+                self[x] = array("I", e.ids).tobytes()
+            for own, ids, at in zip(pieces, found, gaps):
+                for i in at:
+                    ids[i] = self[own[i]]
+                yield np.frombuffer(b"".join(ids), "<u4")
 
 
 @lru_cache(maxsize=2)
