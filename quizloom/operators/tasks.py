@@ -116,7 +116,7 @@ def invalid_transitions(events: DataFrame) -> DataFrame:
 def models_in_use(tasks: DataFrame, health: DataFrame, key: str = "queue_id") -> DataFrame:
     """Per key the distinct models of its tasks and how many of them are down; a model of unknown health counts as up."""
     used = tasks.select(key, F.explode(F.array("generation_model", "validation_model")).alias("model_id")).distinct()
-    known = used.join(F.broadcast(health), "model_id", "left")
+    known = used.join(health, "model_id", "left")
     return known.groupBy(key).agg(F.count("*").alias("models"), F.count_if(~F.col("healthy")).alias("down"))
 
 
@@ -124,7 +124,7 @@ def task_rows(tasks: DataFrame, health: DataFrame) -> DataFrame:
     """Tasks as listed: models with a mark when down, the error cut at 100 characters and only for failed ones."""
     out = tasks
     for name in ("generation_model", "validation_model"):
-        known = F.broadcast(health.select(F.col("model_id").alias(name), F.col("healthy").alias(f"{name}_up")))
+        known = health.select(F.col("model_id").alias(name), F.col("healthy").alias(f"{name}_up"))
         label = F.concat(F.col(name).cast("string"), F.when(F.col(f"{name}_up"), "").otherwise(" ⚠"))
         out = out.join(known, name, "left").withColumn(f"{name}_label", F.when(F.col(f"{name}_up").isNull(), F.col(name).cast("string")).otherwise(label))
     cut = F.when(F.length("error") > 100, F.concat(F.substring("error", 1, 100), F.lit("..."))).otherwise(F.col("error"))

@@ -31,11 +31,10 @@ def diff(old: DataFrame, new: DataFrame, key: str = "question_id") -> DataFrame:
     return found.select(key, change.alias("change"), F.when(F.col("__old") & F.col("__new"), differences(fields)).alias("fields"), *values).filter("change IS NOT NULL")
 
 
-def diff_by_position(old: DataFrame, new: DataFrame, order: str = "question_id", key: str | None = None) -> DataFrame:
-    """As diff, for versions without ids: rows of the same place within `key` (the dataset) are compared."""
-    window = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(order)
-    place = F.row_number().over(window) - 1
-    return diff(old.withColumn("position", place), new.withColumn("position", place), "position")
+def diff_by_position(old: DataFrame, new: DataFrame, dataset: str, order: str = "question_id") -> DataFrame:
+    """As diff, for versions without ids: rows of the same place within their dataset are compared."""
+    a, b = (position_ids(v, dataset, order).withColumnRenamed("question_id", "place") for v in (old, new))
+    return diff(a, b, "place")
 
 
 def new_version(headers: DataFrame, questions: DataFrame, dataset: str = "dataset_id") -> tuple[DataFrame, DataFrame]:

@@ -30,8 +30,7 @@ PLACED = """, p1 AS (SELECT *, row_number() OVER (PARTITION BY correct_answer OR
 
 @query("j04_version_diff_by_pos", diff_sql("place", PLACED, "k1", "k2"))
 def j04(spark, d):
-    old, new = (V.position_ids(v, "correct_answer", "question_id").withColumnRenamed("question_id", "place") for v in S.versions(spark, d))
-    return V.diff(old, new, "place").select("place", "change", "fields")
+    return V.diff_by_position(*S.versions(spark, d), "correct_answer").select("place", "change", "fields")
 
 
 @query("w02_position_ids", "WITH p AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part) SELECT p_partkey, p_brand || ':' || lpad(CAST(n AS VARCHAR), 5, '0') AS question_id FROM p")
