@@ -10,8 +10,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a language's dictionary, texts that it is made of at most, and the length beyond which others go first.
-DICTIONARY_BYTES, DICTIONARY_TEXTS, LONG_TEXT = 262_144, 256, 8192
+#: Bytes of a language's dictionary, texts that it is made of at most, the length beyond which others go first, and
+#: languages that are learned at most, those of most texts.
+DICTIONARY_BYTES, DICTIONARY_TEXTS, LONG_TEXT, LANGUAGES = 262_144, 256, 8192, 200
 LEVEL, PIECE_BYTES = 3, 8192
 #: A prediction whose smallest size is not smaller than the next by this share of it is rejected.
 NARROW = 0.01
@@ -31,9 +32,10 @@ def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str, row
     The ids are found without the texts; only the texts chosen are read to the driver, a fixed number for each language.
     """
     known = docs.filter(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    langs = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy("long", "hash", "id")
     ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), (F.length(text_col) > LONG_TEXT).alias("long"), F.xxhash64(id_col).alias("hash"))
-    chosen = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DICTIONARY_TEXTS).select("id", "lang", "place")
+    chosen = ranked.join(F.broadcast(langs), "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DICTIONARY_TEXTS).select("id", "lang", "place")
     texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
     found: dict[str, bytes] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
@@ -74,7 +76,7 @@ def identify(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_c
     first in order. Repeated rows and NULL ids stay; other columns are ignored.
     """
     entries = tuple(sorted(dictionaries(docs, id_col, text_col, lang_col, train_rows).items()))
-    shared = docs.sparkSession.sparkContext.broadcast(entries)  # DICTIONARY_BYTES for each language
+    shared = docs.sparkSession.sparkContext.broadcast(entries)  # DICTIONARY_BYTES for each of LANGUAGES at most
 
     @F.pandas_udf("lang string, margin double")
     def of(texts: pd.Series) -> pd.DataFrame:
