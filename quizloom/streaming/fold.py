@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,12 +28,11 @@ def folding(events: DataFrame) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder, or, where none is set, a temporary one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
+    """A fresh folder in the shared checkpoint folder; where none is set, a temporary one in local mode, else one in the warehouse."""
+    context = spark.sparkContext
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.gettempdir() if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
