@@ -24,11 +24,14 @@ def held_out(id_col: str, k: int, value: int) -> Column:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() write to spark.checkpoint.dir, or, only where that is unset (tests), to a temporary folder."""
+    """Makes checkpoint() write to spark.checkpoint.dir. Only where that is unset: in local mode, as in tests, to a temporary
+    folder, and on a cluster to a folder within the warehouse, which executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="checkpoints-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

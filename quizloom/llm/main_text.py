@@ -29,6 +29,8 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead comment comments disqus reply replies related recommended share sharing social newsletter subscribe popup modal widget toolbar search login complementary contentinfo".split()
 )
+#: Marks that within an article are its own: of its title and lead.
+OWN = frozenset("header masthead".split())
 WORDS = re.compile(r"[a-z]+")
 SMOOTH = 1.0
 
@@ -102,7 +104,8 @@ def blocks(page: str) -> list[Block]:
         marks = " ".join(x for found in NAMES.findall(m[3]) for x in found if x).lower() if m[3] else ""
         within = stack[-1][3] if stack else False
         inside = any(x[0] in ("article", "main") for x in stack)
-        apart = within or (name in APART and not (name == "header" and inside)) or (name not in ("html", "body", "article", "main") and bool(marks) and not MARKS.isdisjoint(WORDS.findall(marks)))
+        told = MARKS.intersection(WORDS.findall(marks)) if marks and name not in ("html", "body", "article", "main") else frozenset()
+        apart = within or (name in APART and not (name == "header" and inside)) or bool(told - OWN if inside else told)
         number += 1
         stack.append((name, f"{name}.{marks}" if marks else name, number, apart))
         current = None

@@ -240,6 +240,7 @@ def test_main_text_is_the_article(spark):
     [
         ('<div class="cookie-notice">We use cookies.</div><div id="main"><h1>T</h1><p>Hello world, this is a text.</p><p>Another paragraph, long enough.</p></div><div class="comments"><p>Nice, really nice one.</p></div>', "T Hello world, this is a text. Another paragraph, long enough."),
         ("<header>Site</header><h2>Title</h2><p>One para of text, long enough.</p><p>Two para of text, long enough.</p><footer>x</footer>", "Title One para of text, long enough. Two para of text, long enough."),
+        ('<article><header class="entry-header"><h1>T</h1></header><p>Body of the text.</p><aside>no</aside><div class="share-bar">no</div></article>', "T Body of the text."),
         ("<article><p>A<b>B</b>&nbsp;&lt;c&gt;<br>d<script>no</script></p></article>", "AB <c> d"),
     ],
 )
