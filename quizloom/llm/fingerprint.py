@@ -11,25 +11,35 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
-def simhash(text: str | None, width: int = 4) -> int:
-    """The 64-bit SimHash of a text as an unsigned integer.
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 of each run of `width` words, repeats included; a shorter text is one run, and one without words has none.
 
-    A-Z are lowered, words are runs of anything but ASCII white space, and each run of `width` words, joined by one
-    space, is hashed by XXH64; a shorter text is one shingle of all its words. A bit is set if over half of the hashes,
-    repeats included, have it. A text without words, or NULL, has fingerprint 0.
+    A-Z are lowered, words are runs of anything but ASCII white space, and the words of a run are joined by one space.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends[: -width + 1 or None] - np.fromiter(map(len, words), np.int64, len(words))[: -width + 1 or None] - 1).tolist()
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1)
+    starts = (ends[: -width + 1 or None] - lengths[: -width + 1 or None] - 1).tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def simhash(text: str | None, width: int = 4) -> int:
+    """The 64-bit SimHash of a text as an unsigned integer.
+
+    A bit is set if over half of the hashes of the text's shingles, repeats included, have it. A text without words, or
+    NULL, has fingerprint 0, and one of a single shingle that shingle's hash.
+    """
+    hashes = shingle_hashes(text, width)
+    if len(hashes) <= 1:
+        return int(hashes.sum())
     counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: Column, width: int = 4) -> Column:

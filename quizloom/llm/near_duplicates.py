@@ -1,20 +1,31 @@
-"""SimHash near-duplicate groups with pivot distance tables."""
+"""Near-duplicate groups: by SimHash with pivot distance tables, and by the similarity of shingle sets."""
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import cut
-from .fingerprint import SEED, fingerprint
+from .fingerprint import SEED, fingerprint, shingle_hashes
 
 RADIUS = 4
 BLOCKS, AGREE = 7, 3
 PIVOTS = 16
+#: Of similar texts: the words of a shingle and the least Jaccard similarity of the sets of shingles.
+WIDTH, SIMILARITY = 5, 0.8
+#: Least hashes of a set are taken in bands. Sets of a similarity of 0.8 agree in no band with probability (1 - 0.8^5)^40,
+#: 1.3 in 10^7, and more similar ones less often.
+BANDS, BAND_ROWS = 40, 5
+#: Bands whose leaders are compared first, so that large groups are joined by few comparisons.
+FIRST_BANDS = 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signed(value: int) -> int:
@@ -128,16 +139,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     labels = components(links(distinct.select("fp"), radius))
-    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp")
+    return grouped(rows, distinct, labels, "fp").select("id", "fp", "component_id")
+
+
+def grouped(rows: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows with the least id of their component; distinct has the least_id of each key, labels the components of linked keys."""
+    linked = distinct.join(labels.withColumnRenamed("node", key), key)
     named = cut(linked.groupBy("label").agg(F.min("least_id").alias("component_id")))
-    of_linked = linked.join(named, "label").select("fp", "component_id")
-    classes = cut(distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
-    return rows.join(classes, "fp").select("id", "fp", "component_id")
+    of_linked = linked.join(named, "label").select(key, "component_id")
+    classes = cut(distinct.join(of_linked, key, "left").select(key, F.coalesce("component_id", "least_id").alias("component_id")))
+    return rows.join(classes, key)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: of the set's least hashes under BAND_ROWS of the multipliers, and of the band's number."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (MULTIPLIERS[:, None] * shingles[None, at : at + 512]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B185EBCA87)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def sketch(text: Column, width: int) -> Column:
+    """(cls, bands) of each text: 128 bits that tell its set of shingles from others, and its keys; no keys without words."""
+
+    @F.pandas_udf("cls binary, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        classes = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
+        return pd.DataFrame({"cls": pd.Series(classes, dtype=object), "bands": pd.Series([band_keys(x) if len(x) else [] for x in sets], dtype=object)})
+
+    return of(text)
+
 
+def shingle_set(text: Column, width: int) -> Column:
+    """The sorted hashes of the text's shingles, eight bytes each."""
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group, each id once; rows with a NULL id stay."""
-    found = near_duplicates(docs, id_col, text_col, radius)
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
+
+    return of(text)
+
+
+@F.pandas_udf(LongType())
+def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The number of hashes that two sets share."""
+    found = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)]
+    return pd.Series(found, dtype="int64")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of classes those whose sets (cls, shingles) have at least this Jaccard similarity, counted exactly."""
+    a, b = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(a, "a").join(b, "b")
+    n, m = F.length("of_a") / 8, F.length("of_b") / 8
+    sized = both.filter(F.least(n, m) >= similarity * F.greatest(n, m))
+    common = sized.select("a", "b", (n + m).alias("sizes"), shared("of_a", "of_b").alias("common"))
+    return cut(common.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row (id, component_id) for each row of docs; texts are linked whose sets of shingles have at least this similarity.
+
+    Texts of one set are brought down to one class each, texts without words and NULL among them. Classes that agree in
+    a band share a bucket. First the members of a bucket are compared with its leader, in a few bands and then in all,
+    then with each other as far as they lie in different components, so that each two of a bucket are in one component
+    or compared exactly. NULL ids, repeated rows and other columns are as in near_duplicates.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the bands are made for similarities of {SIMILARITY} and more")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("digest"), sketch(text, width).alias("own")).select("id", "digest", "own.*"))
+    distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min("digest").alias("digest"), F.first("bands").alias("bands")))
+    keyed = distinct.select("cls", F.posexplode("bands").alias("band", "key"))
+    first = F.min(F.struct(F.xxhash64("key", "cls").alias("hash"), "cls"))
+    buckets = keyed.groupBy("key").agg(first["cls"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    members = cut(keyed.join(buckets, "key"))
+    wanted = distinct.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "digest")
+    found = docs.select(F.unhex(F.md5(text)).alias("digest"), text.alias("text")).join(wanted, "digest").groupBy("cls").agg(F.first("text").alias("text"))
+    sets = cut(found.select("cls", shingle_set(F.col("text"), width).alias("shingles")))
+
+    def pair(x: Column, y: Column) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def placed(labels: DataFrame) -> DataFrame:
+        """The members that are not in their leader's component, and their buckets' other members, with components."""
+        of = labels.select(F.col("node").alias("cls"), F.col("label").alias("own"))
+        of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("leading"))
+        named = members.join(of, "cls", "left").join(of_leader, "leader", "left")
+        named = named.select("key", "cls", "leader", F.coalesce("own", "cls").alias("own"), F.coalesce("leading", "leader").alias("leading"))
+        return cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
+
+    star = members.filter((F.col("band") < FIRST_BANDS) & (F.col("cls") != F.col("leader"))).select(*pair(F.col("cls"), F.col("leader"))).distinct()
+    edges = similar_pairs(star, sets, similarity)
+    rest = placed(components(edges))
+    star = rest.filter("own <> leading").select(*pair(F.col("cls"), F.col("leader"))).distinct()
+    edges = edges.union(similar_pairs(star, sets, similarity))
+    rest = placed(components(edges))
+    x, y = rest.filter("own <> leading").alias("x"), rest.filter("cls <> leader").alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.cls") < F.col("y.cls")))
+    edges = edges.union(similar_pairs(x.join(y, apart).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct(), sets, similarity))
+    return grouped(rows, distinct, components(edges), "cls").select("id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group of similar texts, each id once; rows with a NULL id stay."""
+    found = similar_texts(docs, id_col, text_col, width, similarity)
     kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept_id")).distinct()
     named = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
