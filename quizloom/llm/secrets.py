@@ -9,11 +9,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows, those of least hash, that the field is trained on, examples at most, and chains of one text that become examples.
-FIT_ROWS, FIT_CHAINS, CHAINS_OF_A_TEXT = 24_000, 6_000, 40
+from .common import cut
+
+#: Rows, those of least hash, that the field is trained on, chains with secrets and others at most, and chains of one text that become examples.
+FIT_ROWS, FIT_CHAINS, CHAINS_OF_A_TEXT = 24_000, {True: 3_000, False: 9_000}, 40
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
 PLACEHOLDER = "[SECRET]"
 
@@ -92,13 +95,15 @@ def token_features(text: str, start: int, end: int, of_file: list[str]) -> list[
 
 
 def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains with features and tags: a token that shares characters with a secret of the fixed patterns begins or continues it."""
+    """Chains with features and tags, those of least hash: a token that shares characters with a secret of the fixed patterns begins or continues it."""
     found = chains(text)
     if not found:
         return []
     of_file, secrets = file_features(text, sum(map(len, found))), [s[3:5] for s in base_spans(text)]
     out = []
-    for chain in found[:CHAINS_OF_A_TEXT]:
+    if len(found) > CHAINS_OF_A_TEXT:
+        found = sorted(found, key=lambda c: xxhash.xxh64_intdigest(f"{c[0][0]} {text[c[0][0] : c[-1][1]]}".encode("utf-8", "surrogatepass")))[:CHAINS_OF_A_TEXT]
+    for chain in found:
         tags, last = [], None
         for a, b in chain:
             hit = next((s for s in secrets if s[0] < b and a < s[1]), None)
@@ -173,12 +178,13 @@ class Field:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Trains on the rows of least hash, tagged by the fixed patterns: all chains with secrets and as many others as fit.
+    """Trains on the rows of least hash, tagged by the fixed patterns: chains with secrets and others, each kind within its own limit.
 
     Features of the chains are brought to the driver, no texts. Without chains the field marks nothing.
     """
     chosen = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = cut(texts)  # read for each kind of chain
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,11 +192,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
             yield pd.DataFrame(rows, columns=["features", "tags", "secret"])
 
     got = texts.mapInPandas(run, "features array<array<string>>, tags array<int>, secret boolean")
-    ranked = got.orderBy(F.desc("secret"), F.xxhash64("features"), "features", "tags").limit(FIT_CHAINS).collect()
-    secret = [(r["features"], r["tags"]) for r in ranked if r["secret"]]
-    others = [(r["features"], r["tags"]) for r in ranked if not r["secret"]]
+    kinds = {}
+    for kind, limit in FIT_CHAINS.items():
+        ranked = got.filter(F.col("secret") == kind).orderBy(F.xxhash64("features"), "features", "tags").limit(limit).collect()
+        kinds[kind] = [(r["features"], r["tags"]) for r in ranked]
+    secret = kinds[True]
     field = Field()
-    field.fit(secret[: FIT_CHAINS // 2] + others[: max(500, 3 * len(secret))])
+    field.fit(secret + kinds[False][: max(500, 3 * len(secret))])
     return field if secret else Field()
 
 
