@@ -141,9 +141,11 @@ def shallow_pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return best
 
 
-def fit_gam(x: np.ndarray, y: np.ndarray) -> Gam:
+def fit_gam(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> Gam:
     """Cyclic boosting: round by round, each feature in turn gets one shallow tree at a small rate; then, on what is left,
-    the pairs whose trees gain most do so. With one label only, or none, the score is the share of label 1 (0.5 if none)."""
+    the pairs whose trees gain most do so. With one label only, or none, the score is the share of label 1 (0.5 if none).
+    The base is the log-odds of the weighted rows: trees are fitted on the rows as they are, and the difference of the
+    two log-odds is added at the end, so that scores do not depend on how many rows of each label were sampled."""
     share = y.mean() if len(y) else 0.5
     if len(y) == 0 or share in (0.0, 1.0):
         return Gam(float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -177,6 +179,9 @@ def fit_gam(x: np.ndarray, y: np.ndarray) -> Gam:
             step = RATE * shallow_pair_tree(*sums(i, j))[1]
             table += step
             total += step[coarse[i], coarse[j]]
+    if weights is not None:
+        true = np.average(y, weights=weights)
+        model.base += float(np.log(true / (1 - true)) - np.log(share / (1 - share)))
     return model
 
 
@@ -188,9 +193,9 @@ def feature_array(texts: pd.Series) -> pd.Series:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Gam:
     """Fits the model on a bounded sample of labelled rows; their features, not their texts, are brought to the driver."""
     sample = labelled_sample(docs, labels, label_col, FIT_ROWS, rows, id_col, text_col)
-    got = sample.select("id", "label", feature_array("text").alias("x")).toPandas().sort_values("id")
+    got = sample.select("id", "label", "weight", feature_array("text").alias("x")).toPandas().sort_values("id")
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
-    return fit_gam(x.astype(np.float64), got["label"].to_numpy(float))
+    return fit_gam(x.astype(np.float64), got["label"].to_numpy(float), got["weight"].to_numpy(float))
 
 
 def quality_score(text: Column, model: Gam, spark) -> Column:
