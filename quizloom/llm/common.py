@@ -34,6 +34,11 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    use_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that later steps neither compute it again nor lose it with an executor."""
     use_checkpoints(df.sparkSession)
@@ -43,7 +48,6 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in a folder of its own within the shared checkpoint folder, read again."""
     spark = df.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

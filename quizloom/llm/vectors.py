@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def complete(vector: Column) -> Column:
-    """Whether a vector is there, is not empty and holds finite numbers only."""
+def complete(vector: Column, empty: bool = False) -> Column:
+    """Whether a vector is there and holds finite numbers only; whether empty ones count is told by the caller."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
+    return F.coalesce((F.size(vector) >= (0 if empty else 1)) & finite, F.lit(False))
 
 
-def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def usable(rows: DataFrame, id_col: str, vector_col: str, empty: bool = False) -> DataFrame:
     """(id, vector) of the rows with an id and a complete vector."""
     found = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    return found.filter(F.col("id").isNotNull() & complete(F.col("vector")))
+    return found.filter(F.col("id").isNotNull() & complete(F.col("vector"), empty))
 
 
 def one_of_each(queries: DataFrame) -> DataFrame:
