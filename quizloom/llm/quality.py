@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -22,12 +21,9 @@ ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 150, 60, 0.1, 5.0
 
 FEATURES = (
     "log_bytes log_words word_length upper digits symbols other_bytes spaces lines_log repeated_lines distinct_words follows_itself top_word "
-    "tripled piped shouted line_upper_max line_symbols_max line_digits_max bad_line_share line_length_max stops commas short_words long_words".split()
+    "line_upper_max line_symbols_max line_digits_max bad_line_share line_length_max stops commas short_words long_words".split()
 )
 
-TRIPLED = re.compile(r"([^\w\s])\1\1")
-SHOUTED = re.compile(r"!!(?:\s|$)")
-
 #: Kinds of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 symbol, 5 white space.
 KIND = np.zeros(256, np.int64)
 for _kind, _bytes in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"), (5, b" \t\n\r\x0b\x0c")):
@@ -63,7 +59,6 @@ def features(text: str | None) -> np.ndarray:
     out[:] = (
         np.log1p(n), np.log1p(len(words)), lengths.mean(), count[2] / letters, count[3] / n, count[4] / n, count[0] / n, count[5] / n,
         np.log1p(len(lines)), 1 - len(set(lines)) / len(lines), len(tally) / len(words), sum(map(eq, words, words[1:])) / len(words), max(tally.values()) / len(words),
-        len(TRIPLED.findall(text)) / len(words), tally.get("|", 0) / len(words), len(SHOUTED.findall(text)) / len(words),
         upper[real].max(), symbols[real].max(), digits[real].max(), sizes[bad].sum() / n, np.log1p(sizes.max()),
         text.count(".") / len(words), text.count(",") / len(words), (lengths <= 2).mean(), (lengths >= 15).mean(),
     )
@@ -199,7 +194,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: Column | None = None,
 
 
 def quality_score(text: Column, model: Gam, spark) -> Column:
-    """The score, 0 to 1, of each whole text. NULL and empty texts score as a text without any features."""
+    """The score, 0 to 1, of each whole text. NULL and empty texts score as a text without any features. Equal texts, as in
+    repeated rows, have equal scores; no other column is looked at."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -212,6 +208,6 @@ def quality_score(text: Column, model: Gam, spark) -> Column:
 
 
 def keep_good(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is at least the threshold."""
-    name = "__quality_score"
-    return docs.withColumn(name, quality_score(F.col(text_col), model, docs.sparkSession)).filter(F.col(name) >= threshold).drop(name)
+    """The rows of docs, all columns as they are and whatever their names, whose score is at least the threshold; repeated rows
+    each stay or go, and no rows give no rows."""
+    return docs.filter(quality_score(F.col(text_col), model, docs.sparkSession) >= threshold)

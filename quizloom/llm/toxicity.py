@@ -19,8 +19,8 @@ from .labelled import labelled_sample
 #: Labelled rows of each label that the log-odds are estimated on, at most.
 FIT_ROWS = {0: 8000, 1: 4000}
 THRESHOLD = 0.5
-#: Weight of the prior, as a share of all tokens; least z-score, log-odds and contexts of a unit; forms that a stem must have; units at most.
-PRIOR, LEAST_Z, LEAST_ODDS, LEAST_CONTEXTS, LEAST_FORMS, UNITS = 0.05, 3.0, 1.5, 8, 3, 20_000
+#: Weight of the prior, as a share of all tokens; least z-score, log-odds and contexts of a unit; forms that a stem must have.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_CONTEXTS, LEAST_FORMS = 0.05, 3.0, 1.5, 8, 3
 STEMS = (4, 5, 6)
 #: What a token outside the lexicon takes from a segment, and the usual constant of extreme values of segment scores.
 DRIFT, K = 0.25, 0.1
@@ -97,26 +97,33 @@ class ToxicityModel:
 
 
 def contexts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct (word, word before, label); copies and near copies of a text add few."""
+    """The distinct (word, word before, label, fold); copies and near copies of a text add few."""
     for batch in batches:
         seen = set()
-        for text, label in zip(batch["text"], batch["label"]):
+        for text, label, fold in zip(batch["text"], batch["label"], batch["fold"]):
             words = WORD.findall(text.lower())
-            seen.update((w, zlib.crc32(before.encode("utf-8", "surrogatepass")), label) for before, w in zip(["", *words], words))
-        yield pd.DataFrame(list(seen), columns=["word", "before", "label"])
+            seen.update((w, zlib.crc32(before.encode("utf-8", "surrogatepass")), label, fold) for before, w in zip(["", *words], words))
+        yield pd.DataFrame(list(seen), columns=["word", "before", "label", "fold"])
 
 
-def lexicon(sample: DataFrame) -> list:
+def unit_counts(sample: DataFrame) -> DataFrame:
+    """(word, t, c) and the same of each of two folds: the distinct words before it in toxic and in clean texts."""
+    found = sample.select("text", "label", "fold").mapInPandas(contexts, "word string, before long, label int, fold int")
+    each = found.groupBy("word", "before", "label").agg(F.max((F.col("fold") == 0).cast("int")).alias("in0"), F.max((F.col("fold") == 1).cast("int")).alias("in1"))
+    sums = [F.sum(n * (F.col("label") if name[0] == "t" else 1 - F.col("label"))).alias(name) for name, n in (("t", F.lit(1)), ("c", F.lit(1)), ("t0", F.col("in0")), ("c0", F.col("in0")), ("t1", F.col("in1")), ("c1", F.col("in1")))]
+    return cut(each.groupBy("word").agg(*sums))
+
+
+def lexicon(counts: DataFrame, fold: str = "", most: int | None = None) -> list:
     """Units, words or stems (marked by an asterisk), whose log-odds between the labels, with a Dirichlet prior from both, stand out.
 
     A unit counts once for each distinct word before it, so that what is common to many copies of one toxic text does
-    not stand out. At most UNITS rows are brought to the driver.
+    not stand out. All units that stand out in the bounded sample are taken, or the `most` that do so most.
     """
-    by_word = sample.select("text", "label").mapInPandas(contexts, "word string, before long, label int").distinct().groupBy("word")
-    counts = cut(by_word.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")))
+    counts = counts.select("word", F.col(f"t{fold}").alias("toxic"), F.col(f"c{fold}").alias("clean"))
     stems = F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("word") > n, F.concat(F.substring(F.col("word"), F.lit(1), n), F.lit("*"))))
     units = counts.select(F.explode(F.array_append(F.array_compact(stems), F.col("word"))).alias("unit"), "toxic", "clean")
-    units = units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count("*").alias("forms"))
+    units = units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum(F.signum(F.col("toxic") + F.col("clean"))).alias("forms"))
     nt, nc = map(F.lit, counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first())
     t, c = F.col("t"), F.col("c")
     prior, weight = F.lit(PRIOR) * (t + c), F.lit(PRIOR) * (nt + nc)
@@ -124,7 +131,18 @@ def lexicon(sample: DataFrame) -> list:
     z = odds / F.sqrt(1 / (t + prior) + 1 / (c + prior))
     enough = (F.col("t") >= LEAST_CONTEXTS) & (~F.col("unit").endswith("*") | (F.col("forms") >= LEAST_FORMS))
     scored = units.filter(enough).select("unit", "t", "c", nc.alias("nc"), odds.alias("odds"), z.alias("z"))
-    return scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "unit").limit(UNITS).collect()
+    found = scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "unit")
+    return (found if most is None else found.limit(most)).collect()
+
+
+def from_lexicon(found: list) -> ToxicityModel:
+    model = ToxicityModel(slope=1.0, offset=-25.0)
+    if found:
+        model.words = {r["unit"]: r["odds"] for r in found if not r["unit"].endswith("*")}
+        model.stems = {r["unit"][:-1]: r["odds"] for r in found if r["unit"].endswith("*")}
+        frequency = (sum(r["c"] for r in found) + 0.5) / (found[0]["nc"] + 1.0)
+        model.scale = extreme_value_scale(float(np.mean([r["odds"] for r in found])), min(frequency, 0.02))
+    return model
 
 
 def extreme_value_scale(odds: float, frequency: float) -> float:
@@ -139,27 +157,29 @@ def extreme_value_scale(odds: float, frequency: float) -> float:
     return high
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Estimates the lexicon on a bounded sample of labelled rows, then the calibration on the statistics of the same rows.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, rows: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_units: int | None = None
+) -> ToxicityModel:
+    """Estimates the lexicon on a bounded sample of labelled rows. The calibration is fitted to statistics that each half of the
+    sample gets from the other half's lexicon; only where a half has no lexicon of its own, the whole one stands in.
 
     Without toxic rows, or without units that stand out, every text scores the least.
     """
-    sample = labelled_sample(docs, labels, label_col, FIT_ROWS, rows, id_col, text_col)
-    model = ToxicityModel(slope=1.0, offset=-25.0)
-    found = lexicon(sample)
+    fold = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2)).cast("int").alias("fold")
+    sample = cut(labelled_sample(docs, labels, label_col, FIT_ROWS, rows, id_col, text_col).select("id", "text", "label", fold))
+    counts = unit_counts(sample)
+    found = lexicon(counts, most=most_units)
+    model = from_lexicon(found)
     if not found:
         return model
-    model.words = {r["unit"]: r["odds"] for r in found if not r["unit"].endswith("*")}
-    model.stems = {r["unit"][:-1]: r["odds"] for r in found if r["unit"].endswith("*")}
-    frequency = (sum(r["c"] for r in found) + 0.5) / (found[0]["nc"] + 1.0)
-    model.scale = extreme_value_scale(float(np.mean([r["odds"] for r in found])), min(frequency, 0.02))
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    halves = [from_lexicon(lexicon(counts, str(f), most_units) or found) for f in (0, 1)]
+    shared = sample.sparkSession.sparkContext.broadcast(halves)
 
     @F.pandas_udf("double")
-    def statistics(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.statistic(t) for t in texts], dtype=float)
+    def statistics(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        return pd.Series([shared.value[1 - f].statistic(t) for t, f in zip(texts, folds)], dtype=float)
 
-    got = sample.select("id", "label", statistics("text").alias("x")).toPandas().sort_values("id")
+    got = sample.select("id", "label", statistics("text", "fold").alias("x")).toPandas().sort_values("id")
     model.slope, model.offset = logistic(got["x"].to_numpy(float), got["label"].to_numpy(float))
     return model
 
@@ -180,7 +200,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
-    """The calibrated score, 0 to 1, of each whole text; NULL and empty texts score as a text without any hit."""
+    """The calibrated score, 0 to 1, of each whole text; NULL and empty texts score as a text without any hit. Equal texts, as
+    in repeated rows, have equal scores; no other column is looked at."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -192,17 +213,17 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
 
 
 def toxic_passages(text: Column, model: ToxicityModel, spark) -> Column:
-    """The significant passages of each text, in order: start, end (code points), score and p_value."""
+    """The significant passages of each text, in order: start, end (code points), score and p_value; none of NULL."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.udf("array<struct<start:int,end:int,score:double,p_value:double>>", useArrow=True)
-    def passages(t: str):
-        return shared.value.passages(t)
+    @F.pandas_udf("array<struct<start:int,end:int,score:double,p_value:double>>")
+    def passages(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b, "score": s, "p_value": p} for a, b, s, p in shared.value.passages(t)] for t in texts], dtype=object)
 
     return passages(text)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is below the threshold."""
-    name = "__toxicity_score"
-    return docs.withColumn(name, toxicity_score(F.col(text_col), model, docs.sparkSession)).filter(F.col(name) < threshold).drop(name)
+    """The rows of docs, all columns as they are and whatever their names, whose score is below the threshold; repeated rows
+    each stay or go, and no rows give no rows."""
+    return docs.filter(toxicity_score(F.col(text_col), model, docs.sparkSession) < threshold)
