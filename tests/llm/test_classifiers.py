@@ -78,7 +78,7 @@ def test_trees_by_all_cuts():
 
 def test_log_odds_by_plain_counts(spark):
     rng = np.random.default_rng(3)
-    common, bad = [f"w{i}" for i in range(60)], ["vile", "viler", "vilest", "grim"]
+    common, bad = [f"w{i}" for i in range(60)], ["vile", "viler", "vilest", "vileness", "grim"]
     texts = [(i, " ".join(rng.choice(common + (bad * 4 if i % 4 == 0 else []), 50)), int(i % 4 == 0), i % 2) for i in range(200)]
     counts = T.unit_counts(spark.createDataFrame(texts, "id long, text string, label int, fold int"))
     seen = {(w, before, label, fold) for _, t, label, fold in texts for before, w in zip(["", *t.split()], t.split())}
