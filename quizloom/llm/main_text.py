@@ -15,53 +15,85 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…]")
 
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page, and which of them swallow the rest of the page if they are never closed.
 RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-#: Elements that hold no article, except that an article may have its own header.
-APART = frozenset("nav footer aside form button dialog menu header head fieldset".split())
+SWALLOWING = frozenset("script style title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements of the second kind end when an element of the first begins.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 LISTS = frozenset("ul ol dl table article section div main body".split())
-#: Words of class, id and role by which pages mark what is not the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of a text and not what holds it.
+PARTS = frozenset("p li dd dt pre blockquote ul ol dl tr td th tbody thead table figure figcaption".split()) | HEADINGS
+
+#: What names tell, the signal that is fused with the ratios: elements for and against an article, and words of class, id and
+#: role against it. A word counts only if all of its parts are marks or say no more than where and what kind of box it is.
+FOR = frozenset("article main".split())
+AGAINST = frozenset("nav footer aside form button dialog menu header fieldset".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead comment comments disqus reply replies related recommended share sharing social newsletter subscribe popup modal widget toolbar search login complementary contentinfo".split()
 )
-#: Marks that within an article are its own: of its title and lead.
+BOXES = frozenset("area bar block box buttons column container form group inner item items left links list main outer page panel post posts right section site slot top bottom unit wrap wrapper articles stories".split())
+#: Of an article's own parts, in its header: its title and lead.
 OWN = frozenset("header masthead".split())
-WORDS = re.compile(r"[a-z]+")
+FAVOUR, PENALTY = 4.0, 0.1
+#: Elements that hold no article at all, however much they have.
+NEVER = frozenset("nav footer menu".split())
 SMOOTH = 1.0
 
 
 class Block:
-    """A run of text of one block element: its tag path, the numbers of the elements on it, and the text's pieces."""
+    """A run of text of one block element: its tag path, the numbers of the elements on it, the text's pieces, and how many of
+    its characters are links."""
 
-    __slots__ = ("path", "line", "pieces", "heading")
+    __slots__ = ("path", "line", "pieces", "linked")
 
-    def __init__(self, path: tuple[str, ...], line: tuple[int, ...], heading: bool):
-        self.path, self.line, self.heading, self.pieces = path, line, heading, []
+    def __init__(self, path: tuple[str, ...], line: tuple[int, ...]):
+        self.path, self.line, self.pieces, self.linked = path, line, [], 0
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
+def name_of(component: str) -> str:
+    return component.partition(".")[0]
+
+
+def told(component: str) -> str:
+    """What a path's component tells by its name or marks: `for`, `against`, `own` (of a header), or nothing."""
+    name, _, marks = component.partition(".")
+    if name in FOR:
+        return "for"
+    for word in marks.split():
+        parts = [p for p in re.split(r"[^a-z]+", word) if p]
+        found = MARKS.intersection(parts)
+        if found and all(p in MARKS or p in BOXES for p in parts):
+            return "own" if found <= OWN else "against"
+    return ("own" if name in OWN else "against") if name in AGAINST else ""
+
+
+def signal(path: tuple[str, ...]) -> float:
+    """The names' part of a path's value: a factor for each thing that is told, at most one in favour."""
+    tells = [told(c) for c in path]
+    return (FAVOUR if "for" in tells else 1.0) * PENALTY ** sum(t == "against" or (t == "own" and "for" not in tells) for t in tells)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what stands in elements that are no article by their name or marks."""
+    """The page's blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, path component, number, whether it is apart
-    number = at = 0
+    stack: list[tuple[str, str, int]] = []  # name, path component, number
+    number = at = links = 0
     current: Block | None = None
 
     def add(piece: str) -> None:
         nonlocal current
-        if stack and stack[-1][3]:
-            return
         if current is None:
-            current = Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack), bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            current = Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack))
             out.append(current)
         current.pieces.append(piece)
+        current.linked += len(piece) if links else 0
 
     def close(names: tuple[str, ...], barrier: frozenset[str]) -> None:
         nonlocal current
@@ -73,7 +105,6 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in barrier:
                 return
 
-    raw_end = None
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
@@ -83,63 +114,108 @@ def blocks(page: str) -> list[Block]:
         name = m[2]
         if name is None:
             continue
-        name = name.lower()
+        name, closed = name.lower(), m[3].endswith("/")
+        if name == "a":
+            links = 0 if m[1] else 1
         if m[1]:
             if name not in INLINE:
                 close((name,), frozenset())
-                current = None
+                current, links = None, 0
             continue
-        if name in RAW:
-            raw_end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = raw_end.end() if raw_end else len(page)
+        if name in RAW and not (closed and name in ("svg", "math")):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page) if name in SWALLOWING else at
             continue
         if name in ("br", "hr"):
             add(" ")
-        if name in VOID or name in INLINE or m[3].endswith("/"):
+        if name in VOID or name in INLINE or closed:
             continue
         if name in ENDS:
             close(ENDS[name], LISTS)
         elif stack and stack[-1][0] == "p":
             close(("p",), LISTS)
         marks = " ".join(x for found in NAMES.findall(m[3]) for x in found if x).lower() if m[3] else ""
-        within = stack[-1][3] if stack else False
-        inside = any(x[0] in ("article", "main") for x in stack)
-        told = MARKS.intersection(WORDS.findall(marks)) if marks and name not in ("html", "body", "article", "main") else frozenset()
-        apart = within or (name in APART and not (name == "header" and inside)) or bool(told - OWN if inside else told)
         number += 1
-        stack.append((name, f"{name}.{marks}" if marks else name, number, apart))
-        current = None
+        stack.append((name, f"{name}.{marks}" if marks else name, number))
+        current, links = None, 0
     if at < len(page):
         add(page[at:])
     return out
 
 
+def smoothed(values: np.ndarray) -> np.ndarray:
+    """A Gaussian mean over neighbours; at the ends over those that are there."""
+    reach = int(3 * SMOOTH)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SMOOTH) ** 2)
+    weight = np.convolve(np.ones(len(values)), kernel)[reach:-reach]
+    return np.convolve(values, kernel)[reach:-reach] / weight
+
+
 def selected(texts: list[str], made: list[Block]) -> np.ndarray:
-    """Which blocks are content by their paths.
+    """Which blocks are content: all those of the tag paths that reach the threshold.
 
-    Of each tag path: the text length per block and the punctuation per block. Their fusion, as a sequence over the
-    page's blocks, is smoothed by a Gaussian; content is what lies above the threshold, the standard deviation of the
-    sequence, but no more than a third of its largest value.
+    Of each tag path: the length of text that is no link, and the punctuation, both for each of its blocks. As sequences
+    over the page's blocks both ratios are smoothed; the fusion is the product of the raw and smoothed lengths' geometric
+    mean, of one plus that of punctuation, and of what the path's names tell. A path has the mean of its blocks'
+    values. The threshold is the standard deviation of the values over the blocks, but no more than a third of the largest.
     """
     sums: dict[tuple[str, ...], list[float]] = {}
     for text, block in zip(texts, made):
         own = sums.setdefault(block.path, [0.0, 0.0, 0.0])
-        own[0] += len(text)
+        own[0] += max(len(text) - block.linked, 0) + 0.1 * min(block.linked, len(text))
         own[1] += len(PUNCTUATION.findall(text))
         own[2] += 1
-    fused = np.array([sums[b.path][0] / sums[b.path][2] * (1 + sums[b.path][1] / sums[b.path][2]) for b in made])
-    reach = int(3 * SMOOTH)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SMOOTH) ** 2)
-    weight = np.convolve(np.ones(len(fused)), kernel)[reach:-reach]
-    smooth = np.convolve(fused, kernel)[reach:-reach] / weight
-    return smooth >= min(smooth.std(), smooth.max() / 3)
+    length, marks = (np.array([sums[b.path][i] / sums[b.path][2] for b in made]) for i in (0, 1))
+    names = {path: signal(path) for path in sums}
+    fused = np.sqrt(length * smoothed(length)) * (1 + np.sqrt(marks * smoothed(marks))) * np.array([names[b.path] for b in made])
+    value = dict.fromkeys(sums, 0.0)
+    for block, own in zip(made, fused):
+        value[block.path] += own / sums[block.path][2]
+    values = np.array([value[b.path] for b in made])
+    return values >= min(values.std(), values.max() / 3)
+
+
+def holder(texts: list[str], made: list[Block], content: np.ndarray) -> int:
+    """The element that holds the article, 0 for the page: from the deepest one with nearly all selected blocks and nearly all of
+    their text up to what holds it as a part, to siblings with selected text or headings, and to the article or main
+    element around it."""
+    mass: dict[int, int] = {}
+    count: dict[int, int] = {}
+    line: dict[int, tuple[int, ...]] = {}
+    path: dict[int, tuple[str, ...]] = {}
+    heads: set[int] = set()
+    for block, text, good in zip(made, texts, content):
+        for depth, element in enumerate(block.line):
+            line[element], path[element] = block.line[: depth + 1], block.path[: depth + 1]
+            if good:
+                mass[element], count[element] = mass.get(element, 0) + len(text), count.get(element, 0) + 1
+        if block.path and name_of(block.path[-1]) in HEADINGS and not any(told(c) in ("against", "own") for c in block.path):
+            heads.update(block.line)
+    total = sum(len(t) for t, good in zip(texts, content) if good)
+    article = max((e for e, m in mass.items() if m >= 0.9 * total and count[e] >= 0.9 * content.sum()), default=0)
+    if not article:
+        return 0
+    around = [e for e, c in zip(line[article], path[article]) if name_of(c) == "article"] or [e for e, c in zip(line[article], path[article]) if name_of(c) == "main"]
+    if around:
+        return around[-1]
+    while article:
+        parent = line[article][-2] if len(line[article]) > 1 else 0
+        top = name_of(path[article][-1])
+        if top in ("html", "body"):
+            return 0
+        siblings = [e for e in line if len(line[e]) == len(line[article]) and line[e][:-1] == line[article][:-1] and e != article]
+        if top not in PARTS and not any((e in heads or mass.get(e)) and told(path[e][-1]) not in ("against", "own") for e in siblings):
+            return article
+        article = parent
+    return 0
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: blocks in order, joined by one space; empty if there is none.
 
-    The deepest element that holds nearly all of the content that the ratios select is the article, and all its blocks
-    are returned. If that is the whole page, the selected blocks are, and the headings between them.
+    The ratios select paths; the element that holds them is the article. Of its blocks all are returned but those that
+    names within it tell against and the ratios do not select. If the whole page is the holder, the selected blocks are,
+    with what stands between them and the heading before, unless names tell against that.
     """
     made = blocks(page or "")
     texts = [b.text() for b in made]
@@ -147,22 +223,21 @@ def main_text(page: str | None) -> str:
     if not made:
         return ""
     content = selected(texts, made)
-    mass: dict[int, int] = {}
-    for block, text, good in zip(made, texts, content):
-        if good:
-            for element in block.line:
-                mass[element] = mass.get(element, 0) + len(text)
-    total = sum(len(t) for t, good in zip(texts, content) if good)
-    holders = [e for e, m in mass.items() if m >= 0.9 * total]
-    article = max(holders, default=0)
-    path = next((b.path[b.line.index(article)] for b in made if article in b.line), "body")
-    if path.partition(".")[0] in ("html", "body"):
+    never = np.array([bool(NEVER.intersection(map(name_of, b.path))) for b in made])
+    if never[content].all():
+        return ""
+    article = holder(texts, made, content)
+    if article:
+        keep = []
+        for block, good in zip(made, content):
+            below = block.path[block.line.index(article) + 1 :] if article in block.line else None
+            keep.append(below is not None and (good or not any(told(c) == "against" for c in below)))
+    else:
         first, last = int(np.argmax(content)), len(content) - 1 - int(np.argmax(content[::-1]))
-        return " ".join(t for i, (b, t) in enumerate(zip(made, texts)) if content[i] or (b.heading and first - 1 <= i <= last))
-    parent = next((b.line[b.line.index(article) - 1] for b in made if article in b.line and b.line.index(article) > 0), article)
-    if path.partition(".")[0] in ("p", "ul", "ol", "blockquote", "table"):
-        article = parent
-    return " ".join(t for b, t in zip(made, texts) if article in b.line)
+        if first and name_of(made[first - 1].path[-1] if made[first - 1].path else "") in HEADINGS:
+            first -= 1
+        keep = [good or (first <= i <= last and not any(told(c) for c in b.path)) for i, (b, good) in enumerate(zip(made, content))]
+    return " ".join(t for t, kept, out in zip(texts, keep, never) if kept and not out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

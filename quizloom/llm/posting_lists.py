@@ -177,20 +177,23 @@ class Index:
 
     def fit_ratio(self, sample: np.ndarray, k: int) -> None:
         """The least ratio at which sampled rows, as queries, find RECALL of their k nearest in the sample."""
-        held = self.posted(sample)
         mine = np.full((len(sample), REPLICAS), -1)
-        place = np.arange(len(held)) - np.searchsorted(held[:, 0], held[:, 0])
-        mine[held[:, 0], place] = held[:, 1]
-        asked = np.linspace(0, len(sample) - 1, min(len(sample), 512)).astype(int)
-        scores = sample[asked] @ sample.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-        far = np.sqrt(squared(lifted(sample[asked], self.longest, True), self.graph.centroids))
-        relative = far / np.maximum(np.sort(far, axis=1)[:, :NEAR].mean(axis=1, keepdims=True), 1e-12)
-        padded = np.column_stack([relative, np.full(len(asked), np.inf)])
-        needed = padded[np.arange(len(asked))[:, None, None], mine[near]].min(axis=2)
-        if needed.size:
-            self.ratio = float(np.quantile(needed, RECALL))
+        for first in range(0, len(sample), 1024):
+            held = self.posted(sample[first : first + 1024])
+            mine[first + held[:, 0], np.arange(len(held)) - np.searchsorted(held[:, 0], held[:, 0])] = held[:, 1]
+        needed = []
+        width = min(k, len(sample) - 1)
+        for q in np.array_split(np.linspace(0, len(sample) - 1, min(len(sample), 512)).astype(int), 16):
+            if len(q) and width:
+                scores = sample[q] @ sample.T
+                scores[np.arange(len(q)), q] = -np.inf
+                near = np.argpartition(scores, len(sample) - width, axis=1)[:, len(sample) - width :]
+                far = np.sqrt(squared(lifted(sample[q], self.longest, True), self.graph.centroids))
+                relative = far / np.maximum(np.sort(far, axis=1)[:, :NEAR].mean(axis=1, keepdims=True), 1e-12)
+                padded = np.column_stack([relative, np.full(len(q), np.inf)])
+                needed.append(padded[np.arange(len(q))[:, None, None], mine[near]].min(axis=2).ravel())
+        if needed:
+            self.ratio = float(np.quantile(np.concatenate(needed), RECALL))
 
 
 def second_level(count_of: float, first: np.ndarray, longest: float):
