@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows, those of least hash, that the field is trained on, chains with secrets and others at most, and chains of one text that become examples.
-FIT_ROWS, FIT_CHAINS, CHAINS_OF_A_TEXT = 24_000, {True: 3_000, False: 9_000}, 40
-EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+#: Rows, those of least hash, that the field is trained on; windows with secrets and others of them, at most; windows of one text.
+FIT_ROWS, FIT_WINDOWS, WINDOWS_OF_A_TEXT = 24_000, {True: 1_500, False: 3_500}, {True: 8, False: 4}
+#: Tokens of a window, and those before its secret. Least times that a feature stands in the windows to have weights.
+WINDOW, LEAD, LEAST_COUNT = 48, 10, 3
+EPOCHS, BATCH, RATE, RIDGE = 8, 256, 0.2, 1e-4
 PLACEHOLDER = "[SECRET]"
 
 #: The fixed patterns, in their order: the kind, the pattern, the group that is the secret, its least length.
@@ -30,12 +32,15 @@ PATTERNS = (
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"pass|secret|token|api", re.I)
 
-#: Tokens that may be secrets: long ones, or ones with a digit. All others are outside by definition.
-ACTIVE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{6,}|[A-Za-z0-9+/_=-]{20,})")
-BESIDE = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
+#: Tokens, each with the white space before it: they end where the case, or the kind of character, changes. All text is tokens.
+TOKEN = re.compile(r"\s*(?:[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^\W0-9_A-Za-z]+|\S)|\s+\Z")
+#: Symbols that keys have within; others end a run of tokens.
+JOINS = frozenset("+/_.-")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Inside may not follow outside, nor begin a chain.
 FORBIDDEN = -1e9
+#: Types of tokens that a task remembers.
+REMEMBERED = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
@@ -50,180 +55,368 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
     return [(a, kind, b, c, d) for a, _, kind, b, c, d in sorted(found)]
 
 
-def shape(token: str) -> str:
-    """Runs of a kind of character as one letter: `aA0` and the symbols as they are."""
-    kinds = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", token)))
-    return kinds if len(kinds) <= 12 else kinds[:6] + "~" + "".join(sorted(set(kinds)))
+HEX = frozenset("0123456789abcdef")
 
 
-def entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+def kind_of(word: str) -> str:
+    if not word:
+        return "end"
+    if word[0].isdigit():
+        return "0"
+    if not word.isascii() or not word.isalpha():
+        return "other" if word[0].isalpha() else word[0]
+    return "a" if word.islower() else "A" if word.isupper() else "Aa"
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the active tokens, in chains whose members only white space sets apart. A token of another kind is
-    outside for certain, so that decoding chain by chain is decoding the whole text."""
-    out: list[list[tuple[int, int]]] = []
-    end = -1
-    for m in ACTIVE.finditer(text):
-        if out and (m.start() == end or text[end : m.start()].isspace()):
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
-        end = m.end()
-    return out
+def shape_of(token: str, word: str, lower: str, kind: str) -> tuple[str, str, int, int, bool]:
+    """What is told of a token without the word itself: its kind, what stands before it, its size, vowels, and whether it is hexadecimal."""
+    n = len(word)
+    space = "glued" if n == len(token) else "line" if "\n" in token else "space"
+    size = n if n < 8 else 8 if n < 12 else min(n.bit_length() + 5, 14)
+    if n > 64:
+        return kind, space, size, -1, False
+    vowels = lower.count("a") + lower.count("e") + lower.count("i") + lower.count("o") + lower.count("u")
+    return kind, space, size, vowels if n <= 8 else 8 * vowels // n, HEX.issuperset(lower)
 
 
-def file_features(text: str, count: int) -> list[str]:
-    words = text.count(" ") + 1
-    return [f"file length {int(math.log2(words + 1))}", f"file rate {int(math.log2(1000 * count / words + 1))}", "file symbols" if text.count("%%%") + text.count("&&&") > 5 else "file plain"]
+def shape_features(kind: str, space: str, size: int, vowels: int, hexadecimal: bool) -> list[str]:
+    return ["bias", f"{kind} {space}", f"{kind} {size}", f"{kind} {size} {space}", f"{kind} {size} {vowels}", f"hex {kind} {hexadecimal} {space}"]
 
 
-def token_features(text: str, start: int, end: int, of_file: list[str]) -> list[str]:
-    token = text[start:end]
-    before, after = BESIDE.findall(text[max(0, start - 48) : start]), BESIDE.findall(text[end : end + 48])
-    before, after = ["<s>", "<s>", *before][-2:], [*after, "</s>", "</s>"][:2]
-    letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
-    hexadecimal = not set(token) - set("0123456789abcdef")
-    return [
-        "bias", f"shape {shape(token)}", f"length {min(len(token) // 4, 12)}", f"digits {int(8 * digits / len(token))}", f"entropy {int(2 * entropy(token))}",
-        f"kinds {letters > 0}{digits > 0}{token.lower() != token}{token.upper() != token}{hexadecimal}", f"hex {hexadecimal} {min(len(token) // 8, 6)}", f"head {token[:4] if token[:4].isupper() else '-'}",
-        f"before {before[1].lower()}", f"second before {before[0].lower()}", f"beside {before[1][-1:]}{after[0][:1]}" if not before[1].isalnum() else "beside word",
-        f"after {after[0].lower()}", f"second after {after[1].lower()}", *of_file,
-    ]
+def own_features(token: str) -> list[str]:
+    """What a token's shape and letters tell."""
+    word = token.lstrip()
+    lower = word.lower()
+    return [*shape_features(*shape_of(token, word, lower, kind_of(word))), f"word {lower[:16]}"]
+
+
+def beside_kind(place: int, kind: str, glued: bool) -> str:
+    return f"{place} kind {kind} {glued}"
+
+
+def beside_features(token: str, place: int) -> list[str]:
+    """What a token tells about one that is so many places away."""
+    word = token.lstrip()
+    return [f"{place} word {word[:16].lower()}", beside_kind(place, kind_of(word), len(word) == len(token))]
+
+
+#: Places of neighbours, in tokens from the one that is tagged.
+PLACES = (-3, -2, -1, 1)
 
 
-def examples(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains with features and tags, those of least hash: a token that shares characters with a secret of the fixed patterns begins or continues it."""
-    found = chains(text)
-    if not found:
+def numbers_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens' numbers (length, white space before, line break in it, digit, breaks a run), a row each: starts and ends in the text, which begin a line, and the code
+    of each one's run, by its length, number of tokens and digits."""
+    ends = np.cumsum(table[:, 0])
+    starts, lines = ends - table[:, 0] + table[:, 1], table[:, 2] > 0
+    begins = (table[:, 1] > 0) | (table[:, 4] > 0)
+    begins[1:] |= table[:-1, 4] > 0
+    lines[0] = begins[0] = True
+    run = np.cumsum(begins) - 1
+    size, count = np.bincount(run, ends - starts), np.bincount(run)
+    digits = np.bincount(run, (table[:, 3] == 1) * (ends - starts))
+    code = np.minimum(np.log2(np.maximum(size, 1)).astype(int), 7) * 18 + np.minimum(np.log2(count).astype(int), 5) * 3 + np.where(digits == 0, 0, np.where(digits < size, 1, 2))
+    return starts, ends, lines, code[run]
+
+
+def type_of(token: str) -> tuple[int, int, bool, bool, bool]:
+    word = token.lstrip()
+    lead = token[: len(token) - len(word)]
+    return len(token), len(lead), "\n" in lead or "\r" in lead, word[:1].isdigit(), bool(word) and not word[0].isalnum() and word[0] not in JOINS
+
+
+def file_code(n_tokens: int, n_digits: int) -> int:
+    """Features of the file: how long it is, and how many of its tokens are digits."""
+    return min(int(math.log2(n_tokens + 1)), 15) * 8 + min(int(math.log2(1 + 256 * n_digits / (n_tokens + 1))), 7)
+
+
+def window_features(tokens: list[str], codes: list[int], file: int) -> list[list[str]]:
+    padded = ["", "", "", *tokens, ""]
+    return [
+        own_features(t) + [f for p in PLACES for f in beside_features(padded[i + 3 + p], p)] + [f"run {c}", f"file {file}", f"file {file % 8} {kind_of(t.lstrip())}"]
+        for i, (t, c) in enumerate(zip(tokens, codes))
+    ]
+
+
+def windows(text: str) -> list[tuple[bool, list[str], list[int], int, list[int]]]:
+    """Of a text, by hashes: windows around secrets of the fixed patterns and others, around digits and anywhere: whether there is
+    a secret, tokens, codes of runs, the file's code, and tags. In two of three windows with a secret what stands before it is
+    hidden, words replaced by others of the text, and in half of these the secret's own beginning is, too, if it is one that
+    a pattern looks for; so shape and neighbours must carry the tag."""
+    tokens = TOKEN.findall(text)
+    if not tokens:
         return []
-    of_file, secrets = file_features(text, sum(map(len, found))), [s[3:5] for s in base_spans(text)]
+    types = np.array(list(map(type_of, tokens)), np.int64)
+    starts, ends, _, codes = numbers_of(types)
+    digits = np.flatnonzero(types[:, 3])
+    file = file_code(len(tokens), len(digits))
+    tags = np.zeros(len(tokens), int)
+    spans: list[tuple[int, int]] = []
+    for _, _, _, a, b in sorted(base_spans(text), key=lambda s: s[3:5]):
+        if spans and a < spans[-1][1]:
+            spans[-1] = spans[-1][0], max(b, spans[-1][1])
+        else:
+            spans.append((a, b))
+    firsts = []
+    for a, b in spans:
+        first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
+        tags[first:last], firsts = INSIDE, [*firsts, first]
+        tags[first] = BEGIN
+
+    def rank(i: int) -> int:
+        return xxhash.xxh64_intdigest(f"{i} {text[starts[i] : starts[i] + 64]}".encode("utf-8", "surrogatepass"))
+
+    def window(first: int, size: int = WINDOW) -> slice:
+        return slice(max(0, first), min(len(tokens), max(0, first) + size))
+
     out = []
-    if len(found) > CHAINS_OF_A_TEXT:
-        found = sorted(found, key=lambda c: xxhash.xxh64_intdigest(f"{c[0][0]} {text[c[0][0] : c[-1][1]]}".encode("utf-8", "surrogatepass")))[:CHAINS_OF_A_TEXT]
-    for chain in found:
-        tags, last = [], None
-        for a, b in chain:
-            hit = next((s for s in secrets if s[0] < b and a < s[1]), None)
-            tags.append(OUTSIDE if hit is None else INSIDE if hit == last else BEGIN)
-            last = hit
-        out.append(([token_features(text, a, b, of_file) for a, b in chain], tags))
+    for first in sorted(firsts, key=rank)[: WINDOWS_OF_A_TEXT[True]]:
+        w, turn = window(first - LEAD), rank(first) % 6
+        own = tokens[w]
+        if turn >= 2:
+            words = [t.lstrip() for t in tokens[:400] if t.strip().isalpha() and not KEYWORD.search(t)] or ["x"]
+            for i in range(first - w.start):
+                if own[i].strip().isalpha():
+                    own[i] = own[i][: len(own[i]) - len(own[i].lstrip())] + words[(turn + 7 * i + first) % len(words)]
+            if turn >= 4 and own[first - w.start].lstrip().startswith("AKIA"):
+                at = first - w.start
+                other = "".join(chr(65 + (rank(first) >> (5 * k)) % 26) for k in range(4))
+                own[at] = own[at].replace("AKIA", other, 1)
+        out.append((True, own, codes[w].tolist(), file, tags[w].tolist()))
+    free = [int(i) for i in digits if not tags[window(int(i) - LEAD)].any()]
+    some = sorted(free, key=rank)[: WINDOWS_OF_A_TEXT[False] // 2]
+    some += sorted((i for i in np.linspace(0, len(tokens) - 1, 8).astype(int).tolist() if not tags[window(i - LEAD)].any()), key=rank)[: WINDOWS_OF_A_TEXT[False] // 2]
+    out += [(False, tokens[w], codes[w].tolist(), file, tags[w].tolist()) for w in (window(i - LEAD) for i in dict.fromkeys(some))]
     return out
 
 
 class Field:
-    """Weights of (feature, tag) and of transitions."""
+    """A linear chain: weights of (feature, tag) and of moves between tags."""
 
     def __init__(self) -> None:
-        self.weights: dict[str, np.ndarray] = {}
+        self.index: dict[str, int] = {}
+        self.weights = np.zeros((1, 3))  # row 0 is for features that are not known
         self.moves = np.zeros((3, 3))
 
-    def emissions(self, features: list[list[str]]) -> np.ndarray:
-        zero = np.zeros(3)
-        return np.array([sum((self.weights.get(f, zero) for f in own), zero) for own in features])
-
     def allowed(self) -> np.ndarray:
         moves = self.moves.copy()
         moves[OUTSIDE, INSIDE] = FORBIDDEN
         return moves
 
+    def vector(self, features: list[str]) -> np.ndarray:
+        return self.weights[[self.index.get(f, 0) for f in features]].sum(axis=0)
+
+    def emissions(self, features: list[list[str]]) -> np.ndarray:
+        return np.array([self.vector(own) for own in features])
+
     def decode(self, emissions: np.ndarray) -> list[int]:
-        """The best sequence of tags, by Viterbi."""
-        moves, best, back = self.allowed(), emissions[0].copy(), []
+        """The best sequence of tags, by Viterbi; before it stands a token outside."""
+        moves, best, back = self.allowed(), emissions[0] + self.moves[OUTSIDE], []
         best[INSIDE] = FORBIDDEN
         for own in emissions[1:]:
             ways = best[:, None] + moves
             back.append(ways.argmax(axis=0))
             best = ways.max(axis=0) + own
-        tags = [int(best.argmax())]
+        tags = [int((best + self.moves[:, OUTSIDE]).argmax())]
         for step in reversed(back):
             tags.append(int(step[tags[-1]]))
         return tags[::-1]
 
-    def expectations(self, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of tags and sums of those of moves, by the forward and backward recursions."""
-        n, moves = len(emissions), self.allowed()
-        forward, backward = np.empty((n, 3)), np.zeros((n, 3))
-        forward[0] = emissions[0]
-        forward[0, INSIDE] = FORBIDDEN
-        for i in range(1, n):
-            forward[i] = np.logaddexp.reduce(forward[i - 1][:, None] + moves, axis=0) + emissions[i]
-        for i in range(n - 2, -1, -1):
-            backward[i] = np.logaddexp.reduce(moves + (emissions[i + 1] + backward[i + 1])[None, :], axis=1)
-        total = np.logaddexp.reduce(forward[-1])
+    def expectations(self, emissions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of chains (chain, token, tag), padded to one length: probabilities of tags, and sums of those of moves, by the forward
+        and backward recursions. A token outside stands before and after each chain."""
+        moves, (n, width, _) = self.allowed(), emissions.shape
+        start, end = self.moves[OUTSIDE].copy(), self.moves[:, OUTSIDE]
+        start[INSIDE] = FORBIDDEN
+        forward, backward = np.empty(emissions.shape), np.zeros(emissions.shape)
+        forward[:, 0] = emissions[:, 0] + start
+        for i in range(1, width):
+            forward[:, i] = log_sum(forward[:, i - 1, :, None] + moves, 1) + emissions[:, i]
+        backward[:, width - 1] = end
+        for i in range(width - 2, -1, -1):
+            onward = log_sum(moves[None] + (emissions[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
+            backward[:, i] = np.where((lengths - 1 == i)[:, None], end, onward)
+        rows = np.arange(n)
+        total = log_sum(forward[rows, lengths - 1] + end, 1)
+        inside = np.arange(width)[None, :] < lengths[:, None]
+        marginal = np.exp(np.minimum(forward + backward - total[:, None, None], 0)) * inside[:, :, None]
         pairs = np.zeros((3, 3))
-        for i in range(1, n):
-            pairs += np.exp(forward[i - 1][:, None] + moves + (emissions[i] + backward[i])[None, :] - total)
-        return np.exp(forward + backward - total), pairs
+        for i in range(1, width):
+            each = forward[:, i - 1, :, None] + moves + (emissions[:, i] + backward[:, i])[:, None, :] - total[:, None, None]
+            pairs += np.exp(np.minimum(each, 0))[inside[:, i]].sum(axis=0)
+        pairs[OUTSIDE] += marginal[:, 0].sum(axis=0)
+        pairs[:, OUTSIDE] += marginal[rows, lengths - 1].sum(axis=0)
+        return marginal, pairs
 
     def fit(self, data: list[tuple[list[list[str]], list[int]]], seed: int = 0) -> None:
-        """Stochastic gradient steps on the likelihood, with decay."""
+        """Gradient steps on the likelihood, each weight with a rate of its own that falls with its gradients, and a ridge."""
+        counts = Counter(f for features, _ in data for own in features for f in own)
+        self.index = {f: i for i, f in enumerate((f for f, n in counts.items() if n >= min(LEAST_COUNT, len(data))), 1)}
+        self.weights = np.zeros((len(self.index) + 1, 3))
+        width, depth = max(len(tags) for _, tags in data), max(len(own) for features, _ in data for own in features)
+        ids, gold = np.zeros((len(data), width, depth), np.int32), np.zeros((len(data), width), np.int8)
+        lengths = np.array([len(tags) for _, tags in data])
+        for k, (features, tags) in enumerate(data):
+            gold[k, : len(tags)] = tags
+            for i, own in enumerate(features):
+                ids[k, i, : len(own)] = [self.index.get(f, 0) for f in own]
+        seen, seen_moves = np.full(self.weights.shape, 1e-3), np.full((3, 3), 1e-3)
         order = np.random.default_rng(seed)
-        for epoch in range(EPOCHS):
-            rate = RATE / (1 + epoch)
-            for k in order.permutation(len(data)):
-                features, tags = data[k]
-                marginal, pairs = self.expectations(self.emissions(features))
-                for own, tag, p in zip(features, tags, marginal):
-                    step = -rate * p
-                    step[tag] += rate
-                    for f in own:
-                        w = self.weights.get(f)
-                        self.weights[f] = step.copy() if w is None else w * (1 - rate * DECAY) + step
-                self.moves -= rate * pairs
-                for a, b in zip(tags, tags[1:]):
-                    self.moves[a, b] += rate
+        for _ in range(EPOCHS):
+            for at in np.array_split(order.permutation(len(data)), -(-len(data) // BATCH)):
+                own, n = ids[at], lengths[at]
+                emissions = self.weights[own].sum(axis=2)
+                marginal, pairs = self.expectations(emissions, n)
+                inside = np.arange(width)[None, :] < n[:, None]
+                wanted = np.eye(3)[gold[at]] * inside[:, :, None]
+                moved = np.zeros((3, 3))
+                for a, b, both in zip(gold[at][:, :-1].ravel(), gold[at][:, 1:].ravel(), inside[:, 1:].ravel()):
+                    moved[a, b] += both
+                moved[OUTSIDE] += np.bincount(gold[at][:, 0], minlength=3)
+                moved[:, OUTSIDE] += np.bincount(gold[at][np.arange(len(at)), n - 1], minlength=3)
+                rest = np.repeat((wanted - marginal).reshape(-1, 3), depth, axis=0)
+                step = np.stack([np.bincount(own.ravel(), rest[:, c], len(self.weights)) for c in range(3)], axis=1) - RIDGE * len(at) * self.weights
+                step[0] = 0
+                seen += step**2
+                self.weights += RATE * step / np.sqrt(seen)
+                step = moved - pairs - RIDGE * len(at) * self.moves
+                step[OUTSIDE, INSIDE] = 0
+                seen_moves += step**2
+                self.moves += RATE * step / np.sqrt(seen_moves)
+
+
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+class Tagger(dict):
+    """Decodes whole texts by a field. Types of tokens are numbered as they come, with what each adds to its own and its
+    neighbours' emissions, so that those of a text are sums of rows of tables."""
+
+    def __init__(self, field: Field):
+        self.field, moves = field, field.allowed()
+        self.runs = np.array([field.vector([f"run {c}"]) for c in range(144)])
+        self.kinds = {k: i for i, k in enumerate(["", *sorted({f.partition(" ")[2].partition(" ")[2] for f in field.index if f.startswith("file ") and f.count(" ") == 2})])}
+        self.by_kind = np.array([[field.vector([f"file {c} {k}"]) for c in range(8)] for k in self.kinds])
+        # what entering a tag other than outside can gain at most against staying outside, and leaving it
+        stay = moves[OUTSIDE, OUTSIDE]
+        self.bonus = np.array([moves[:, BEGIN].max(), moves[[BEGIN, INSIDE], INSIDE].max()]) - stay
+        self.bonus += max(0.0, moves[[BEGIN, INSIDE], OUTSIDE].max() - stay)
+        # words that the field knows: what they add to their own emissions and, by place, to their neighbours'
+        known = sorted({f.partition("word ")[2] for f in field.index if "word " in f})
+        self.words = {w: i for i, w in enumerate(known, 1)}
+        self.of_word = np.zeros((len(known) + 1, 1 + len(PLACES), 3), np.float32)
+        for w, i in self.words.items():
+            self.of_word[i] = [field.vector([f"word {w}"]), *(field.vector([f"{p} word {w}"]) for p in PLACES)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.shapes: dict[tuple, int] = {}
+        self.by_shape, self.numbers, self.fresh = np.zeros((256, 1 + len(PLACES), 3), np.float32), np.zeros((4096, 8), np.int64), []
+        self[""]  # stands before and after a text
+
+    def __missing__(self, token: str) -> int:
+        word = token.lstrip()
+        lower, kind = word.lower(), kind_of(word)
+        key = shape_of(token, word, lower, kind)
+        shape = self.shapes.get(key)
+        if shape is None:
+            shape = self.shapes[key] = len(self.shapes)
+            if shape == len(self.by_shape):
+                self.by_shape = np.concatenate([self.by_shape, np.zeros_like(self.by_shape)])
+            self.by_shape[shape] = [self.field.vector(shape_features(*key)), *(self.field.vector([beside_kind(p, kind, key[1] == "glued")]) for p in PLACES)]
+        self[token] = number = len(self)
+        self.fresh.append((*type_of(token), self.kinds.get(kind, 0), shape, self.words.get(lower[:16], 0)))
+        return number
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of what the field tags, line by line."""
+        tokens = TOKEN.findall(text)
+        if not tokens or not self.field.index:
+            return []
+        if len(self) > REMEMBERED:
+            self.forget()
+        n = len(tokens)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+        if self.fresh:
+            while len(self) > len(self.numbers):
+                self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+            self.numbers[len(self) - len(self.fresh) : len(self)] = self.fresh
+            self.fresh = []
+        numbers = self.numbers[at]
+        starts, ends, lines, codes = numbers_of(numbers)
+        file = file_code(n, int(numbers[:, 3].sum()))
+        emissions = self.runs[codes] + self.by_kind[numbers[:, 5], file % 8] + self.field.vector([f"file {file}"])
+        before, after = -min(PLACES), max(PLACES)
+        edge = np.repeat(self.numbers[:1, 6:8], before + after, axis=0)
+        shape, word = np.concatenate([edge[:before], numbers[:, 6:8], edge[before:]]).T
+        for k, p in enumerate((0, *PLACES)):
+            own = slice(before + p, before + p + n)
+            emissions += self.by_shape[shape[own], k] + self.of_word[word[own], k]
+        found = []
+        for first, last in self.stretches(emissions, lines):
+            tags, start = self.field.decode(emissions[first:last]), None
+            for k, tag in enumerate([*tags, OUTSIDE]):
+                if start is not None and tag != INSIDE:
+                    found.append((int(starts[start]), int(ends[first + k - 1])))
+                    start = None
+                if tag == BEGIN:
+                    start = first + k
+        return found
+
+    def stretches(self, emissions: np.ndarray, lines: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of tokens, in one line each, outside of which no tag but outside can stand in the best sequence: those tokens
+        for which some run of neighbours around them has a positive sum of what tokens could gain at most by other tags."""
+        gain = (emissions[:, 1:] - emissions[:, :1] + self.bonus).max(axis=1)
+        if gain.max() <= 0:
+            return []
+        place = np.arange(len(gain)) + np.cumsum(lines)  # a wall stands before each line
+        walled = np.zeros(place[-1] + 1)
+        walled[place] = gain
+        walls = place[lines] - 1
+        walled[walls] = -1.0 - np.maximum(gain, 0).sum()
+        sums = np.concatenate([[0.0], np.cumsum(walled)])
+        positive = np.zeros(len(walled) + 2, bool)
+        positive[1:-1] = np.maximum.accumulate(sums[:0:-1])[::-1] > np.minimum.accumulate(sums[:-1])
+        edges = np.flatnonzero(positive[1:] != positive[:-1])
+        back = np.full(len(walled) + 1, len(gain))
+        back[place] = np.arange(len(gain))
+        back[walls] = back[walls + 1]
+        return [(int(back[a]), int(back[b - 1]) + 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Trains on the rows of least hash, tagged by the fixed patterns: chains with secrets and others, each kind within its own limit.
+    """Trains on the rows of least hash, tagged by the fixed patterns: windows with secrets and others, each kind within its own limit.
 
-    Features of the chains are brought to the driver, no texts. Without chains the field marks nothing.
+    Tokens of the windows are brought to the driver, a bounded number, and no texts. Without secrets the field marks nothing.
     """
     chosen = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    texts = cut(texts)  # read for each kind of chain
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(features, tags, any(tags)) for t in batch["text"] for features, tags in examples(t or "")]
-            yield pd.DataFrame(rows, columns=["features", "tags", "secret"])
+            rows = [w for t in batch["text"] for w in windows(t or "")]
+            yield pd.DataFrame(rows, columns=["secret", "tokens", "codes", "file", "tags"])
 
-    got = texts.mapInPandas(run, "features array<array<string>>, tags array<int>, secret boolean")
+    got = cut(texts.mapInPandas(run, "secret boolean, tokens array<string>, codes array<int>, file int, tags array<int>").distinct())
     kinds = {}
-    for kind, limit in FIT_CHAINS.items():
-        ranked = got.filter(F.col("secret") == kind).orderBy(F.xxhash64("features"), "features", "tags").limit(limit).collect()
-        kinds[kind] = [(r["features"], r["tags"]) for r in ranked]
-    secret = kinds[True]
+    for kind, limit in FIT_WINDOWS.items():
+        ranked = got.filter(F.col("secret") == kind).orderBy(F.xxhash64("tokens"), "tokens", "codes", "tags").limit(limit).collect()
+        kinds[kind] = [(window_features(r["tokens"], r["codes"], r["file"]), r["tags"]) for r in ranked]
     field = Field()
-    field.fit(secret + kinds[False][: max(500, 3 * len(secret))])
-    return field if secret else Field()
+    if kinds[True]:
+        field.fit(kinds[True] + kinds[False])
+    return field
 
 
-def find(text: str | None, field: Field) -> list[tuple[int, str, int, int, int]]:
+def find(text: str | None, tagger: Tagger) -> list[tuple[int, str, int, int, int]]:
     """All spans of a text by start, then kind in order: the fixed patterns', and those of the field that touch none of them (kind `crf`)."""
     text = text or ""
     spans = base_spans(text)
-    found = chains(text)
-    if found and field.weights:
-        of_file = file_features(text, sum(map(len, found)))
-        taken = [(s[0], s[2]) for s in spans]
-        for chain in found:
-            if len(chain) == 1 and any(a <= chain[0][0] and chain[0][1] <= b for a, b in taken):
-                continue
-            tags = field.decode(field.emissions([token_features(text, a, b, of_file) for a, b in chain]))
-            start = None
-            for k, tag in enumerate([*tags, OUTSIDE]):
-                if start is not None and tag != INSIDE:
-                    a, b = chain[start][0], chain[k - 1][1]
-                    b -= len(text[a:b]) - len(text[a:b].rstrip(".="))
-                    if b > a and not any(a < y and x < b for x, y in taken):
-                        spans.append((a, "crf", b, a, b))
-                    start = None
-                if tag == BEGIN:
-                    start = k
+    taken = [(s[0], s[2]) for s in spans]
+    spans += [(a, "crf", b, a, b) for a, b in tagger.spans(text) if not any(a < y and x < b for x, y in taken)]
     kinds = [p[0] for p in PATTERNS] + ["crf"]
     return sorted(spans, key=lambda s: (s[0], kinds.index(s[1])))
 
@@ -231,22 +424,25 @@ def find(text: str | None, field: Field) -> list[tuple[int, str, int, int, int]]
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) of each row: start, end (code points, end exclusive), kind, and the secret's own start and end.
 
-    NULL counts as the empty text and has no spans; repeated rows and NULL ids stay; other columns are ignored.
+    NULL counts as the empty text and has no spans; repeated rows and NULL ids stay; other columns are ignored; no rows give
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = "array<struct<start:int,end:int,kind:string,secret_start:int,secret_end:int>>"
 
     @F.pandas_udf(kind)
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "kind": k, "secret_start": c, "secret_end": d} for a, k, b, c, d in find(t, shared.value)] for t in texts], dtype=object)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = Tagger(shared.value)
+        for texts in batches:
+            yield pd.Series([[{"start": a, "end": b, "kind": k, "secret_start": c, "secret_end": d} for a, k, b, c, d in find(t, tagger)] for t in texts], dtype=object)
 
     return docs.select(F.col(id_col).alias("id"), spans(F.col(text_col)).alias("spans"))
 
 
-def redact(text: str, field: Field) -> str:
+def redact(text: str, tagger: Tagger) -> str:
     """The text with each secret, but not what tells that it is one, written as a placeholder."""
     out, at = [], 0
-    for _, _, _, a, b in sorted(find(text, field), key=lambda s: s[3:5]):
+    for _, _, _, a, b in sorted(find(text, tagger), key=lambda s: s[3:5]):
         if b > at:
             out += [text[at : max(a, at)], PLACEHOLDER if a >= at else ""]
             at = b
@@ -254,11 +450,13 @@ def redact(text: str, field: Field) -> str:
 
 
 def redacted(text: Column, field: Field, spark) -> Column:
-    """Texts without their secrets; NULL stays NULL."""
+    """Texts without their secrets; NULL stays NULL. Equal texts, as in repeated rows, stay equal; no other column is looked at."""
     shared = spark.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else redact(t, shared.value) for t in texts], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = Tagger(shared.value)
+        for texts in batches:
+            yield pd.Series([t if t is None else redact(t, tagger) for t in texts], dtype=object)
 
     return of(text)
