@@ -14,6 +14,8 @@ from .common import cut
 
 #: Bytes of a language's dictionary, texts that it is made of at most, and the length beyond which others go first.
 DICTIONARY_BYTES, DICTIONARY_TEXTS, LONG_TEXT = 262_144, 256, 8192
+#: Chosen ids that are broadcast to meet their texts, at most; more are joined by shuffles.
+BROADCAST_IDS = 100_000
 #: Bytes of the dictionaries that are broadcast and tried at a time. All languages are learned; more of them take more turns.
 BLOCK_BYTES = 16_777_216
 LEVEL, PIECE_BYTES = 3, 8192
@@ -39,7 +41,8 @@ def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str, row
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = known.groupBy("lang", "id").agg(F.min(F.length("text") > LONG_TEXT).alias("long"))
     order = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id")
-    chosen = ids.select("lang", "id", F.row_number().over(order).alias("place")).filter(F.col("place") <= DICTIONARY_TEXTS)
+    chosen = cut(ids.select("lang", "id", F.row_number().over(order).alias("place")).filter(F.col("place") <= DICTIONARY_TEXTS))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
 
     @F.pandas_udf("binary")
     def beginning(texts: pd.Series) -> pd.Series:

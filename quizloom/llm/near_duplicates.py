@@ -16,8 +16,8 @@ from .common import cut
 from .fingerprint import SEED, fingerprint, shingle_hashes
 
 RADIUS = 4
-BLOCKS, AGREE = 7, 3
-PIVOTS = 16
+#: Reference fingerprints. Keys of candidates have so many bits beyond the binary logarithm of the number of fingerprints, about.
+PIVOTS, SPARE_BITS = 16, 2
 #: Of similar texts: the words of a shingle and the least Jaccard similarity of the sets of shingles.
 WIDTH, SIMILARITY = 5, 0.8
 #: Least hashes of a set are taken in bands. Sets of a similarity of 0.8 agree in no band with probability (1 - 0.8^5)^40,
@@ -32,23 +32,31 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def block_masks(blocks: int = BLOCKS) -> list[int]:
+def block_masks(blocks: int) -> list[int]:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks so that those in which fingerprints within the radius agree tell n of them apart."""
+    blocks = radius + 2
+    while 64 * (blocks - radius) // blocks < n.bit_length() + SPARE_BITS and blocks < radius + 5:
+        blocks += 1
+    return blocks
+
+
 def pivot_fingerprints(count: int = PIVOTS) -> list[int]:
     """Reference fingerprints: the XXH64 of 0, 1, 2, ..."""
     return [signed(xxhash.xxh64_intdigest(str(i), SEED)) for i in range(count)]
 
 
-def pivot_table(fp: Column, count: int = PIVOTS) -> list[Column]:
-    """The Hamming distances to all pivots, eight to a long, a byte each."""
-    pivots = pivot_fingerprints(count)
+def pivot_table(fp: Column, mask: int = -1, bits: int = 8) -> list[Column]:
+    """The Hamming distances to all pivots in the bits of the mask, packed into longs."""
+    pivots, each = pivot_fingerprints(), 64 // bits
     packed = []
-    for first in range(0, count, 8):
-        parts = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * i) for i, p in enumerate(pivots[first : first + 8])]
-        packed.append(reduce(lambda a, b: a.bitwiseOR(b), parts).alias(f"pivots{first // 8}"))
+    for first in range(0, len(pivots), each):
+        parts = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(signed(mask & (1 << 64) - 1)))).cast("long"), bits * i) for i, p in enumerate(pivots[first : first + each])]
+        packed.append(reduce(lambda a, b: a.bitwiseOR(b), parts))
     return packed
 
 
@@ -56,42 +64,85 @@ def within_pivot_bound(a: str, b: str, radius: int, count: int = PIVOTS) -> Colu
     """By the triangle inequality, fingerprints within the radius differ by no more than it in any coordinate."""
 
     def distance(side: str, i: int) -> Column:
-        return F.shiftrightunsigned(F.col(f"{side}.pivots{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(255))
+        return F.shiftrightunsigned(F.col(f"{side}pivots{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(255))
 
     return reduce(lambda x, y: x & y, [F.abs(distance(a, i) - distance(b, i)) <= radius for i in range(count)])
 
 
-def first_agreeing(x: Column, y: Column) -> Column:
-    """The set, as bits, of the first AGREE blocks in which x and y are equal."""
+def first_agreeing(x: Column, y: Column, blocks: int, agree: int) -> Column:
+    """The set, as bits, of the first `agree` blocks in which x and y are equal."""
     differ = x.bitwiseXOR(y)
-    rest = reduce(lambda a, b: a.bitwiseOR(b), [F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(block_masks())])
+    rest = reduce(lambda a, b: a.bitwiseOR(b), [F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(block_masks(blocks))])
     chosen = []
-    for _ in range(AGREE):
+    for _ in range(agree):
         lowest = rest.bitwiseAND(-rest)
         chosen.append(lowest)
         rest = rest.bitwiseXOR(lowest)
     return reduce(lambda a, b: a.bitwiseOR(b), chosen)
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def candidates(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, pivots0, pivots1, choice, key): each fingerprint under every choice of blocks, keyed by its distances to the pivots there.
+
+    Of the blocks of bits, at least blocks - radius are equal in two fingerprints within the radius, and so are their
+    distances to all pivots in these blocks. The distances in a block are packed into a long, four bits each.
+    """
+    if blocks - radius < 1 or -(-64 // blocks) > 15:
+        raise ValueError(f"{blocks} blocks do not serve a radius of {radius}")
+    agree = blocks - radius
+    tables = fingerprints.select("fp", *[pivot_table(F.col("fp"), m, 4)[0].alias(f"block{i}") for i, m in enumerate(block_masks(blocks))])
+    keys = [F.struct(F.lit(sum(1 << i for i in c)).alias("choice"), F.xxhash64(F.lit(sum(1 << i for i in c)), *[f"block{i}" for i in c]).alias("key")) for c in combinations(range(blocks), agree)]
+    whole = [c.alias(f"pivots{i}") for i, c in enumerate(pivot_table(F.col("fp")))]
+    return tables.select("fp", *whole, F.explode(F.array(*keys)).alias("k")).select("fp", "pivots0", "pivots1", "k.choice", "k.key")
+
+
+def near(x: str, y: str, radius: int) -> Column:
+    """The pivots' bound, which discards most pairs, and the distance itself."""
+    return within_pivot_bound(x, y, radius) & (F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= radius)
+
+
+def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct longs in column `fp` that differ in at most `radius` bits.
 
-    Of BLOCKS blocks of bits, at least BLOCKS - radius = AGREE are equal in such a pair, so rows meet under each choice
-    of AGREE blocks and their bits. A pair is compared under its first common choice only. There the pivot table
-    discards it or lets it pass to the exact comparison.
+    Fingerprints meet whose distances to the pivots agree in enough blocks; a pair is compared under its first common
+    choice only. There the pivot table discards it or lets it pass to the exact comparison. Of dense clusters this gives
+    all pairs; clusters finds components without.
     """
-    if BLOCKS - radius < AGREE:
-        raise ValueError(f"at a radius of {radius} two fingerprints can agree in fewer than {AGREE} of {BLOCKS} blocks")
-    masks = block_masks()
-    choices = [(sum(1 << i for i in c), signed(sum(masks[i] for i in c))) for c in combinations(range(BLOCKS), AGREE)]
-    keys = F.array(*[F.struct(F.lit(s).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for s, m in choices])
-    keyed = fingerprints.select("fp", *pivot_table(F.col("fp")), F.explode(keys).alias("key")).select("fp", "pivots0", "pivots1", "key.choice", "key.bits")
+    blocks = blocks or blocks_for(fingerprints.count(), radius)
+    keyed = candidates(fingerprints, radius, blocks)
     a, b = keyed.alias("a"), keyed.alias("b")
-    meet = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    alike = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    once = first_agreeing(F.col("a.fp"), F.col("b.fp")) == F.col("a.choice")
-    pairs = a.join(b, meet & within_pivot_bound("a", "b", radius) & once & alike)
-    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.choice") == F.col("b.choice")) & (F.col("a.fp") < F.col("b.fp"))
+    once = first_agreeing(F.col("a.fp"), F.col("b.fp"), blocks, blocks - radius) == F.col("a.choice")
+    return a.join(b, meet & near("a.", "b.", radius) & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def clusters(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, label) of the distinct longs in column `fp` that have a link; the label is the same for all of a component.
+
+    Links are not all written. Fingerprints that meet share a bucket; each is compared with the bucket's leader, and what is
+    linked is contracted. Then those of a bucket that are not in its leader's component are compared with the members in
+    other components, and what is linked is written once for each two components. So each two of a bucket are in one
+    component or compared, and no more rows are written than fingerprints stand in buckets.
+    """
+    keyed = candidates(fingerprints, radius, blocks_for(fingerprints.count(), radius))
+    first = F.min(F.struct(F.xxhash64("key", "fp").alias("hash"), "fp", "pivots0", "pivots1")).alias("first")
+    buckets = keyed.groupBy("key").agg(first, F.count("*").alias("n")).filter("n > 1")
+    leaders = buckets.select("key", *[F.col(f"first.{c}").alias(f"leader_{c}") for c in ("fp", "pivots0", "pivots1")])
+    members = cut(keyed.join(leaders, "key").drop("choice"))
+    star = members.filter((F.col("fp") != F.col("leader_fp")) & near("", "leader_", radius))
+    labels = components(star.select(F.least("fp", "leader_fp").alias("a"), F.greatest("fp", "leader_fp").alias("b")).distinct())
+    of = labels.select(F.col("node").alias("fp"), F.col("label").alias("own"))
+    of_leader = labels.select(F.col("node").alias("leader_fp"), F.col("label").alias("leading"))
+    named = members.join(of, "fp", "left").join(of_leader, "leader_fp", "left")
+    named = named.select("key", "fp", "pivots0", "pivots1", F.coalesce("own", "fp").alias("own"), F.coalesce("leading", "leader_fp").alias("leading"))
+    rest = cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
+    x, y = rest.filter("own <> leading").alias("x"), rest.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.fp") < F.col("y.fp")))
+    between = x.join(y, apart & near("x.", "y.", radius)).select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
+    onward = components(between)
+    alone = onward.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
+    moved = labels.join(onward.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return cut(moved.union(alone.select("node", "label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -138,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    labels = components(links(distinct.select("fp"), radius))
+    labels = clusters(distinct.select("fp"), radius)
     return grouped(rows, distinct, labels, "fp").select("id", "fp", "component_id")
 
 
@@ -146,8 +197,8 @@ def grouped(rows: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -
     """rows with the least id of their component; distinct has the least_id of each key, labels the components of linked keys."""
     linked = distinct.join(labels.withColumnRenamed("node", key), key)
     named = cut(linked.groupBy("label").agg(F.min("least_id").alias("component_id")))
-    of_linked = linked.join(named, "label").select(key, "component_id")
-    classes = cut(distinct.join(of_linked, key, "left").select(key, F.coalesce("component_id", "least_id").alias("component_id")))
+    of_linked = linked.join(named, "label").select(key, "component_id", F.col("label").alias("group"))
+    classes = cut(distinct.join(of_linked, key, "left").select(key, F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("group", key).alias("group")))
     return rows.join(classes, key)
 
 
@@ -203,7 +254,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row (id, component_id) for each row of docs; texts are linked whose sets of shingles have at least this similarity.
+    """One row (id, component_id, group, digest) for each row of docs; texts are linked whose sets of shingles have at least this
+    similarity. The group is the same for all of a component, which its least id alone would not tell where ids are
+    repeated; the digest is the text's.
 
     Texts of one set are brought down to one class each, texts without words and NULL among them. Classes that agree in
     a band share a bucket. First the members of a bucket are compared with its leader, in a few bands and then in all,
@@ -243,12 +296,23 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     x, y = rest.filter("own <> leading").alias("x"), rest.filter("cls <> leader").alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.cls") < F.col("y.cls")))
     edges = edges.union(similar_pairs(x.join(y, apart).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct(), sets, similarity))
-    return grouped(rows, distinct, components(edges), "cls").select("id", "component_id")
+    return grouped(rows, distinct, components(edges), "cls").select("id", "component_id", "group", "digest")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group of similar texts, each id once; rows with a NULL id stay."""
-    found = similar_texts(docs, id_col, text_col, width, similarity)
-    kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept_id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    """Of each group of similar texts the row of smallest id; of several rows with that id in one group the one of least MD5 of
+    its text, of rows equal in both any one. So an id that is repeated with texts of several groups may stay in each. Rows
+    with a NULL id stay. All columns are kept, whatever their names; no rows give no rows."""
+
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    own_id, own_digest = free("kept_id"), free("kept_digest")
+    found = similar_texts(docs, id_col, text_col, width, similarity).filter(F.col("id") == F.col("component_id"))
+    kept = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("kept")).select(F.col("kept.id").alias(own_id), F.col("kept.digest").alias(own_digest)).distinct()
+    digested = docs.withColumn(own_digest, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    named = digested.join(kept.withColumnRenamed(own_digest, free("kept_other")), (F.col(id_col) == F.col(own_id)) & (F.col(own_digest) == F.col(free("kept_other"))), "left_semi")
+    named = named.dropDuplicates([id_col, own_digest]).drop(own_digest)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
