@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import best, local_best, matrix, one_of_each, usable
+from .vectors import local_best, matrix, one_of_each, usable
 
 #: Rows, those of least hash, that the first level of centroids and the ratio are fitted on, and the second level; at most. All
 #: rows are indexed.
@@ -258,11 +258,11 @@ def list_members(lists: pd.Series) -> dict[int, np.ndarray]:
 
 
 def search_cell(k: int):
-    """A query meets the rows of the lists that it reads, and no others, list by list."""
+    """A query meets the rows of the lists that it reads, and no others, list by list; its k best here are one row."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         rows = rows.sort_values("id", kind="stable")
         x, ids, standing = matrix(rows["vector"]), rows["id"].to_numpy(), list_members(rows["lists"])
         out = []
@@ -274,12 +274,42 @@ def search_cell(k: int):
                 if name in standing:
                     scores[np.ix_(readers, standing[name])] = q[readers] @ x[standing[name]].T
             at, column = local_best(scores, ids[None, :] != query_ids[:, None], k)
-            out.append(pd.DataFrame({"query_id": query_ids[at], "id": ids[column], "score": (q[at] * x[column]).sum(axis=1)}))
+            exact, cuts = (q[at] * x[column]).sum(axis=1), np.searchsorted(at, np.arange(len(q) + 1))
+            parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+            out.append(pd.DataFrame({"query_id": query_ids, "ids": [ids[column[p]] for p in parts], "scores": [exact[p] for p in parts]}))
         return pd.concat(out)
 
     return run
 
 
+def merged(k: int):
+    """Of rows in the order of their queries, each with some best ids and scores, the k best of each query, an id once. No more
+    than a batch and the k best so far are held."""
+
+    def best_of(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable").drop_duplicates(["query_id", "id"])
+        return found[found.groupby("query_id").cumcount() < k]
+
+    def ranked(found: pd.DataFrame) -> pd.DataFrame:
+        return found.assign(rank=(found.groupby("query_id").cumcount() + 1).astype(np.int32))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            sizes = batch["ids"].map(len).to_numpy(int)
+            more = pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), sizes), "id": np.concatenate(batch["ids"].to_numpy()), "score": np.concatenate(batch["scores"].to_numpy())})
+            found = best_of(more if held is None else pd.concat([held, more], ignore_index=True))
+            open_ = found["query_id"] == batch["query_id"].iloc[-1]
+            yield ranked(found[~open_])
+            held = found[open_]
+        if held is not None:
+            yield ranked(held)
+
+    return run
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each query the k rows of largest inner product that its lists hold.
 
@@ -334,5 +364,6 @@ def of_length(all_rows: DataFrame, asked: DataFrame, n: int, longest: float, k:
 
     held, read = dealt(posted, "row_cell", "query_cell"), dealt(probes, "query_cell", "row_cell")
     kind = all_rows.schema["id"].dataType.simpleString()
-    pairs = held.groupBy(*key).cogroup(read.groupBy(*key)).applyInPandas(search_cell(k), f"query_id {kind}, id {kind}, score double")
-    return best(pairs.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    found = held.groupBy(*key).cogroup(read.groupBy(*key)).applyInPandas(search_cell(k), f"query_id {kind}, ids array<{kind}>, scores array<double>")
+    ordered = found.repartition(tasks, "query_id").sortWithinPartitions("query_id")
+    return ordered.mapInPandas(merged(k), f"query_id {kind}, id {kind}, score double, rank int").select("query_id", "rank", "id", "score")
