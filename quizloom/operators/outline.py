@@ -27,7 +27,7 @@ SECTION, SUBSECTION = r"(?iu)^раздел\s+\d+[.:]?\s*.+$", r"(?iu)^подра
 ROMAN_SECTION, SUBTITLE = r"(?i)^[IVXLCDM]+\.\s+.+$", r"^[А-ЯЁ][А-Яа-яё\s]{5,80}$"
 MARKER_LINE, COMMENT_LINE = r"(?iu)^\s*гарант\s*:?\s*$", r"(?iu)^\s*см\.\s+комментарии\s+к\s+статье\s+\d+.*$"
 ARTICLE_LINE = r"(?iu)^\s*[*_]{0,3}статья\s+\d+"
-ITEM_START, ITEM_STOP = r"^\d+[.)]\s", r"^\d+[.)]"
+ITEM_STOP = r"^\d+[.)]"
 
 
 def in_document(*order: str) -> Window:
@@ -38,28 +38,40 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, r"\r\n|\r|\n")).alias("line_no", "line"))
 
 
-def without_marker_lines(lines: DataFrame) -> DataFrame:
-    """Drops marker lines, comment lines, and the blank lines after either."""
+def without_marker_lines(lines: DataFrame, where: Column | None = None) -> DataFrame:
+    """Drops marker lines, comment lines, and the blank lines after either; only where a condition holds, if one is given."""
     blank = T.strip(F.col("line")) == ""
     kind = F.when(F.col("line").rlike(MARKER_LINE) | F.col("line").rlike(COMMENT_LINE), "marker").when(~blank, "text")
     last = F.last(kind, ignorenulls=True).over(in_document("line_no"))
-    return lines.withColumn("__last", last).filter(~F.coalesce(F.col("__last") == "marker", F.lit(False))).drop("__last")
+    marked = F.coalesce(F.col("__last") == "marker", F.lit(False))
+    return lines.withColumn("__last", last).filter(~(marked if where is None else marked & where)).drop("__last")
+
+
+def processor_marks(line: Column) -> dict[str, Column]:
+    return {
+        "marker": line.contains("ГАРАНТ"), "link": line.contains("garant.ru"), "structure": line.rlike(r"(?U)(?:Глава|Статья)\s+\d+"),
+        "consultant": line.contains("consultant.ru") | line.contains("Консультант"), "sections": line.rlike(r"(?iu)(?:раздел|глава|статья)\s+\d+"),
+        "gost": line.rlike(r"^ГОСТ\s+\d+"), "standard": line.contains("ГОСУДАРСТВЕННЫЙ СТАНДАРТ"), "numbered": line.rlike(r"^\d+\.\s+[А-ЯЁ\s]+$"),
+    }
+
+
+def first_processor(has: dict[str, Column]) -> Column:
+    return (
+        F.when(has["marker"] | (has["link"] & has["structure"]), "garant").when(has["consultant"] | has["sections"], "consultant")
+        .when(has["gost"] | (has["standard"] & has["numbered"]), "gost").otherwise("universal")
+    )
 
 
 def processors(lines: DataFrame) -> DataFrame:
     """(doc_id, processor): the first kind of document, in fixed order, whose marks occur in the lines."""
-    line = F.col("line")
-    has = lambda c: F.bool_or(c)
-    marks = lines.groupBy("doc_id").agg(
-        has(line.contains("ГАРАНТ")).alias("marker"), has(line.contains("garant.ru")).alias("link"), has(line.rlike(r"(?U)(?:Глава|Статья)\s+\d+")).alias("structure"),
-        has(line.contains("consultant.ru") | line.contains("Консультант")).alias("consultant"), has(line.rlike(r"(?iu)(?:раздел|глава|статья)\s+\d+")).alias("sections"),
-        has(line.rlike(r"^ГОСТ\s+\d+")).alias("gost"), has(line.contains("ГОСУДАРСТВЕННЫЙ СТАНДАРТ")).alias("standard"), has(line.rlike(r"^\d+\.\s+[А-ЯЁ\s]+$")).alias("numbered"),
-    )
-    first = (
-        F.when(F.col("marker") | (F.col("link") & F.col("structure")), "garant").when(F.col("consultant") | F.col("sections"), "consultant")
-        .when(F.col("gost") | (F.col("standard") & F.col("numbered")), "gost").otherwise("universal")
-    )
-    return marks.select("doc_id", first.alias("processor"))
+    marks = lines.groupBy("doc_id").agg(*[F.bool_or(c).alias(name) for name, c in processor_marks(F.col("line")).items()])
+    return marks.select("doc_id", first_processor({name: F.col(name) for name in processor_marks(F.col("line"))}).alias("processor"))
+
+
+def with_processor(lines: DataFrame) -> DataFrame:
+    """Lines with the processor of their document, by a window, so that the lines are not read twice."""
+    whole = Window.partitionBy("doc_id")
+    return lines.withColumn("processor", first_processor({name: F.bool_or(c).over(whole) for name, c in processor_marks(F.col("line")).items()}))
 
 
 def garant_level(line: Column) -> Column:
@@ -83,14 +95,14 @@ def consultant_level(line: Column, following: Column) -> Column:
     )
 
 
-def with_headings(lines: DataFrame, kinds: DataFrame) -> DataFrame:
+def with_headings(lines: DataFrame) -> DataFrame:
     """Lines in which those that a document's processor takes for headings begin with hashes.
 
     Upper-case lines right after a chapter's heading continue it; several numbered items on one line of a GOST document
     become lines of their own.
     """
     order = in_document("line_no")
-    found = lines.join(kinds, "doc_id").withColumn("bare", T.strip_emphasis(F.col("line"))).withColumn("plain", T.strip(F.col("line")))
+    found = lines.withColumn("bare", T.strip_emphasis(F.col("line"))).withColumn("plain", T.strip(F.col("line")))
     found = found.withColumn("following", F.lead("bare").over(order))
     items = F.regexp_extract_all("plain", F.lit(r"(\d+\)\s+[^;]+(?:;|$))"), 1)
     many = (F.col("processor") == "gost") & F.col("plain").contains(";") & (F.size(items) > 1) & gost_level(F.col("plain")).isin(4).eqNullSafe(True)
@@ -172,24 +184,26 @@ def breadcrumbs(rows: DataFrame) -> Column:
     return F.array_join(F.transform(F.filter("crumbs", lambda c: c["title"] != ""), lambda c: c["title"]), " > ")
 
 
-def item_segments(lines: DataFrame, key: str = "doc_id", keep_preamble: bool = False) -> DataFrame:
-    """(key, item_no, text) of numbered items: a line that begins one and all lines up to the next number.
+def item_texts(lines: Column, keep_preamble: bool = False) -> Column:
+    """Of an array of lines the numbered items: a line that begins one and all lines up to the next number.
 
     Lines that only stop an item (`1.1. `), and what follows them, belong to none; nor does what stands before the first
     item, unless kept. A text without items is one item.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
-    found = lines.filter(~F.col("line").rlike(ARTICLE_LINE)).withColumn("segment", F.sum(F.col("line").rlike(ITEM_STOP).cast("int")).over(w))
-    found = found.withColumn("starts", F.col("line").rlike(ITEM_START))
+    kept = F.array_join(F.filter(lines, lambda x: ~x.rlike(ARTICLE_LINE)), "\n")
+    parts = F.split(kept, r"\n(?=\d+[.)])")
+    is_item = lambda p: p.rlike(r"^\d+[.)][\s&&[^\n]]")
+    wanted = (lambda p, i: is_item(p) | ((i == 0) & ~p.rlike(ITEM_STOP))) if keep_preamble else (lambda p, i: is_item(p))
+    stripped = lambda texts: F.filter(F.transform(texts, T.strip), lambda p: p != "")
+    whole = F.array(F.array_join(lines, "\n"))
+    return stripped(F.when(F.exists(parts, is_item), F.filter(parts, wanted)).otherwise(whole))
+
+
+def item_segments(lines: DataFrame, key: str = "doc_id", keep_preamble: bool = False) -> DataFrame:
+    """(key, item_no, text) of the numbered items of each key's lines."""
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    got = found.groupBy(key, "segment").agg(F.min_by("starts", "line_no").alias("is_item"), F.min("line_no").alias("first"), T.strip(F.array_join(in_order, "\n")).alias("text"))
-    whole = Window.partitionBy(key)
-    got = got.withColumn("any", F.bool_or("is_item").over(whole))
-    without = lines.groupBy(key).agg(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("all_text"))
-    kept = got.filter(F.col("is_item") | (F.lit(keep_preamble) & F.col("any") & (F.col("segment") == 0)))
-    items = kept.filter("text <> ''").select(key, F.row_number().over(Window.partitionBy(key).orderBy("first")).alias("item_no"), "text")
-    rest = without.join(got.filter("any").select(key).distinct(), key, "left_anti").filter("all_text <> ''").select(key, F.lit(1).alias("item_no"), F.col("all_text").alias("text"))
-    return items.unionByName(rest)
+    found = lines.groupBy(key).agg(in_order.alias("lines")).select(key, F.posexplode(item_texts(F.col("lines"), keep_preamble)).alias("place", "text"))
+    return found.select(key, (F.col("place") + 1).alias("item_no"), "text")
 
 
 def combined(crumbs: Column, title: Column, item: Column) -> Column:
@@ -201,9 +215,8 @@ def combined(crumbs: Column, title: Column, item: Column) -> Column:
 def chunks(rows: DataFrame, min_size: int = MIN_SIZE, document: str = "doc_id") -> DataFrame:
     """A chunk for each numbered item of each leaf; a leaf without content gives its title. Short chunks take no number."""
     leaves = with_path(rows).filter("is_leaf").withColumn("crumb_text", breadcrumbs(rows))
-    content = leaves.filter("content <> ''").select(F.concat_ws("/", "doc_id", "node_no").alias("leaf"), F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    items = item_segments(content, "leaf").withColumnRenamed("text", "item")
-    found = leaves.withColumn("leaf", F.concat_ws("/", "doc_id", "node_no")).join(items, "leaf", "left")
+    items = F.when(F.col("content") != "", item_texts(F.split("content", "\n")))
+    found = leaves.select("*", F.posexplode_outer(items).alias("item_no", "item"))
     found = found.withColumn("chunk_text", combined(F.col("crumb_text"), F.col("title"), F.coalesce("item", F.lit(""))))
     kept = found.filter(F.length(T.strip(F.col("chunk_text"))) >= min_size)
     number = F.row_number().over(in_document("node_no", F.coalesce("item_no", F.lit(0))))
@@ -428,11 +441,8 @@ def reshaped(rows: DataFrame) -> DataFrame:
 
 def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Node rows of markdown documents: the processor by their marks, headings, blocks, nodes, and the passes over the tree."""
-    lines = split_lines(docs, id_col, text_col)
-    kinds = processors(lines)
-    garant = kinds.filter("processor = 'garant'").select("doc_id")
-    cleaned = without_marker_lines(lines.join(garant, "doc_id", "left_semi")).unionByName(lines.join(garant, "doc_id", "left_anti"))
-    return reshaped(nodes(blocks(with_headings(cleaned, kinds))))
+    lines = without_marker_lines(with_processor(split_lines(docs, id_col, text_col)), F.col("processor") == "garant")
+    return reshaped(nodes(blocks(with_headings(lines))))
 
 
 def valid_nodes(rows: DataFrame) -> DataFrame:
@@ -458,6 +468,57 @@ def typography(runs: DataFrame) -> DataFrame:
     )
 
 
+#: What a paragraph of a word processor can be a heading by, with the confidence in each: its outline level, a heading's style,
+#: its list level, the rank of its size of type, and being short and mostly bold or upper-case, which stands for level 3.
+CONFIDENCE = {"outline": 1.0, "style": 0.95, "list": 0.8, "font": 0.7, "look": 0.55}
+SHORT, MOSTLY, LOOK_LEVEL = 120, 0.6, 3
+
+
+def typographic_headings(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs (doc_id, paragraph_no, text, outline_level, style_level, list_level, font_pt, bold_ratio, upper_ratio) with the
+    heading level, 1 to 6, of the candidate of highest confidence; NULL for one without any."""
+    found = list_bases(font_levels(paragraphs))
+    bounded = lambda c: F.greatest(F.lit(1), F.least(F.lit(6), c)).cast("int")
+    look = (F.length("text") <= SHORT) & ((F.col("bold_ratio") >= MOSTLY) | (F.col("upper_ratio") >= MOSTLY))
+    levels = {
+        "outline": F.col("outline_level"), "style": F.col("style_level"), "list": F.col("list_level") + F.col("list_base"),
+        "font": F.when(F.col("font_pt").isNotNull(), F.col("font_level")), "look": F.when(look, F.lit(LOOK_LEVEL)),
+    }
+    candidates = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(CONFIDENCE[name]).alias("confidence"), bounded(c).alias("level"))) for name, c in levels.items()]))
+    best = F.array_max(candidates)
+    return found.withColumns({"level": best["level"], "confidence": best["confidence"]}).drop("font_level", "list_base")
+
+
+def typographic_paragraphs(runs: DataFrame) -> DataFrame:
+    """From runs of DOCX files (path as doc_id) the paragraphs with text: superscripts as notes, levels, and ratios."""
+    noted = F.when(F.col("superscript"), F.concat(F.lit(" (см.сноску "), "text", F.lit(")"))).otherwise(F.col("text"))
+    own = runs.filter("text <> ''").select(F.col("path").alias("doc_id"), "paragraph_no", "run_no", noted.alias("text"), "bold", "font_pt", "style", "outline_level", "list_level")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("run_no", "text"))), lambda x: x["text"])
+    style = F.regexp_extract(F.max("style"), r"(?i)^heading\s*([1-9])$", 1).try_cast("int")
+    told = own.groupBy("doc_id", "paragraph_no").agg(
+        T.strip(F.array_join(in_order, "")).alias("text"), (F.max("outline_level") + 1).alias("outline_level"), style.alias("style_level"), F.max("list_level").alias("list_level"), F.max("font_pt").alias("font_pt"),
+        (F.sum(F.when(F.col("bold"), F.length("text")).otherwise(0)) / F.sum(F.length("text"))).alias("bold_ratio"),
+    )
+    letters = F.regexp_replace("text", "[^A-Za-zА-Яа-яЁё]", "")
+    upper = F.coalesce(F.try_divide(F.length(F.regexp_replace(letters, "[^A-ZА-ЯЁ]", "")), F.length(letters)), F.lit(0.0))
+    return told.filter("text <> ''").withColumn("upper_ratio", upper)
+
+
+def typographic_markdown(runs: DataFrame) -> DataFrame:
+    """(doc_id, text) of DOCX files by what their paragraphs look like: headings with hashes, a blank line after each paragraph."""
+    headed = typographic_headings(typographic_paragraphs(runs))
+    line = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).otherwise(F.col("text"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("paragraph_no", line.alias("line")))), lambda x: x["line"])
+    return headed.groupBy("doc_id").agg(T.footnotes(F.array_join(in_order, "\n\n")).alias("text"))
+
+
+def docx_processors(runs: DataFrame) -> DataFrame:
+    """(doc_id, processor): whether DOCX files have styles of headings, other styles or outline levels, or neither."""
+    heading, plain = F.col("style").rlike(r"(?i)^heading\s*\d+"), F.col("style").rlike(r"(?i)^normal")
+    marks = runs.groupBy(F.col("path").alias("doc_id")).agg(F.bool_or(F.coalesce(heading, F.lit(False))).alias("styled"), F.bool_or(F.col("outline_level").isNotNull() | F.coalesce(~heading & ~plain, F.lit(False))).alias("custom"))
+    return marks.select("doc_id", F.when(F.col("styled"), "heading_styles").when(F.col("custom"), "custom_styles").otherwise("universal").alias("processor"))
+
+
 # Smaller steps over lines and items.
 
 

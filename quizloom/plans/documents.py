@@ -15,11 +15,9 @@ CHUNKS = S.LINES + f", chunks AS (SELECT doc_id, lang, row_number() OVER (PARTIT
 
 
 def chunk_lines(spark, d):
-    """Lines of at least the least size as chunks; short ones take no number."""
-    from pyspark.sql import Window
-
-    found = S.lines(spark, d).withColumn("chunk_text", F.regexp_replace("line", r"^\s+|\s+$", "")).filter(F.length("chunk_text") >= O.MIN_SIZE)
-    return found.select("doc_id", "lang", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("chunk_no"), "chunk_text")
+    """Chunks of documents whose lines are leaves; short ones take no number."""
+    rows = S.lines(spark, d).select("doc_id", F.col("line_no").alias("node_no"), F.lit(1).alias("level"), F.lit("").alias("title"), F.col("line").alias("content"))
+    return O.chunks(rows)
 
 
 @query("t12_chunk_lines", f"WITH {CHUNKS} SELECT doc_id, chunk_no, length(chunk_text) AS n, md5(chunk_text) AS digest FROM chunks")
@@ -30,7 +28,8 @@ def t12(spark, d):
 @query("a26_chunk_size_stats", f"""WITH {CHUNKS}, s AS (SELECT lang, length(chunk_text) AS n FROM chunks) SELECT lang, count(*) AS chunks, min(n) AS min_len, max(n) AS max_len, round(avg(n), 6) AS mean_len, CAST(median(n) AS DOUBLE) AS median_len,
     count(*) FILTER (n < 500) AS under_500, count(*) FILTER (n >= 500 AND n < 1000) AS under_1000, count(*) FILTER (n >= 1000 AND n < 2000) AS under_2000, count(*) FILTER (n >= 2000) AS from_2000 FROM s GROUP BY lang""")
 def a26(spark, d):
-    return A.chunk_sizes(chunk_lines(spark, d), "lang")
+    langs = S.table(spark, d, "documents").select("doc_id", "lang")
+    return A.chunk_sizes(chunk_lines(spark, d).select("doc_id", "chunk_text").join(langs, "doc_id"), "lang")
 
 
 @query("w03_enumerate_then_filter", f"WITH {S.LINES} SELECT doc_id, line_no + 1 AS chunk_index, length({BARE}) AS n FROM lines WHERE length({BARE}) >= 10")
@@ -55,10 +54,15 @@ def w04(spark, d):
     return found.select("doc_id", F.col("node_no").cast("long").alias("node_no"), O.breadcrumbs(found).alias("crumbs"), F.col("is_leaf").cast("int"))
 
 
-@query("t13_chunk_nodes_legacy", f"""WITH {PATHS}, c AS (SELECT doc_id, line_no, is_leaf, concat_ws(' > ', nullif(t1, ''), nullif(t2, ''), nullif(title, '')) AS chunk_text FROM paths WHERE is_leaf)
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS chunk_no, md5(chunk_text) AS digest FROM c WHERE trim(chunk_text) <> ''""")
+CONTENT_PATHS = PATHS.replace("line AS title FROM lines)", "substr(line, 1, 10) AS title, substr(line, 11) AS content FROM lines)").replace("m.title,", "m.title, m.content,", 1)
+
+
+@query("t13_chunk_nodes_legacy", f"""WITH {CONTENT_PATHS}, h AS (SELECT *, concat_ws(' > ', nullif(t1, ''), nullif(t2, ''), nullif(title, '')) AS head FROM paths),
+    c AS (SELECT doc_id, line_no, concat_ws(chr(10) || chr(10), nullif(head, ''), nullif(content, '')) AS chunk_text FROM h WHERE is_leaf OR length(content) >= 50)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS chunk_no, md5(chunk_text) AS digest FROM c WHERE regexp_replace(chunk_text, '\\s', '', 'g') <> ''""")
 def t13(spark, d):
-    return O.legacy_chunks(node_rows(spark, d)).select("doc_id", "chunk_no", F.md5("chunk_text").alias("digest"))
+    rows = node_rows(spark, d).withColumns({"content": F.expr("substring(title, 11)"), "title": F.substring("title", 1, 10)})
+    return O.legacy_chunks(rows).select("doc_id", "chunk_no", F.md5("chunk_text").alias("digest"))
 
 
 @query("w05_item_segments", f"""WITH {S.ITEM_LINES}, s AS (SELECT *, sum(CAST(regexp_matches(line, '^\\d+[.)]') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM item_lines),
@@ -85,11 +89,11 @@ def headed_lines(spark, d):
 
 @query("t08_line_classify", f"""WITH {S.LINES}, h AS (SELECT doc_id, line_no, {HEAD_SQL} AS line FROM lines)
     SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^(?i)глава\\s+\\d+[.:]?\\s*.+$') THEN 1 WHEN regexp_matches(line, '^(?i)статья\\s+\\d+[.:]?\\s*.+$') THEN 2 END AS garant,
-    CASE WHEN regexp_matches(line, '^\\d+\\.\\s+[А-ЯЁ\\s]+$') THEN 1 WHEN regexp_matches(line, '^\\d+\\.\\d+\\.\\d+\\.') THEN 3 WHEN regexp_matches(line, '^\\d+\\.\\d+\\.') THEN 2
-        WHEN regexp_matches(line, '^\\d+\\)\\s+.') THEN 4 WHEN regexp_matches(line, '^[а-яА-Я]\\)\\s+.') THEN 5 END AS gost FROM h WHERE line_no % 13 < 10""")
+    CASE WHEN starts_with(line, '|') THEN NULL WHEN regexp_matches(line, '^\\d+\\.\\s+[А-ЯЁ\\s]+$') THEN 1 WHEN regexp_matches(line, '^\\d+\\.\\d+\\.\\d+\\.') THEN 3 WHEN regexp_matches(line, '^\\d+\\.\\d+\\.') THEN 2
+        WHEN regexp_matches(line, '^\\d+\\)\\s+.') THEN 4 WHEN regexp_matches(line, '^[а-яА-Я]\\)\\s+.') THEN 5 END AS gost FROM h""")
 def t08(spark, d):
     line = F.col("line")
-    return headed_lines(spark, d).filter("line_no % 13 < 10").select("doc_id", F.col("line_no").cast("long").alias("line_no"), O.garant_level(line).alias("garant"), O.gost_level(line).alias("gost"))
+    return headed_lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), O.garant_level(line).alias("garant"), O.gost_level(line).alias("gost"))
 
 
 @query("t11_processors", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'garant' WHEN 1 THEN 'consultant' WHEN 2 THEN 'gost' ELSE 'universal' END AS processor FROM documents")
@@ -114,13 +118,13 @@ def f02(spark, d):
 
 
 @query("f04_titles", """SELECT doc_id, CAST(doc_id % 5 = 0 AS INTEGER) AS roman, CAST(doc_id % 5 IN (1, 2) AS INTEGER) AS heading, CAST(doc_id % 5 IN (1, 2) AS INTEGER) AS article, CAST(doc_id % 5 = 3 AS INTEGER) AS numbered,
-    CAST(doc_id % 5 = 4 AS INTEGER) AS sub, CAST(doc_id % 5 IN (0, 3, 4) AND (doc_id % 5 <> 0 OR FALSE) AND doc_id % 2 = 1 AS INTEGER) AS paragraph FROM documents""")
+    CAST(doc_id % 5 = 4 AS INTEGER) AS sub, CAST(doc_id % 5 = 0 OR (doc_id % 5 IN (3, 4) AND doc_id % 2 = 1) AS INTEGER) AS paragraph FROM documents""")
 def f04(spark, d):
     key = F.col("doc_id")
     n = F.when(key % 5 == 0, "xiv").when(key % 5 == 1, "Глава 3 Общее").when(key % 5 == 2, "IV. Прочее").when(key % 5 == 3, "7. Пункт").otherwise("б) подпункт")
     title = F.when((key % 5).isin(3, 4) & (key % 2 == 1), F.concat(n, F.lit(","))).when((key % 5 == 4) & (key % 2 == 0), F.concat(F.lit("1) "), n)).otherwise(n)
     flag = lambda c: c.cast("int")
-    paragraph = T.is_paragraph(title, F.lit("x"), F.lit(False)) & (key % 5 != 0)
+    paragraph = T.is_paragraph(title, F.lit("x"), F.lit(False))
     return S.table(spark, d, "documents").select(
         "doc_id", flag(T.is_roman(n)).alias("roman"), flag(T.is_real_heading(title)).alias("heading"), flag(T.is_article_heading(title)).alias("article"), flag(T.is_numbered(title) & ~T.is_sub_item(title)).alias("numbered"),
         flag(T.is_sub_item(title)).alias("sub"), flag(paragraph).alias("paragraph"),
@@ -161,9 +165,31 @@ def a32(spark, d):
     return O.typography(runs)
 
 
-@query("a31_list_base", "SELECT c_nationkey AS doc_id, CAST(1 - min(c_custkey % 9) AS BIGINT) AS base FROM customer GROUP BY 1")
+@query("a31_list_base", "SELECT c_custkey, CAST(1 - min(c_custkey % 9 + c_nationkey % 4) OVER (PARTITION BY c_nationkey) AS BIGINT) AS list_base FROM customer")
 def a31(spark, d):
-    return S.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg((1 - F.min(F.col("c_custkey") % 9)).alias("base"))
+    rows = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), "c_custkey", (F.col("c_custkey") % 9 + F.col("c_nationkey") % 4).alias("list_level"))
+    return O.list_bases(rows).select("c_custkey", F.col("list_base").cast("long").alias("list_base"))
+
+
+LETTERS = "regexp_replace(line, '[^A-Za-zА-Яа-яЁё]', '', 'g')"
+
+
+@query("w08_typographic_headings", f"""WITH {S.LINES}, p AS (SELECT doc_id, line_no, line, CASE WHEN line_no % 11 = 0 THEN line_no % 3 + 1 END AS outline_level, CASE WHEN line_no % 7 = 0 THEN line_no % 9 + 1 END AS style_level,
+        CASE WHEN line_no % 5 = 0 THEN line_no % 4 + doc_id % 3 END AS list_level, CASE WHEN line_no % 3 <> 1 THEN 8.0 + line_no % 9 END AS font_pt, (line_no % 10) / 10.0 AS bold_ratio,
+        coalesce(length(regexp_replace({LETTERS}, '[^A-ZА-ЯЁ]', '', 'g')) / nullif(CAST(length({LETTERS}) AS DOUBLE), 0), 0) AS upper_ratio FROM lines),
+    f AS (SELECT doc_id, font_pt, row_number() OVER (PARTITION BY doc_id ORDER BY font_pt DESC) AS font_level FROM (SELECT DISTINCT doc_id, font_pt FROM p WHERE font_pt IS NOT NULL)),
+    b AS (SELECT doc_id, 1 - min(list_level) AS base FROM p GROUP BY doc_id)
+    SELECT p.doc_id, p.line_no, CAST(least(6, greatest(1, CASE WHEN outline_level IS NOT NULL THEN outline_level WHEN style_level IS NOT NULL THEN style_level WHEN list_level IS NOT NULL THEN list_level + base
+        WHEN font_level <= 6 THEN font_level WHEN length(line) <= 120 AND (bold_ratio >= 0.6 OR upper_ratio >= 0.6) THEN 3 END)) AS INTEGER) AS level FROM p JOIN b USING (doc_id) LEFT JOIN f ON f.doc_id = p.doc_id AND f.font_pt = p.font_pt
+    WHERE outline_level IS NOT NULL OR style_level IS NOT NULL OR list_level IS NOT NULL OR font_level <= 6 OR (length(line) <= 120 AND (bold_ratio >= 0.6 OR upper_ratio >= 0.6))""")
+def w08_typographic(spark, d):
+    n, letters = F.col("line_no"), F.regexp_replace("line", "[^A-Za-zА-Яа-яЁё]", "")
+    upper = F.coalesce(F.try_divide(F.length(F.regexp_replace(letters, "[^A-ZА-ЯЁ]", "")), F.length(letters)), F.lit(0.0))
+    paragraphs = S.lines(spark, d).select(
+        "doc_id", n.cast("long").alias("paragraph_no"), F.col("line").alias("text"), F.when(n % 11 == 0, n % 3 + 1).alias("outline_level"), F.when(n % 7 == 0, n % 9 + 1).alias("style_level"),
+        F.when(n % 5 == 0, n % 4 + F.col("doc_id") % 3).alias("list_level"), F.when(n % 3 != 1, 8.0 + n % 9).alias("font_pt"), ((n % 10) / 10).alias("bold_ratio"), upper.alias("upper_ratio"),
+    )
+    return O.typographic_headings(paragraphs).filter("level IS NOT NULL").select("doc_id", F.col("paragraph_no").alias("line_no"), "level")
 
 
 @query("t14_first_titles", f"""WITH {S.OUTLINE_LINES}, t AS (SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM outline_lines WHERE regexp_replace(title, '\\s', '', 'g') <> '')

@@ -27,10 +27,16 @@ def w08(spark, d):
     return O.best_headings(S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("paragraph_no"), F.col("l_linenumber").alias("level"), F.col("l_quantity").alias("confidence")))
 
 
-@query("w09_next_line", f"WITH {S.LINES} SELECT doc_id, line_no, CASE WHEN length(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no)) > 0 THEN 1 ELSE 0 END AS has_next FROM lines")
+@query("w09_next_line", f"""WITH {S.LINES}, m AS (SELECT doc_id, line_no, CASE line_no % 7 WHEN 0 THEN 'Общие положения' WHEN 2 THEN 'Права и обязанности' WHEN 3 THEN '' WHEN 4 THEN 'Прочие условия' WHEN 5 THEN 'Глава ' || line_no || '. О' WHEN 6 THEN 'Подраздел 2. О' ELSE line END AS line FROM lines),
+    k AS (SELECT *, lead(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) OVER (PARTITION BY doc_id ORDER BY line_no) AS following FROM m)
+    SELECT doc_id, line_no, CASE WHEN starts_with(line, '|') THEN NULL WHEN regexp_matches(line, '^(?i)[IVXLCDM]+\\.\\s+.+$') THEN 1 WHEN line_no % 7 = 5 THEN 1 WHEN line_no % 7 = 6 THEN 2
+        WHEN line_no % 7 IN (0, 2, 4) AND following <> '' AND (line_no + 1) % 7 NOT IN (5, 6) AND NOT regexp_matches(following, '^(?i)[IVXLCDM]+\\.\\s+.+$') THEN 2 END AS level FROM k""")
 def w09(spark, d):
-    follows = F.lead("line").over(O.in_document("line_no"))
-    return S.lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.when(F.length(follows) > 0, 1).otherwise(0).alias("has_next"))
+    k, line = F.col("line_no") % 7, F.col("line")
+    made = F.when(k == 0, "Общие положения").when(k == 2, "Права и обязанности").when(k == 3, "").when(k == 4, "Прочие условия").when(k == 5, F.concat(F.lit("Глава "), F.col("line_no").cast("string"), F.lit(". О"))).when(k == 6, "Подраздел 2. О").otherwise(line)
+    rows = S.lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), made.alias("line"))
+    following = F.lead(T.strip(F.col("line"))).over(O.in_document("line_no"))
+    return rows.withColumn("following", following).select("doc_id", "line_no", O.consultant_level(F.col("line"), F.col("following")).alias("level"))
 
 
 @query("f10_inline_items", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '1) ' || p_brand || '|2) ' || p_type ELSE '' END AS items FROM part")
@@ -119,9 +125,12 @@ def f49(spark, d):
     return S.table(spark, d, "part").select("p_partkey", T.object_id(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"$oid": "'), raw, F.lit('"}'))).otherwise(raw)).alias("id"))
 
 
-@query("f03_footnotes_at_words", "SELECT doc_id, 'ст. 5 (см.сноску 12) и ст. 5123' AS text FROM documents")
+@query("f03_footnotes_at_words", r"""WITH t AS (SELECT doc_id, 'ст. 512' || substr(CAST(doc_id AS VARCHAR), 1, CAST(doc_id % 2 AS INTEGER)) || ' и a.b12 или aXb12, закон1' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '5' END AS text FROM documents)
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'ст\. 512([^0-9]|$)', 'ст. 5 (см.сноску 12)\1', 'g'), 'a\.b12([^0-9]|$)', 'a.b (см.сноску 12)\1', 'g'), 'закон1([^0-9]|$)', 'закон (см.сноску 1)\1', 'g') AS text FROM t""".replace("\\\\", "\\"))
 def f03(spark, d):
-    return S.table(spark, d, "documents").select("doc_id", O.noted(F.lit("ст. 512 и ст. 5123"), {"ст. 5": "12"}).alias("text"))
+    key = F.col("doc_id")
+    text = F.concat(F.lit("ст. 512"), F.expr("substring(CAST(doc_id AS STRING), 1, CAST(doc_id % 2 AS INT))"), F.lit(" и a.b12 или aXb12, закон1"), F.when(key % 3 == 0, "").otherwise("5"))
+    return S.table(spark, d, "documents").select("doc_id", O.noted(text, {"ст. 5": "12", "a.b": "12", "закон": "1"}).alias("text"))
 
 
 @query("p07_first_text", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name ELSE p_type END AS text FROM part")
@@ -162,11 +171,19 @@ def p24(spark, d):
     return A.assistant(S.table(spark, d, "documents").select("doc_id", "text"), ["open", "multi"])
 
 
-@query("l08_document_types", "SELECT DISTINCT doc_id, 'unknown' AS type, 0.0::DOUBLE AS confidence FROM documents WHERE length(trim(text)) > 0")
+def type_by_length(batch):
+    """A stand-in for a model: by the titles' length a fenced answer, one with a comma too many, or none that parses."""
+    answers = ('```json\n{"type": "law", "confidence": 0.75}\n```', 'It is {"type": "order", "confidence": 0.5,}', "no idea")
+    return [answers[len(t) % 3] for t in batch["titles"]]
+
+
+@query("l08_document_types", f"""WITH {S.OUTLINE_LINES}, t AS (SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM outline_lines WHERE regexp_replace(title, '\\s', '', 'g') <> ''),
+    g AS (SELECT doc_id, length(string_agg(title, chr(10) ORDER BY k)) % 3 AS r FROM t WHERE k <= 50 GROUP BY doc_id)
+    SELECT doc_id, CASE r WHEN 0 THEN 'law' WHEN 1 THEN 'order' ELSE 'unknown' END AS type, CASE r WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence FROM g""")
 def l08(spark, d):
     from .documents import node_rows
 
-    return A.document_types(O.all_titles(node_rows(spark, d)))
+    return A.document_types(O.all_titles(node_rows(spark, d)), type_by_length)
 
 
 @query("l10_final_json", "SELECT p_partkey, '{\"task\":\"' || p_name || '\",\"size\":' || p_size || '}' AS final FROM part")

@@ -125,13 +125,13 @@ def x06(spark, d):
     return O.invalid_transitions(S.task_events(spark, d))
 
 
-@query("x08_progress_by_day", f"""WITH {S.TASK_EVENTS}, c AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (status = 'completed') AS done FROM task_events GROUP BY 1)
-    SELECT day, done, CAST(sum(done) OVER (ORDER BY day) AS BIGINT) AS done_so_far FROM c""")
+@query("x08_progress_by_day", f"WITH {S.TASK_EVENTS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS done FROM task_events WHERE status = 'completed' GROUP BY 1")
 def x08(spark, d):
-    from pyspark.sql import Window
+    """By the stream itself, over all events there are."""
+    from ..streaming.fold import progress
 
-    days = S.task_events(spark, d).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_if(F.col("status") == "completed").alias("done"))
-    return days.withColumn("done_so_far", F.sum("done").over(Window.orderBy("day")))  # one row for each day
+    start = F.to_utc_timestamp("window.start", spark.conf.get("spark.sql.session.timeZone"))
+    return progress(spark, d).select(F.to_date(start).cast("string").alias("day"), "done")
 
 
 @query("m10_retry_failed", f"WITH {S.TASKS} SELECT task_id, CASE WHEN status = 'failed' AND queue_id = 4 THEN 'pending' ELSE status END AS status, CASE WHEN NOT (status = 'failed' AND queue_id = 4) THEN error END AS error FROM tasks")

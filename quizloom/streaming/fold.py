@@ -36,16 +36,21 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
+def task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of changes of tasks."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type").isin("view", "click"), "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    return source.select("event_id", F.col("user_id").alias("task_id"), "ts", status.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"))
+
+
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the fold over all events there are, in micro-batches, and returns the states written.
 
     The stream's sink overwrites the states of the tasks that a batch touched: states are appended with the batch's
     number, and the last one of each task counts.
     """
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
     folder = work_folder(spark)
-    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type").isin("view", "click"), "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
-    events = source.select("event_id", F.col("user_id").alias("task_id"), "ts", status.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"))
+    events = task_stream(spark, sf_dir)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/batch={number}")  # a batch that is run again writes the same
@@ -103,6 +108,21 @@ def generated_so_far(events: DataFrame, window: str = "1 day") -> DataFrame:
     return done.groupBy(F.window("ts", window).alias("window")).agg(F.count("*").alias("done"))
 
 
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs generated_so_far over all events there are; each batch writes all windows so far, a row each, and the last one counts.
+    Times without a zone are taken as UTC, in which windows begin at midnight."""
+    folder, last = work_folder(spark), [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={number}")
+        last[0] = max(last[0], number)
+
+    events = task_stream(spark, sf_dir).withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), spark.conf.get("spark.sql.session.timeZone")))
+    stream = generated_so_far(events).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/windows/batch={last[0]}")
+
+
 def static_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fold must arrive at, from the events as a table."""
     return latest(task_events(spark, sf_dir))

@@ -203,3 +203,28 @@ def test_metadata_and_differences(spark):
     old = spark.createDataFrame([(1, "t", "o"), (2, "t", "o")], "question_id int, task string, options string")
     new = spark.createDataFrame([(1, "t2", "o"), (3, "t", "o")], "question_id int, task string, options string")
     assert {(r["question_id"], r["change"], r["fields"]) for r in V.diff(old, new).collect()} == {(1, "changed", "task"), (2, "removed", None), (3, "added", None)}
+
+
+def test_typographic_headings_of_docx_runs(spark):
+    rows = [
+        ("a", 0, 0, "ОБЩИЕ ПОЛОЖЕНИЯ", False, False, 16.0, None, None, None),
+        ("a", 1, 0, "Текст ", False, False, 12.0, None, None, None),
+        ("a", 1, 1, "1", False, True, 8.0, None, None, None),
+        ("a", 2, 0, "Пункт", False, False, None, "ListParagraph", None, 2),
+        ("a", 3, 0, "Подпункт", False, False, None, "ListParagraph", None, 3),
+        ("a", 4, 0, "Раздел", False, False, 12.0, "Heading 4", None, 2),
+        ("a", 5, 0, "Часть", False, False, 12.0, "Heading4", 1, None),
+        ("a", 6, 0, "Важно", True, False, None, None, None, None),
+        ("a", 7, 0, "x" * 121, True, False, None, None, None, None),
+        ("a", 8, 0, "  ", False, False, None, None, None, None),
+        ("b", 0, 0, "просто текст", False, False, None, "Normal", None, None),
+        ("c", 0, 0, "просто текст", False, False, None, "Custom", None, None),
+    ]
+    kinds = "path string, paragraph_no int, run_no int, text string, bold boolean, superscript boolean, font_pt double, style string, outline_level int, list_level int"
+    runs = spark.createDataFrame(rows, kinds)
+    levels = {r["paragraph_no"]: (r["level"], r["confidence"]) for r in O.typographic_headings(O.typographic_paragraphs(runs)).filter("doc_id = 'a'").collect()}
+    # sizes 16 and 12 are ranks 1 and 2, the smallest list level stands for level 1
+    assert levels == {0: (1, 0.7), 1: (2, 0.7), 2: (1, 0.8), 3: (2, 0.8), 4: (4, 0.95), 5: (2, 1.0), 6: (3, 0.55), 7: (None, None)}
+    text = {r["doc_id"]: r["text"] for r in O.typographic_markdown(runs).collect()}
+    assert text["a"].startswith("# ОБЩИЕ ПОЛОЖЕНИЯ\n\n## Текст  (см.сноску 1)\n\n# Пункт\n\n## Подпункт") and text["b"] == "просто текст"
+    assert {r["doc_id"]: r["processor"] for r in O.docx_processors(runs).collect()} == {"a": "heading_styles", "b": "universal", "c": "custom_styles"}

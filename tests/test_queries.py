@@ -55,3 +55,13 @@ def test_order_of_rows_does_not_matter(spark, name, tmp_path):
     for table in ("orders", "documents"):
         spark.read.parquet(f"{DIR}/{table}.parquet").repartition(7).write.parquet(f"{tmp_path}/{table}.parquet")
     assert canonical(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == canonical(catalogue.QUERIES[name](spark, DIR).toPandas())
+
+
+def test_the_sort_is_in_the_order_of_the_sql(spark, duck):
+    got = [r["c_custkey"] for r in catalogue.QUERIES["o06_nulls_natural_sort"](spark, DIR).collect()]
+    assert got == duck.execute(catalogue.ORACLE_SQL["o06_nulls_natural_sort"]).df()["c_custkey"].tolist()
+
+
+def test_chunks_take_one_pass(spark):
+    plan = catalogue.QUERIES["t12_outline_chunks"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("FileScan parquet") == 1
