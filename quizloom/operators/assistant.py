@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.shared import kept
 from . import gate as G
 from . import scorers as R
 from .questions import wide_options
@@ -73,11 +74,11 @@ def assistant(chunks: DataFrame, types: list[str], mode: str = "full", gate: R.S
     if mode == "generator_validator":
         judged = rows.withColumns({"reason": F.lit(None).cast("string"), "gate_passed": F.lit(True)})
     elif mode in ("generator_validator_gate", "full"):
-        judged = gated(rows, gate).cache()
+        judged = kept(gated(rows, gate))
     else:
         raise ValueError(f"unknown pipeline mode: {mode}")
     rejected = judged.filter("NOT gate_passed").select("doc_id", "question_type", F.lit("rejected").alias("outcome"), F.col("reason").alias("detail"))
-    made = generated(judged.filter("gate_passed").select("doc_id", "text", "question_type"), generate).cache()
+    made = kept(generated(judged.filter("gate_passed").select("doc_id", "text", "question_type"), generate))
     failed = made.filter("error IS NOT NULL").select("doc_id", "question_type", F.lit("failed").alias("outcome"), F.col("error").alias("detail"))
     out = rejected.unionByName(failed).withColumns({"task": F.lit(None).cast("string"), "total": F.lit(None).cast("double"), "passed": F.lit(None).cast("boolean"), "retry_count": F.lit(None).cast("int")})
     for kind in types:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.shared import kept
 from . import scoring as P
 
 Scorer = Callable[[pd.DataFrame], list]
@@ -24,25 +25,34 @@ class TimeoutInScorer(Exception):
     """The only failure after which a scorer is asked again."""
 
 
-def scored(rows: DataFrame, scorer: Scorer, column: str = "answer", retries: int = 2) -> DataFrame:
-    """Rows with the scorer's text in a column and, where it failed for good, its words in `error`."""
+def asked(batch: pd.DataFrame, scorer: Scorer, retries: int) -> tuple[list | None, str | None]:
+    """A scorer's answers for a batch, or None and what went wrong; after a timeout it is asked again."""
+    error = None
+    for _ in range(retries + 1):
+        try:
+            return scorer(batch), None
+        except TimeoutInScorer as e:
+            error = f"timeout: {e}"
+        except Exception as e:  # noqa: BLE001  any other failure of a model is a value, not the job's
+            return None, str(e)
+    return None, error
+
+
+def scored(rows: DataFrame, scorer: Scorer | dict[str, Scorer], column: str = "answer", retries: int = 2) -> DataFrame:
+    """Rows with the scorer's text in a column and, where it failed for good, its words in `error`. Several scorers, by their
+    columns, are asked one after the other for each batch, in one pass; the first error counts."""
+    scorers = scorer if isinstance(scorer, dict) else {column: scorer}
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answer, error = None, None
-            for attempt in range(retries + 1):
-                try:
-                    answer = scorer(batch)
-                    break
-                except TimeoutInScorer as e:
-                    error = f"timeout: {e}"
-                except Exception as e:  # noqa: BLE001  any other failure of a model is a value, not the job's
-                    error = str(e)
-                    break
-            yield batch.assign(**{column: answer if answer is not None else None, "error": None if answer is not None else error})
+            answers, errors = {}, []
+            for name, one in scorers.items():
+                answers[name], error = asked(batch, one, retries)
+                errors.append(error)
+            yield batch.assign(**answers, error=next((e for e in errors if e is not None), None))
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return rows.mapInPandas(run, f"{kinds}, `{column}` string, error string")
+    return rows.mapInPandas(run, f"{kinds}, {', '.join(f'`{c}` string' for c in scorers)}, error string")
 
 
 def stub_validation(block: str, n: int, salt: int = 0) -> Scorer:
@@ -66,11 +76,9 @@ def stub_levels(rows: DataFrame, column: str) -> DataFrame:
 
 def validated(questions: DataFrame, question_type: str = "open", scorer=stub_validation) -> DataFrame:
     """One pass of validation: a call for each block, scores by line, the weighted total and whether it passes."""
-    blocks, out = {}, questions
-    for name in P.BLOCKS[question_type]:
-        n = len(P.WEIGHTS[name])
-        out = scored(out, scorer(name, n), f"answer_{name}").drop("error")
-        blocks[name], _ = P.parse_score_lines(F.col(f"answer_{name}"), n)
+    sizes = {name: len(P.WEIGHTS[name]) for name in P.BLOCKS[question_type]}
+    out = scored(questions, {f"answer_{name}": scorer(name, n) for name, n in sizes.items()}).drop("error")
+    blocks = {name: P.parse_score_lines(F.col(f"answer_{name}"), n)[0] for name, n in sizes.items()}
     out = out.withColumn("total", P.weighted_total(blocks, question_type))
     return out.withColumn("passed", F.col("total") >= P.THRESHOLDS[question_type]).drop(*[f"answer_{b}" for b in blocks])
 
@@ -78,17 +86,18 @@ def validated(questions: DataFrame, question_type: str = "open", scorer=stub_val
 def validate_and_refine(questions: DataFrame, question_type: str = "open", mode: str = "full", scorer=stub_validation) -> DataFrame:
     """Validates all, then refines and validates again those that fail, at most MAX_RETRIES times and in full mode only.
 
-    Levels are assessed once and not again after a refinement. Each pass is a filter, the scorers, and a union.
+    Levels are assessed once and not again after a refinement. Each pass is a filter, the scorers, and a union; what the
+    scorers of a pass said is written, so that none is asked again for it, whatever becomes of the executors.
     """
     todo = stub_levels(stub_levels(questions.withColumn("retry_count", F.lit(0)), "provocativeness"), "difficulty")
     columns = ["doc_id", "question_type", "retry_count", "provocativeness", "difficulty", "total", "passed"]
-    tried = validated(todo, question_type, scorer).cache()
+    tried = kept(validated(todo, question_type, scorer))
     if mode != "full":
         return tried.select(*columns)
     done = tried.filter("passed")
     for attempt in range(1, MAX_RETRIES + 1):
         failed = tried.filter("NOT passed").drop("total", "passed").withColumn("retry_count", F.lit(attempt))
-        tried = validated(failed, question_type, scorer).cache()
+        tried = kept(validated(failed, question_type, scorer))
         done = done.unionByName(tried if attempt == MAX_RETRIES else tried.filter("passed"))
     return done.select(*columns)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tasks import MAX_ATTEMPTS, latest, reconciled
+from ..sinks.shared import work_folder
 from ..sources.derived import task_events
 from ..sources.derived import table
 
@@ -27,15 +26,6 @@ def folding(events: DataFrame) -> DataFrame:
     return latest(events)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder; where none is set, a temporary one in local mode, else one in the warehouse."""
-    context = spark.sparkContext
-    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.gettempdir() if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
 def task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of changes of tasks."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
