@@ -65,7 +65,7 @@ def generated(rows: DataFrame, scorer: R.Scorer = stub_question) -> DataFrame:
     return wide.select(*rows.columns, "task", wide_options(wide).alias("options"), F.col("outputs").alias("correct_answer"), error.alias("error"))
 
 
-def assistant(chunks: DataFrame, types: list[str], mode: str = "full", gate: R.Scorer = stub_gate, generate: R.Scorer = stub_question) -> DataFrame:
+def assistant(chunks: DataFrame, types: list[str], mode: str = "full", gate: R.Scorer = stub_gate, generate: R.Scorer = stub_question, validate=R.stub_validation) -> DataFrame:
     """A row for each chunk and type: rejected ones with the reason, others with the question, its levels and its validation.
 
     chunks has doc_id and text. The mode tells whether there is a gate and whether failed questions are refined.
@@ -83,7 +83,7 @@ def assistant(chunks: DataFrame, types: list[str], mode: str = "full", gate: R.S
     out = rejected.unionByName(failed).withColumns({"task": F.lit(None).cast("string"), "total": F.lit(None).cast("double"), "passed": F.lit(None).cast("boolean"), "retry_count": F.lit(None).cast("int")})
     for kind in types:
         good = made.filter((F.col("question_type") == kind) & F.col("error").isNull())
-        scored = R.validate_and_refine(good.select("doc_id", "text", "question_type"), kind, mode).select("doc_id", "total", "passed", "retry_count")
+        scored = R.validate_and_refine(good.select("doc_id", "text", "question_type"), kind, mode, validate).select("doc_id", "total", "passed", "retry_count")
         done = good.join(scored, "doc_id").select("doc_id", "question_type", F.lit("question").alias("outcome"), F.lit(None).cast("string").alias("detail"), "task", "total", "passed", "retry_count")
         out = out.unionByName(done)
     return out

@@ -46,12 +46,12 @@ def flatten(generated: DataFrame, question_type: Column) -> DataFrame:
 
 
 def shuffled(options: Column, correct: Column, key: Column, seed: int = 0) -> tuple[Column, Column]:
-    """Options in an order that a hash of seed, key and place gives, and the places of the correct ones in it.
+    """Options in the order of the MD5 of seed, key and place, and the places of the correct ones in it.
 
     options is an array of texts, correct the places, from 1 and joined by commas, of the right ones. As options are
     matched by text, equal texts are all right or all wrong.
     """
-    keyed = F.transform(options, lambda v, i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i"), v.alias("v")))
+    keyed = F.transform(options, lambda v, i: F.struct(F.md5(F.concat_ws("/", F.lit(str(seed)), key.cast("string"), i.cast("string"))).alias("h"), i.alias("i"), v.alias("v")))
     order = F.transform(F.array_sort(keyed), lambda x: x["v"])
     right = F.transform(F.filter(F.split(correct, r"\s*,\s*"), lambda c: c.rlike(r"^\s*\d+\s*$")), lambda c: F.get(options, F.trim(c).cast("int") - 1))
     places = F.filter(F.transform(order, lambda v, i: F.when(F.array_contains(right, v), i + 1)), lambda p: p.isNotNull())

@@ -165,10 +165,32 @@ def a28(spark, d):
     return K.pending_top(S.tasks(spark, d), 50).groupBy("dataset_id").agg(F.count("*").alias("n"))
 
 
-@query("p24_direct_rows")
+def gate_by_rule(batch):
+    return ['{"c1_chunk_informative": [%d], "c2_chunk_reference_clarity": %d, "c3_chunk_multi_suitability": %d}' % (d % 5 != 0, d % 7 != 0, d % 3 != 0) for d in batch["doc_id"]]
+
+
+def question_by_rule(batch):
+    return ["no json" if d % 11 == 0 else '{"task": "What of %d?", "outputs": "1", "option_1": "a"}' % d for d in batch["doc_id"]]
+
+
+def direct_sql(kind: str) -> str:
+    from .records import loop_sql
+
+    first, second, third = G.REASONS
+    reason = f"CASE WHEN doc_id % 5 = 0 THEN '{first}' WHEN doc_id % 7 = 0 THEN '{second}' " + (f"WHEN doc_id % 3 = 0 THEN '{third}' " if kind == "multi" else "") + "END"
+    return f"""SELECT d.doc_id, '{kind}' AS question_type, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN d.doc_id % 11 = 0 THEN 'failed' ELSE 'question' END AS outcome, reason,
+        CASE WHEN reason IS NULL AND d.doc_id % 11 <> 0 THEN 'What of ' || d.doc_id || '?' END AS task, CASE WHEN reason IS NULL AND d.doc_id % 11 <> 0 THEN l.total END AS total,
+        CASE WHEN reason IS NULL AND d.doc_id % 11 <> 0 THEN l.passed END AS passed, CASE WHEN reason IS NULL AND d.doc_id % 11 <> 0 THEN l.retry_count END AS retry_count
+        FROM (SELECT doc_id, {reason} AS reason FROM documents) d JOIN ({loop_sql(kind, "documents")}) l USING (doc_id)"""
+
+
+@query("p24_direct_rows", direct_sql("open") + " UNION ALL " + direct_sql("multi"))
 def p24(spark, d):
     """Gate, generation and validation of every document and type in one go, rejected and failed ones included."""
-    return A.assistant(S.table(spark, d, "documents").select("doc_id", "text"), ["open", "multi"])
+    from .records import validation_by_rule
+
+    found = A.assistant(S.table(spark, d, "documents").select("doc_id", "text"), ["open", "multi"], gate=gate_by_rule, generate=question_by_rule, validate=validation_by_rule)
+    return found.withColumn("reason", F.when(F.col("outcome") == "rejected", F.col("detail"))).select("doc_id", "question_type", "outcome", "reason", "task", "total", "passed", "retry_count")
 
 
 def type_by_length(batch):

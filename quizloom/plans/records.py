@@ -295,7 +295,9 @@ def f32(spark, d):
     return S.table(spark, d, "part").select("p_partkey", Q.numbered_list(part_options()).alias("options"))
 
 
-@query("f34_shuffle_options")
+@query("f34_shuffle_options", """WITH o AS (SELECT p_partkey, unnest([p_brand, p_type, 'x', 'y']) AS v, unnest(range(4)) AS i FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('7/' || p_partkey || '/' || i)) AS k FROM o), c AS (SELECT p_partkey, v FROM o WHERE i IN (0, 2))
+    SELECT p_partkey, string_agg(v, '|' ORDER BY k) AS options, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER ((p_partkey, v) IN (SELECT p_partkey, v FROM c)) AS correct FROM r GROUP BY p_partkey""")
 def f34(spark, d):
     options, places = Q.shuffled(F.array("p_brand", "p_type", F.lit("x"), F.lit("y")), F.lit("1, 3"), F.col("p_partkey"), 7)
     return S.table(spark, d, "part").select("p_partkey", F.array_join(options, "|").alias("options"), places.alias("correct"))
@@ -316,8 +318,32 @@ def p17(spark, d):
     return S.table(spark, d, "documents").select("doc_id", Q.first_failure(checks).alias("failure"), Q.too_long(F.col("text"), 5000).alias("too_long"))
 
 
-@query("l05_validate_refine_loop")
+def rule_bits(kind: str, attempt: str) -> str:
+    """A total by the stand-in's rule, in SQL: the bit of a block's place hangs on the document, the attempt, the block and the place."""
+    bit = lambda name, i: f"CAST((doc_id * 7 + {attempt} * 29 + {len(name)} * 11 + {i} * 3) % 13 <> 0 AS INTEGER)"
+    weights = " + ".join(f"{w} * {bit(name, i)}" for name in P.BLOCKS[kind] for i, w in enumerate(P.WEIGHTS[name]))
+    critical = ", ".join(bit(name, i) for name in P.BLOCKS[kind] for i in P.CRITICAL[name])
+    return f"CAST(({weights}) * least({critical}) AS DOUBLE)"
+
+
+def validation_by_rule(block: str, n: int):
+    def run(batch):
+        return ["\n".join(f"{int((d * 7 + a * 29 + len(block) * 11 + i * 3) % 13 != 0)} — {block}" for i in range(n)) for d, a in zip(batch["doc_id"], batch["retry_count"])]
+
+    return run
+
+
+def loop_sql(kind: str, rows: str) -> str:
+    """Total, passing and attempts of the rows (doc_id) of a type: the first attempt that passes, or the last."""
+    tries = ", ".join(f"{rule_bits(kind, str(a))} AS t{a}" for a in range(3))
+    least = P.THRESHOLDS[kind]
+    return f"""SELECT doc_id, CASE WHEN t0 >= {least} THEN t0 WHEN t1 >= {least} THEN t1 ELSE t2 END AS total, t0 >= {least} OR t1 >= {least} OR t2 >= {least} AS passed,
+        CASE WHEN t0 >= {least} THEN 0 WHEN t1 >= {least} THEN 1 ELSE 2 END AS retry_count FROM (SELECT doc_id, {tries} FROM {rows})"""
+
+
+@query("l05_validate_refine_loop", loop_sql("open", "documents"))
 def l05(spark, d):
     from ..operators.scorers import validate_and_refine
 
-    return validate_and_refine(S.table(spark, d, "documents").select("doc_id", "text", F.lit("open").alias("question_type")))
+    found = validate_and_refine(S.table(spark, d, "documents").select("doc_id", "text", F.lit("open").alias("question_type")), scorer=validation_by_rule)
+    return found.select("doc_id", "total", "passed", "retry_count")
