@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_similar_texts import by_all_pairs
 from quizloom.llm import near_duplicates as N
 from quizloom.llm.bpe import PairIndex, WordBpe, vocabulary_path
 from quizloom.llm.exact_top_k import exact_top_k
@@ -264,12 +265,7 @@ def test_pipeline_by_its_operators(spark):
         kept[name] = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
         assert set(kept[name]) <= set(before)
         if name == "near_duplicates":
-            fps = {i: simhash(t) for i, t in before.items()}
-            of = groups(set(fps.values()))
-            least = {}
-            for i, f in fps.items():
-                least[of[f]] = min(least.get(of[f], i), i)
-            assert set(kept[name]) == set(least.values())
+            assert set(kept[name]) == by_all_pairs(before)  # 5-word shingles, a similarity of 0.8, as the stage's contract says
         elif name == "secrets":
             assert set(kept[name]) == set(before) and not any(find(t, Tagger(Field())) for t in kept[name].values())
         else:
