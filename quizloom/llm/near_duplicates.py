@@ -138,8 +138,13 @@ def clusters(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     rest = cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
     x, y = rest.filter("own <> leading").alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.fp") < F.col("y.fp")))
-    between = x.join(y, apart & near("x.", "y.", radius)).select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
-    onward = components(between)
+    tied = x.join(y, apart & near("x.", "y.", radius)).select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
+    return merged(labels, tied)
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, label) after the components that pairs (a, b) of labels, or of nodes without one, tie together have become one."""
+    onward = components(pairs)
     alone = onward.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
     moved = labels.join(onward.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
     return cut(moved.union(alone.select("node", "label")))
@@ -253,6 +258,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return cut(common.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"))
 
 
+def between(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of labels that pairs of nodes tie together; a node without a label stands for itself."""
+    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("label").alias("c")), labels.select(F.col("node").alias("b"), F.col("label").alias("d"))
+    named = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("c", "a").alias("c"), F.coalesce("d", "b").alias("d"))
+    return named.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row (id, component_id, group, digest) for each row of docs; texts are linked whose sets of shingles have at least this
     similarity. The group is the same for all of a component, which its least id alone would not tell where ids are
@@ -288,15 +300,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
 
     star = members.filter((F.col("band") < FIRST_BANDS) & (F.col("cls") != F.col("leader"))).select(*pair(F.col("cls"), F.col("leader"))).distinct()
-    edges = similar_pairs(star, sets, similarity)
-    rest = placed(components(edges))
+    labels = components(similar_pairs(star, sets, similarity))
+    rest = placed(labels)
     star = rest.filter("own <> leading").select(*pair(F.col("cls"), F.col("leader"))).distinct()
-    edges = edges.union(similar_pairs(star, sets, similarity))
-    rest = placed(components(edges))
+    labels = merged(labels, between(labels, similar_pairs(star, sets, similarity)))
+    rest = placed(labels)
     x, y = rest.filter("own <> leading").alias("x"), rest.filter("cls <> leader").alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.cls") < F.col("y.cls")))
-    edges = edges.union(similar_pairs(x.join(y, apart).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct(), sets, similarity))
-    return grouped(rows, distinct, components(edges), "cls").select("id", "component_id", "group", "digest")
+    across = similar_pairs(x.join(y, apart).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct(), sets, similarity)
+    return grouped(rows, distinct, merged(labels, between(labels, across)), "cls").select("id", "component_id", "group", "digest")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
