@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import held_out, remainder, table
+from .conversations import damaged, repair
 from .exact_top_k import exact_top_k
 from .language import identify
 from .main_text import extract
@@ -84,6 +85,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
@@ -95,8 +100,25 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+
+
+def shifted(value: int) -> int:
+    """Four steps of the CRC-32 register (reflected polynomial)."""
+    for _ in range(4):
+        value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+#: SQL of CRC-32: what a byte x makes of the register c, half a byte at a time.
+NIBBLES = str([shifted(i) for i in range(16)])
+CRC_HALF = f"xor(xor(c, x) >> 4, {NIBBLES}[(xor(c, x) & 15) + 1])"
+CRC_BYTE = f"xor(({CRC_HALF}) >> 4, {NIBBLES}[(({CRC_HALF}) & 15) + 1])"
+#: SQL of the ways of a conversation's repair after insertions.
+OPENED = "SELECT ways.conv_id, ways.i, t.after, ways.way.cost + t.cost AS cost, ways.way.audit || t.audit AS audit, ways.way.said || t.said AS said FROM ways JOIN inserted AS t ON t.state = ways.state"
+
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_top_k": """
         WITH v AS (
@@ -107,4 +129,40 @@ ORACLE_SQL: dict[str, str] = {
             FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        kinds AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: {CRC_BYTE}), 4294967295) % 20 AS kind FROM keyed),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM kinds, range(2) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed),
+        faults AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two,
+                CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM numbered),
+        sums AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+        inserted(state, after, cost, audit, said) AS (VALUES ('', '', 0, '', ''), ('', 'u', 2, 'I', 'user:' || chr(10)), ('', 'a', 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), ('s', 's', 0, '', ''),
+            ('s', 'u', 2, 'I', 'user:' || chr(10)), ('s', 'a', 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 'u', 0, '', ''), ('u', 'a', 2, 'I', 'assistant:' || chr(10)), ('a', 'a', 0, '', ''), ('a', 'u', 2, 'I', 'user:' || chr(10))),
+        kept(state, after) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        named(state, after, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+        ways AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS state, {{'cost': 0, 'audit': '', 'said': ''}} AS way FROM sums
+            UNION ALL
+            SELECT conv_id, any_value(i), state, min(way) FROM (
+                SELECT f.conv_id, f.i, w.after AS state, {{'cost': w.cost + 3, 'audit': w.audit || 'D', 'said': w.said}} AS way FROM ({OPENED}) AS w JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+                UNION ALL
+                SELECT f.conv_id, f.i, k.after, {{'cost': w.cost + CAST(f.fault = 3 AS INTEGER), 'audit': w.audit || 'K', 'said': w.said || f.role || ':' || f.text || chr(10)}}
+                FROM ({OPENED}) AS w JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 AND f.fault IN (0, 3) JOIN kept AS k ON k.state = w.after AND k.after = f.initial
+                UNION ALL
+                SELECT f.conv_id, f.i, k.after, {{'cost': w.cost + 2 + CAST(f.fault = 3 AS INTEGER), 'audit': w.audit || 'R', 'said': w.said || k.role || ':' || f.text || chr(10)}}
+                FROM ({OPENED}) AS w JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 AND f.fault IN (0, 3) JOIN named AS k ON k.state = w.after) AS steps
+            GROUP BY conv_id, state),
+        ends AS (
+            SELECT w.conv_id, min({{'cost': w.cost, 'audit': w.audit, 'said': w.said}}) AS way FROM ({OPENED}) AS w JOIN sums ON sums.conv_id IS NOT DISTINCT FROM w.conv_id AND sums.n = w.i WHERE w.after IN ('', 'a') GROUP BY w.conv_id)
+        SELECT c.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+            CAST(coalesce(e.way.cost, 0) AS BIGINT) AS cost, coalesce(e.way.audit, '') AS audit, sha256(coalesce(left(e.way.said, greatest(length(e.way.said) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN sums AS s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
