@@ -19,6 +19,7 @@ from .quality import fit_quality, quality_score
 from .secrets import scan, train
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import fit_toxicity, toxicity_score
+from .whitening import whiten
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_whitening": op11_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
