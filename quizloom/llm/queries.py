@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .common import held_out, remainder, table
 from .conversations import damaged, repair
 from .exact_top_k import exact_top_k
+from .jaccard_join import similarity_join
 from .language import identify
 from .main_text import extract
 from .near_duplicates import near_duplicates
@@ -90,6 +91,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_whitening": op11_whitening,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

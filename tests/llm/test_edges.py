@@ -13,12 +13,13 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, id l
 LABELS = "doc_id long, quality int, toxic int, id string, label string"
 PAGES = "page_id long, url string, html string, id string, text int, n_chars string"
 VECTORS = "vec_id long, embedding array<float>, label int, id string, vector string, score string, cell string, rank string"
+TURNS = "conv_id long, turn long, role string, text string, id string, fault string, dropped string, audit int"
 LONG = "word " * 40_000 + "end"
 
 
-def write(spark, path, docs, labels, pages, vectors):
+def write(spark, path, docs, labels, pages, vectors, turns=()):
     pad = lambda rows, schema: [tuple(r) + (None,) * (schema.count(",") + 1 - len(r)) for r in rows]
-    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("pages", pages, PAGES), ("embeddings", vectors, VECTORS)):
+    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("pages", pages, PAGES), ("embeddings", vectors, VECTORS), ("conversations", turns, TURNS)):
         spark.createDataFrame(pad(rows, schema), schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -32,7 +33,8 @@ def odd(spark, tmp_path_factory):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>"), (None, "u", "<article><p>Text &amp; more</p></article>"), (4, "u", "<p>" + LONG), (4, "u", "<p>" + LONG), (5, "u", "<<<>>><a <b> & < text")]
     unit = [1.0] + [0.0] * 63
     vectors = [(0, unit), (100, unit), (200, [2.0] * 64), (200, [2.0] * 64), (1, unit), (2, None), (3, [float("nan")] * 64), (4, [float("inf")] + [0.0] * 63), (5, [0.0] * 64), (6, [None] + [1.0] * 63), (None, unit), (7, []), (8, [-1.0] * 64), (9, [1e30] * 64)]
-    return write(spark, tmp_path_factory.mktemp("odd"), docs, labels, pages, vectors)
+    turns = [(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (1, None, None, None), (None, None, "", LONG), (2, 2**62, "assistant", "Ho"), (3, -5, "system", "\x0b")]
+    return write(spark, tmp_path_factory.mktemp("odd"), docs, labels, pages, vectors, turns)
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +114,24 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in got} <= {"und", "en", "fr"}
 
 
+def test_whitening(spark, odd):
+    got = rows(spark, odd, "op11_whitening")
+    assert sorted({(r["vec_id"] is None, r["vec_id"] or 0) for r in got}) == [(False, i) for i in (0, 1, 5, 8, 9, 100, 200)] + [(True, 0)]
+    assert len(got) == 9 * 4 and {r["n"] for r in got} == {5}
+    assert all(r["whitened"] is not None for r in got if r["component"] == 1)
+
+
+def test_jaccard_join(spark, odd):
+    got = rows(spark, odd, "op12_jaccard_join")
+    assert len(got) == 15 and [r["component_id"] for r in got if r["doc_id"] in (4, 5)] == [4] * 4
+    assert {r["component_id"] for r in got if r["n_shingles"] == 0} == {0, 1, 2, None}
+
+
+def test_conversation_repair(spark, odd):
+    got = {r["conv_id"]: r for r in rows(spark, odd, "op13_conversation_repair")}
+    assert set(got) == {1, 2, 3, None} and got[3]["audit"] in ("", "D")
+
+
 def test_stages(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
