@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Reference fingerprints.
+PIVOTS = 16
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -50,3 +52,12 @@ def fingerprint(text: Column, width: int = 4) -> Column:
         return pd.Series(np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64))
 
     return of(text)
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def pivot_fingerprints(count: int = PIVOTS) -> list[int]:
+    """Reference fingerprints: the XXH64 of 0, 1, 2, ..."""
+    return [signed(xxhash.xxh64_intdigest(str(i), SEED)) for i in range(count)]

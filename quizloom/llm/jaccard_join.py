@@ -15,14 +15,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import cut, written
+from .components import components, grouped, merged
 from .fingerprint import SEED, shingle_hashes
-from .near_duplicates import components, grouped, merged
 
 WIDTH, PERCENT = 3, 90
 #: Counters of shingles, which fix the order of all shingles, the rare ones first; the rows in which they are summed up.
 COUNTERS, SLICES = 1 << 20, 64
-#: Bits of a set's parities.
+#: Bits of a set's parities; of sets of more shingles there is a wider field besides, of so many bits as half their size about.
 BITS = 1024
+#: Classes whose texts are fetched by a broadcast of their ids, 60 bytes each; more are fetched by a shuffle of the texts.
+FEW = 200_000
 #: Members of a cell, and shingles of them, about: what one task holds at a time.
 CELL, CELL_SHINGLES = 2048, 1 << 22
 #: DivideSkip's weight of a probe of a long list against a step of the merge of the short ones.
@@ -45,11 +47,15 @@ def counts_of(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndar
     each = counters // SLICES
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.int64)
+        total, some = np.zeros(counters, np.int64), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                at = (np.unique(shingle_hashes(text, width)) % np.uint64(counters)).astype(np.int64)
-                np.add.at(total, at, 1)
+                some.append(np.unique(shingle_hashes(text, width)))
+                if sum(map(len, some)) >= counters:
+                    total += np.bincount((np.concatenate(some) % np.uint64(counters)).astype(np.int64), minlength=counters)
+                    some = []
+        if some:
+            total += np.bincount((np.concatenate(some) % np.uint64(counters)).astype(np.int64), minlength=counters)
         if total.any():
             parts = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.reshape(SLICES, each)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
@@ -69,24 +75,66 @@ def counts_of(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndar
     return out.ravel()
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """For each of BITS remainders whether an odd number of shingles has it: two sets differ in as many bits at most as in shingles."""
-    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+def parities(shingles: np.ndarray, bits: int = BITS) -> bytes:
+    """For each remainder modulo the bits whether an odd number of shingles has it: two sets differ in as many bits at most as in
+    shingles. The halves of a field, one upon the other, are the field of half as many bits."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_bits(n: int) -> int:
+    return max(BITS, 1 << (n // 2).bit_length())
+
+
+def fields(parity: list[bytes], own: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of parities, the wider where there are two, by doublings of BITS: the numbers of rows that have so many bits, and these."""
+    given = [np.frombuffer(w or p, np.uint64) for p, w in zip(parity, own)]
+    level = np.array([(len(x) * 64 // BITS).bit_length() - 1 for x in given])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        at = np.flatnonzero(level == k)
+        bits = np.stack([given[i] for i in at]) if len(at) else np.zeros((0, BITS << k >> 6), np.uint64)
+        if out:
+            more, wider = out[-1]
+            at, bits = np.concatenate([at, more]), np.concatenate([bits, wider[:, : BITS << k >> 6] ^ wider[:, BITS << k >> 6 :]])
+        out.append((at, bits))
+    return out[::-1]
+
+
+class Fields:
+    """Parities of some sets, compared by the wider field that both of a pair have."""
+
+    def __init__(self, parity: list[bytes], wide: list[bytes | None]) -> None:
+        self.level = np.array([(len(w or p) * 8 // BITS).bit_length() - 1 for p, w in zip(parity, wide)], int)
+        self.place, self.bits = [], []
+        for at, bits in fields(parity, wide):
+            place = np.full(len(parity), -1)
+            place[at] = np.arange(len(at))
+            self.place.append(place)
+            self.bits.append(bits)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bits in which the sets a and b differ, no more than their shingles."""
+        both, out = np.minimum(self.level[a], self.level[b]), np.zeros(len(a), np.int64)
+        for k, (place, bits) in enumerate(zip(self.place, self.bits)):
+            at = np.flatnonzero(both == k)
+            for some in np.array_split(at, len(at) * bits.shape[1] // (1 << 20) + 1) if len(at) else ():
+                out[some] = np.bitwise_count(bits[place[a[some]]] ^ bits[place[b[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, digest, n, cls, parity, prefix) of each row: the size of its set, 128 bits that tell the set from others, its parities and
-    its rarest shingles; without the last two where equal sets alone can link."""
+    """(id, digest, n, cls, parity, wide, prefix) of each row: the size of its set, 128 bits that tell the set from others, its parities
+    and its rarest shingles; without the last three where equal sets alone can link."""
     text = F.col(text_col)
     counts = docs.sparkSession.sparkContext.broadcast(counts_of(docs.select(text), width))
     plain = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text"))
-    schema = StructType([plain.schema["id"], plain.schema["digest"]]).add("n", "long").add("cls", "binary").add("parity", "binary").add("prefix", ArrayType(LongType()))
+    schema = StructType([plain.schema["id"], plain.schema["digest"]]).add("n", "long").add("cls", "binary").add("parity", "binary").add("wide", "binary").add("prefix", ArrayType(LongType()))
     form = to_arrow_schema(schema)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, parity, prefix = [], [], [], []
+            n, cls, parity, wide, prefix = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 x = np.unique(shingle_hashes(text, width))
                 n.append(len(x))
@@ -99,9 +147,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
                     rare = np.flatnonzero(count <= count[rare].max())
                     prefix.append(x[rare[np.lexsort((x[rare], count[rare]))][:first]].view(np.int64))
                 parity.append(None if alone else parities(x))
+                wide.append(parities(x, wide_bits(len(x))) if len(x) > BITS else None)
                 if alone:
                     prefix.append(None)
-            columns = [batch.column("id"), batch.column("digest"), n, cls, parity, prefix]
+            columns = [batch.column("id"), batch.column("digest"), n, cls, parity, wide, prefix]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, form)], schema=form)
 
     return plain.mapInArrow(shingled, schema)
@@ -183,22 +232,28 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def bits_apart(parity: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers."""
+    return np.unique(np.array(column.to_pylist(), object).astype("S16"), return_inverse=True)[1]
 
 
-def promising(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(cell, cls, n, parity, label) of the members for which there is a partner in the cell that sizes, places in the lists and
-    parities do not rule out; none of the three rules out a pair at its first common shingle if it links."""
-    full = by_cell(cells.join(classes.select("cls", "n", "parity"), "cls").select("cell", "cls", "n", "pos", "parity", "label"), "n")
-    schema = StructType([full.schema[name] for name in ("cell", "cls", "n", "parity", "label")])
+def sifted(cells: DataFrame, wanted: tuple[str, ...], percent: int, pivots: int = 0) -> DataFrame:
+    """The columns `wanted` of the members (cell, cls, n, pos, label, parity, and wide where it is there) for which there is a partner in
+    the cell that is not ruled out: by sizes, by places in the lists, by the distances of parities to so many pivots, by parities
+    themselves. None of these rules out a pair that links at its first common shingle."""
+    full = by_cell(cells, "n")
+    schema = StructType([full.schema[name] for name in wanted])
     form = to_arrow_schema(schema)
+    fixed = np.random.default_rng(SEED).integers(0, 2**64, (pivots, BITS // 64), dtype=np.uint64)
 
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
             cell, n, pos = (table.column(c).to_numpy() for c in ("cell", "n", "pos"))
-            parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(cell), -1)
-            label = np.unique(np.array(table.column("label").to_pylist(), object).astype("S16"), return_inverse=True)[1]
+            names = table.column_names
+            parity = Fields(table.column("parity").to_pylist(), table.column("wide").to_pylist() if "wide" in names else [None] * len(cell))
+            label = numbers(table.column("label"))
+            narrow = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(cell), -1)
+            to_pivots = np.stack([np.bitwise_count(narrow ^ p).sum(axis=1, dtype=np.int16) for p in fixed], axis=1) if pivots else None
             good, rows, step = np.zeros(len(cell), bool), np.arange(len(cell)), 0
             while len(rows):
                 step += 1
@@ -209,12 +264,26 @@ def promising(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 least = needed(sizes, percent)
                 able = (label[a] != label[b]) & (pos[a] <= n[a] - least) & (pos[b] <= n[b] - least)
                 a, b, most = a[able], b[able], (sizes - 2 * least)[able]
-                near = bits_apart(parity, a, b) <= most
+                if pivots and len(a):
+                    able = np.abs(to_pivots[a] - to_pivots[b]).max(axis=1) <= most
+                    a, b, most = a[able], b[able], most[able]
+                near = parity.apart(a, b) <= most
                 good[a[near]] = good[b[near]] = True
             if good.any():
                 yield from table.filter(pa.array(good)).select(form.names).cast(form).combine_chunks().to_batches()
 
-    return full.mapInArrow(sifted, schema)
+    return full.mapInArrow(sift, schema)
+
+
+def promising(cells: DataFrame, classes: DataFrame, percent: int, pivots: int = 0) -> DataFrame:
+    """(cell, cls, n, parity, label) of the members with a partner that is not ruled out, after large sets' wide parities are fetched
+    for those that the narrow ones leave."""
+    first = sifted(cells.join(classes.select("cls", "n", "parity"), "cls"), ("cell", "cls", "n", "pos", "label", "parity"), percent, pivots)
+    large = written(first)
+    wide = large.filter(F.col("n") >= BITS * percent // 100).join(classes.filter(F.col("n") > BITS).select("cls", "wide"), "cls", "left")
+    kept = sifted(wide, ("cell", "cls", "n", "parity", "label"), percent)
+    with_large = large.filter(F.col("n") <= BITS).select("cell", "cls", "n", "parity", "label")
+    return with_large.unionByName(kept.filter(F.col("n") > BITS))
 
 
 class Lists:
@@ -284,7 +353,7 @@ def occurring(lists: Lists, member: int, wanted: np.ndarray, least: int) -> list
     return found
 
 
-def cell_links(sets: list[np.ndarray], parity: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def cell_links(sets: list[np.ndarray], parity: Fields, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of numbers (of sets of rising size) that link and tie components together, as few as tie all that links in the cell.
 
     A member searches smaller ones of other components, first the nearest by parities of each component, then twice as many.
@@ -296,7 +365,7 @@ def cell_links(sets: list[np.ndarray], parity: np.ndarray, labels: np.ndarray, p
         others = others[comp[others] != comp[member]]
         if not len(others):
             continue
-        apart = bits_apart(parity, others, np.full(len(others), member))
+        apart = parity.apart(others, np.full(len(others), member))
         sizes = n[others] + n[member]
         near = apart <= sizes - 2 * needed(sizes, percent)
         others, apart = others[near], apart[near]
@@ -327,8 +396,8 @@ def found_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 rows = table.slice(a, b - a)
                 cls = rows.column("cls").to_pylist()
                 shingles = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-                parity = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(cls), -1)
-                labels = np.unique(np.array(rows.column("label").to_pylist(), object).astype("S16"), return_inverse=True)[1]
+                parity = Fields(rows.column("parity").to_pylist(), [parities(x, wide_bits(len(x))) if len(x) > BITS else None for x in shingles])
+                labels = numbers(rows.column("label"))
                 if found := cell_links(shingles, parity, labels, percent):
                     yield pa.RecordBatch.from_arrays([pa.array([cls[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -337,7 +406,9 @@ def found_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(cls, shingles) of the wanted classes, made again from one text of each."""
-    one = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("one.id").alias("one_id"), F.col("one.digest").alias("one_digest"))
+    one = written(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("one.id").alias("one_id"), F.col("one.digest").alias("one_digest")))
+    if one.count() <= FEW:
+        one = F.broadcast(one)
     texts = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     found = texts.join(one, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one_digest"))).select("cls", "text").dropDuplicates(["cls"])
 
@@ -349,27 +420,17 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col:
     return found.mapInArrow(shingled, "cls binary, shingles binary")
 
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row (id, n_shingles, component_id) for each row of docs; two link when 100 * intersection >= percent * union of their sets of
-    shingles, and component_id is the least id that links reach, the row's own included.
-
-    Shingles are told apart by 64 bits of hash. Equal sets are one class. Classes meet in the inverted lists of the rarest tenth of
-    their shingles; every such list with two classes or more is a cell, or several where it is long. First each class is searched
-    in two cells, and what links becomes components; then all cells that hold more than one component are. A cell is sifted by sizes,
-    places and parities, sets are fetched for what remains and searched by DivideSkip.
-    NULL and empty texts and texts of white space have no shingles and link with nothing; nor do rows without an id lose their place:
-    they may tie others together, and a component without any id has a NULL component_id. Repeated rows each stay, texts of any
-    length count whole, other columns are ignored, no rows give no rows.
-    """
+def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, pivots: int = 0) -> DataFrame:
+    """One row (id, digest, n, cls, component_id, group) for each row of docs: the group is the same for all that links tie together,
+    which the least id alone would not tell where ids are repeated. Rows without shingles are one group here."""
     rows = written(sets_of(docs, id_col, text_col, width, percent))
-    some = rows.filter("n > 0")
-    first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
-    distinct = cut(some.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
+    first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")]
+    distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
     classes = distinct.filter("prefix IS NOT NULL")
     postings = cut(shared_postings(classes))
 
     def links(cells: DataFrame) -> DataFrame:
-        survivors = written(promising(cells, classes, percent))
+        survivors = written(promising(cells, classes, percent, pivots))
         return cut(found_links(survivors, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
 
     labels = components(links(first_cells(postings).withColumn("label", F.col("cls"))))
@@ -378,5 +439,20 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
     named = named.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
     labels = merged(labels, named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    linked = grouped(some.select("id", "n", "cls"), distinct.select("cls", "least_id"), labels, "cls").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionAll(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    return grouped(rows.select("id", "digest", "n", "cls"), distinct.select("cls", "least_id"), labels, "cls")
+
+
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row (id, n_shingles, component_id) for each row of docs; two link when 100 * intersection >= percent * union of their sets of
+    shingles, and component_id is the least id that links reach, the row's own included.
+
+    Shingles are told apart by 64 bits of hash. Equal sets are one class. Classes meet in the inverted lists of the rarest tenth of
+    their shingles; every such list with two classes or more is a cell, or several where it is long. First each class is searched
+    in two cells, and what links becomes components; then all cells that hold more than one component are. A cell is sifted by sizes,
+    places and parities, sets are fetched for what remains and searched by DivideSkip.
+    NULL and empty texts and texts of white space have no shingles and link with nothing; nor do rows without an id lose their place:
+    they may tie others together, and a component without any id has a NULL component_id. Repeated rows each stay, texts of any
+    length count whole, other columns are ignored, no rows give no rows.
+    """
+    found = linked(docs, id_col, text_col, width, percent)
+    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

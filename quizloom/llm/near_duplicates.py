@@ -1,35 +1,23 @@
-"""Near-duplicate groups: by SimHash with pivot distance tables, and by the similarity of shingle sets."""
+"""Near-duplicate groups: by SimHash with pivot distance tables, and by the similarity of shingle sets behind the same tables."""
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import cut
-from .fingerprint import SEED, fingerprint, shingle_hashes
+from .components import components, grouped, merged
+from .fingerprint import PIVOTS, fingerprint, pivot_fingerprints, signed
+from .jaccard_join import linked
 
 RADIUS = 4
-#: Reference fingerprints. Keys of candidates have so many bits beyond the binary logarithm of the number of fingerprints, about.
-PIVOTS, SPARE_BITS = 16, 2
-#: Of similar texts: the words of a shingle and the least Jaccard similarity of the sets of shingles.
-WIDTH, SIMILARITY = 5, 0.8
-#: Least hashes of a set are taken in bands. Sets of a similarity of 0.8 agree in no band with probability (1 - 0.8^5)^40,
-#: 1.3 in 10^7, and more similar ones less often.
-BANDS, BAND_ROWS = 40, 5
-#: Bands whose leaders are compared first, so that large groups are joined by few comparisons.
-FIRST_BANDS = 4
-MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+#: Keys of candidates have so many bits beyond the binary logarithm of the number of fingerprints, about.
+SPARE_BITS = 2
+#: Of similar texts: the words of a shingle and the least Jaccard similarity of the sets of shingles, in percent.
+WIDTH, PERCENT = 5, 80
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -45,11 +33,6 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
-def pivot_fingerprints(count: int = PIVOTS) -> list[int]:
-    """Reference fingerprints: the XXH64 of 0, 1, 2, ..."""
-    return [signed(xxhash.xxh64_intdigest(str(i), SEED)) for i in range(count)]
-
-
 def pivot_table(fp: Column, mask: int = -1, bits: int = 8) -> list[Column]:
     """The Hamming distances to all pivots in the bits of the mask, packed into longs."""
     pivots, each = pivot_fingerprints(), 64 // bits
@@ -142,48 +125,6 @@ def clusters(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return merged(labels, tied)
 
 
-def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, label) after the components that pairs (a, b) of labels, or of nodes without one, tie together have become one."""
-    onward = components(pairs)
-    alone = onward.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
-    moved = labels.join(onward.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return cut(moved.union(alone.select("node", "label")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all ends of the edges (a, b); the label is one node of the component, the same for all.
-
-    In each round every node hooks on to the neighbour of least hash, if that is less than its own, follows the hooks
-    three times, and the edges shrink to the distinct ones between the nodes reached. Hashes keep chains of hooks
-    short, and dense groups collapse in the first round. Rounds are cut by checkpoints; no row but one to tell whether
-    edges are left reaches the driver.
-    """
-
-    def rank(node: str) -> Column:
-        return F.struct(F.xxhash64(node).alias("hash"), F.col(node).alias("node"))
-
-    edges = cut(edges.select("a", "b"))
-    labels = None
-    while labels is None or not edges.isEmpty():
-        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near"))))
-        nearest = edges.select(ends.alias("end")).select("end.*").groupBy("node").agg(F.min(rank("near")).alias("least"))
-        hook = cut(nearest.select("node", F.least(rank("node"), F.col("least"))["node"].alias("label")))
-        step = hook.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        root = hook
-        for _ in range(2):
-            root = root.join(step, "label").select("node", F.col("next").alias("label"))
-        root = cut(root)
-        of_a, of_b = root.select(F.col("node").alias("a"), F.col("label").alias("c")), root.select(F.col("node").alias("b"), F.col("label").alias("d"))
-        joined = edges.join(of_a, "a").join(of_b, "b").filter("c <> d")
-        edges = cut(joined.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
-        if labels is None:
-            labels = root
-        else:
-            onward = root.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = cut(labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-    return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row (id, fp, component_id) for each row of docs.
 
@@ -198,123 +139,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(rows, distinct, labels, "fp").select("id", "fp", "component_id")
 
 
-def grouped(rows: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """rows with the least id of their component; distinct has the least_id of each key, labels the components of linked keys."""
-    linked = distinct.join(labels.withColumnRenamed("node", key), key)
-    named = cut(linked.groupBy("label").agg(F.min("least_id").alias("component_id")))
-    of_linked = linked.join(named, "label").select(key, "component_id", F.col("label").alias("group"))
-    classes = cut(distinct.join(of_linked, key, "left").select(key, F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("group", key).alias("group")))
-    return rows.join(classes, key)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band: of the set's least hashes under BAND_ROWS of the multipliers, and of the band's number."""
-    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(least, (MULTIPLIERS[:, None] * shingles[None, at : at + 512]).min(axis=1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B185EBCA87)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
-
-
-def sketch(text: Column, width: int) -> Column:
-    """(cls, bands) of each text: 128 bits that tell its set of shingles from others, and its keys; no keys without words."""
-
-    @F.pandas_udf("cls binary, bands array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
-        classes = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
-        return pd.DataFrame({"cls": pd.Series(classes, dtype=object), "bands": pd.Series([band_keys(x) if len(x) else [] for x in sets], dtype=object)})
-
-    return of(text)
-
-
-def shingle_set(text: Column, width: int) -> Column:
-    """The sorted hashes of the text's shingles, eight bytes each."""
-
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
-
-    return of(text)
-
-
-@F.pandas_udf(LongType())
-def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The number of hashes that two sets share."""
-    found = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)]
-    return pd.Series(found, dtype="int64")
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose sets (cls, shingles) have at least this Jaccard similarity, counted exactly."""
-    a, b = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    n, m = F.length("of_a") / 8, F.length("of_b") / 8
-    sized = both.filter(F.least(n, m) >= similarity * F.greatest(n, m))
-    common = sized.select("a", "b", (n + m).alias("sizes"), shared("of_a", "of_b").alias("common"))
-    return cut(common.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"))
-
-
-def between(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of labels that pairs of nodes tie together; a node without a label stands for itself."""
-    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("label").alias("c")), labels.select(F.col("node").alias("b"), F.col("label").alias("d"))
-    named = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("c", "a").alias("c"), F.coalesce("d", "b").alias("d"))
-    return named.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-
-
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row (id, component_id, group, digest) for each row of docs; texts are linked whose sets of shingles have at least this
-    similarity. The group is the same for all of a component, which its least id alone would not tell where ids are
-    repeated; the digest is the text's.
-
-    Texts of one set are brought down to one class each, texts without words and NULL among them. Classes that agree in
-    a band share a bucket. First the members of a bucket are compared with its leader, in a few bands and then in all,
-    then with each other as far as they lie in different components, so that each two of a bucket are in one component
-    or compared exactly. NULL ids, repeated rows and other columns are as in near_duplicates.
-    """
-    if similarity < SIMILARITY:
-        raise ValueError(f"the bands are made for similarities of {SIMILARITY} and more")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("digest"), sketch(text, width).alias("own")).select("id", "digest", "own.*"))
-    distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min("digest").alias("digest"), F.first("bands").alias("bands")))
-    keyed = distinct.select("cls", F.posexplode("bands").alias("band", "key"))
-    first = F.min(F.struct(F.xxhash64("key", "cls").alias("hash"), "cls"))
-    buckets = keyed.groupBy("key").agg(first["cls"].alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    members = cut(keyed.join(buckets, "key"))
-    wanted = distinct.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "digest")
-    found = docs.select(F.unhex(F.md5(text)).alias("digest"), text.alias("text")).join(wanted, "digest").groupBy("cls").agg(F.first("text").alias("text"))
-    sets = cut(found.select("cls", shingle_set(F.col("text"), width).alias("shingles")))
-
-    def pair(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    def placed(labels: DataFrame) -> DataFrame:
-        """The members that are not in their leader's component, and their buckets' other members, with components."""
-        of = labels.select(F.col("node").alias("cls"), F.col("label").alias("own"))
-        of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("leading"))
-        named = members.join(of, "cls", "left").join(of_leader, "leader", "left")
-        named = named.select("key", "cls", "leader", F.coalesce("own", "cls").alias("own"), F.coalesce("leading", "leader").alias("leading"))
-        return cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
-
-    star = members.filter((F.col("band") < FIRST_BANDS) & (F.col("cls") != F.col("leader"))).select(*pair(F.col("cls"), F.col("leader"))).distinct()
-    labels = components(similar_pairs(star, sets, similarity))
-    rest = placed(labels)
-    star = rest.filter("own <> leading").select(*pair(F.col("cls"), F.col("leader"))).distinct()
-    labels = merged(labels, between(labels, similar_pairs(star, sets, similarity)))
-    rest = placed(labels)
-    x, y = rest.filter("own <> leading").alias("x"), rest.filter("cls <> leader").alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.cls") < F.col("y.cls")))
-    across = similar_pairs(x.join(y, apart).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct(), sets, similarity)
-    return grouped(rows, distinct, merged(labels, between(labels, across)), "cls").select("id", "component_id", "group", "digest")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Of each group of similar texts the row of smallest id; of several rows with that id in one group the one of least MD5 of
     its text, of rows equal in both any one. So an id that is repeated with texts of several groups may stay in each. Rows
-    with a NULL id stay. All columns are kept, whatever their names; no rows give no rows."""
+    with a NULL id stay. All columns are kept, whatever their names; no rows give no rows.
+
+    Texts are similar by their sets of shingles, texts without words are one group. At a similarity of 0.8 SimHashes differ by five to
+    ten bits as a rule, where blocks of 64 bits find no candidates; so the rarest shingles do. The fingerprints are wider ones
+    here, parities, whose distance is never more than that of the sets: tables of their distances to the pivots discard pairs by the
+    largest difference of coordinates, what survives is compared as a whole, and then the sets are, exactly.
+    """
 
     def free(name: str) -> str:
         while name in docs.columns:
@@ -322,7 +156,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return name
 
     own_id, own_digest = free("kept_id"), free("kept_digest")
-    found = similar_texts(docs, id_col, text_col, width, similarity).filter(F.col("id") == F.col("component_id"))
+    found = linked(docs, id_col, text_col, width, percent, pivots=PIVOTS).filter(F.col("id") == F.col("component_id"))
     kept = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("kept")).select(F.col("kept.id").alias(own_id), F.col("kept.digest").alias(own_digest)).distinct()
     digested = docs.withColumn(own_digest, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     named = digested.join(kept.withColumnRenamed(own_digest, free("kept_other")), (F.col(id_col) == F.col(own_id)) & (F.col(own_digest) == F.col(free("kept_other"))), "left_semi")

@@ -71,6 +71,7 @@ def rows():
     for n in (1, 2, 3, 8, 9, 10, 11, 12, 13, 20, 21, 22):  # subsets one shingle apart
         add(" ".join(f"s{i}" for i in range(n)))
         add(" ".join(f"s{i}" for i in range(n)).upper())
+    many = " ".join(rng.choice(words, 1300))
     out += [(None, out[3][1]), (None, None), (None, "lonely words of no id"), (900, None), (901, ""), (902, " \n\t"), (903, "x"), (903, "x"), (5, out[7][1]), (904, "a b c d e f g h i j k l"), (905, "long " * 30_000 + "end")]
     return out
 
@@ -133,13 +134,26 @@ def test_cell_writes_a_tree_of_links():
     rng = np.random.default_rng(8)
     base = np.arange(200, dtype=np.uint64) << np.uint64(33)
     sets = sorted([np.unique(np.concatenate([np.delete(base, rng.choice(200, 5)), rng.integers(1, 2**63, 3, dtype=np.uint64)])) for _ in range(150)], key=len)
-    parity = np.frombuffer(b"".join(J.parities(s) for s in sets), np.uint64).reshape(150, -1)
+    parity = J.Fields([J.parities(s) for s in sets], [None] * 150)
     links = J.cell_links(sets, parity, np.arange(150), 90)
     assert len(links) == 149
     for a in range(150):
         for b in range(a):
             common = len(np.intersect1d(sets[a], sets[b]))
-            assert J.bits_apart(parity, np.array([a]), np.array([b]))[0] <= len(sets[a]) + len(sets[b]) - 2 * common
+            assert parity.apart(np.array([a]), np.array([b]))[0] <= len(sets[a]) + len(sets[b]) - 2 * common
+
+
+def test_wide_parities_fold():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (50, 900, 1100, 3000, 9000, 2900)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(1, 2**63, 5, dtype=np.uint64)]) for s in sets]
+    found = J.Fields([J.parities(s) for s in sets], [J.parities(s, J.wide_bits(len(s))) if len(s) > J.BITS else None for s in sets])
+    for a in range(12):
+        for b in range(12):
+            differ = len(sets[a]) + len(sets[b]) - 2 * len(np.intersect1d(sets[a], sets[b]))
+            bits = min(J.wide_bits(len(x)) if len(x) > J.BITS else J.BITS for x in (sets[a], sets[b]))
+            own = [np.frombuffer(J.parities(x, bits), np.uint8) for x in (sets[a], sets[b])]
+            assert found.apart(np.array([a]), np.array([b]))[0] == np.bitwise_count(own[0] ^ own[1]).sum() <= differ
 
 
 def test_query_on_given_rows(spark):
