@@ -1,8 +1,7 @@
 """Documents as outlines: lines, blocks, heading nodes, items and chunks, as rows in document order.
 
-All steps up to the nodes, and all after the tree passes, are window and join expressions over rows; `doc_id` is the key
-of every window, so that documents are the units of work. The tree passes themselves, which move nodes about within one
-document, are a grouped map over the node rows of a document.
+All steps are window, aggregation and join expressions over rows; `doc_id` is the key of every window, so that documents are the
+units of work. One pass over the tree, which attaches items to headings, is a grouped map over the node rows of a document.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
+from . import tree
 
 MIN_SIZE = 50
 LEVELS = range(1, 7)
@@ -150,10 +151,14 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def nodes(found: DataFrame) -> DataFrame:
     """(doc_id, node_no, level, title, content): a node for each heading with its paragraphs, and node 0, the root, for those before."""
-    numbered = found.withColumn("node_no", F.sum((F.col("kind") == "heading").cast("int")).over(in_document("block_no")))
-    paragraphs = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "para", F.struct("block_no", "text")))), lambda x: x["text"])
+    order = in_document("block_no")
+    heading = F.col("kind") == "heading"
+    counted = found.withColumns({"own": F.sum(heading.cast("int")).over(order), "first": F.lag("block_no").over(order).isNull()})
+    numbered = counted.withColumn("node_no", F.explode(F.when(F.col("first") & (F.col("own") > 0), F.array(F.lit(0), F.col("own"))).otherwise(F.array("own"))))
+    here = F.col("node_no") == F.col("own")
+    paragraphs = F.transform(F.array_sort(F.collect_list(F.when(here & ~heading, F.struct("block_no", "text")))), lambda x: x["text"])
     return numbered.groupBy("doc_id", "node_no").agg(
-        F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.coalesce(F.max(F.when(F.col("kind") == "heading", F.col("text"))), F.lit("")).alias("title"), F.array_join(paragraphs, "\n\n").alias("content"),
+        F.coalesce(F.max(F.when(here, F.col("level"))), F.lit(0)).alias("level"), F.coalesce(F.max(F.when(here & heading, F.col("text"))), F.lit("")).alias("title"), F.array_join(paragraphs, "\n\n").alias("content"),
     )
 
 
@@ -248,7 +253,7 @@ def all_titles(rows: DataFrame, most: int = 50) -> DataFrame:
     return titled.groupBy("doc_id").agg(F.array_join(shown, "\n").alias("titles"), F.greatest(F.count("*") - most, F.lit(0)).alias("others"))
 
 
-# The tree passes of one document.
+# The pass that attaches items to headings, within one document. The other passes are steps over rows, in tree.py.
 
 
 @dataclass
@@ -259,77 +264,42 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-REAL, HEAD = re.compile(T.REAL_HEADING.replace("(?iu)", "(?i)")), re.compile(T.ARTICLE_HEADING.replace("(?iu)", "(?i)"))
-NUMBERED, SUB, LETTER, MAIN = (re.compile(p) for p in (T.NUMBERED, T.SUB_ITEM, T.LETTER_ITEM, T.MAIN_ITEM))
-INLINE_ITEMS = re.compile(r"\d+\)\s+[^;]*?(?=\s*;\s*\d+\)|;?\s*$)", re.S | re.M)
-ARTICLE_ALONE = re.compile(r"^[ \t]*(Статья\s+\d+)[ \t]*$", re.I | re.M)
+HEAD, NUMBERED, SUB, MAIN = (re.compile(p.replace("(?iu)", "(?i)")) for p in (T.ARTICLE_HEADING, T.NUMBERED, T.SUB_ITEM, T.MAIN_ITEM))
+#: Where an item `1) ` begins: a line, or after a semicolon or a full stop; and where letters do.
+ITEM_START, LETTER_START = re.compile(r"(?:^|;\s*|\.\s+)(?=\d+\)\s)", re.M), re.compile(r"^(?=[а-яА-Я]\)\s)", re.M)
+NUMBER_LED = re.compile(r"(?:\A|\n\n)\d+[.)]\s")
+#: Items within a text that has none of these beginnings.
+LOOSE_ITEM = re.compile(r"(\d+\))\s+([^;]+?)(?=;\s*\d+\)|;?\s*\Z)")
 
 
-def grown(rows: pd.DataFrame) -> Node:
-    root = Node(0)
-    stack = [root]
-    for r in rows.sort_values("node_no").itertuples():
-        if r.level == 0:
-            root.content = r.content
-            continue
-        while stack[-1].level >= r.level:
-            stack.pop()
-        stack[-1].children.append(Node(int(r.level), r.title, r.content))
-        stack.append(stack[-1].children[-1])
-    return root
-
-
-def paragraph(n: Node) -> bool:
-    t = n.title.strip()
-    return not n.children and (not t or (not REAL.match(t) and (len(t) > 150 or t[-1] in ",;" or t[0].islower())))
-
-
-def merge_paragraphs(node: Node) -> None:
-    """Runs of paragraphs of one level among siblings become one node."""
-    out: list[Node] = []
-    run: list[Node] = []
-
-    def close() -> None:
-        if len(run) < 2:
-            out.extend(run)
-        else:
-            parts = [x for n in run for x in (n.title.strip(), n.content.strip()) if x]
-            made = Node(run[0].level, content=(" " if parts and parts[0][-1] in ",;" else "\n\n").join(parts))
-            made.title = next((n.title.strip() for n in run if n.title.strip() and len(n.title.strip()) < 50), "")
-            head = run[0].title.strip()
-            if not made.title and head and len(head) < 100 and head[-1] not in ",;":
-                made.title, made.content = head, made.content.removeprefix(head).strip()
-            out.append(made)
-        run.clear()
+def cut_items(content: str, starts: re.Pattern[str]) -> tuple[str, list[Node]]:
+    """What stands before the first item, and the items, each a title line with the lines after it."""
+    at = [m.end() for m in starts.finditer(content)]
+    found = []
+    for a, b in zip(at, [*at[1:], len(content)]):
+        first, _, rest = content[a:b].strip().removesuffix(";").strip().partition("\n")
+        if NUMBERED.match(first) or SUB.match(first):
+            found.append(Node(0, first.strip(), rest.strip()))
+    return (content[: at[0]].strip() if at else content), found
 
-    for child in node.children:
-        merge_paragraphs(child)
-        if run and not (paragraph(child) and child.level == run[0].level):
-            close()
-        if paragraph(child):
-            run.append(child)
-        else:
-            out.append(child)
-    close()
-    node.children = out
 
+def numbered_items(content: str) -> list[Node]:
+    """The numbered items of a text: by their beginnings; else parted by semicolons; else the parts between blank lines that begin
+    with a number."""
+    _, found = cut_items(content, ITEM_START)
+    if found or ITEM_START.search(content):
+        return found
+    if ";" in content:
+        found = [Node(0, f"{m[1]} {m[2].strip()}") for m in LOOSE_ITEM.finditer(content) if m[2].strip()]
+    if not found:
+        parts = [p.strip().partition("\n") for p in content.split("\n\n")]
+        found = [Node(0, first.strip(), rest.strip()) for first, _, rest in parts if NUMBERED.match(first.strip())]
+    return found
 
-def split_articles(root: Node) -> None:
-    """Lines that name an article and nothing else, in the text before all headings, become nodes of level 2."""
-    parts = ARTICLE_ALONE.split(root.content)
-    if len(parts) > 1:
-        root.content = parts[0].strip()
-        root.children = [Node(2, t, c.strip()) for t, c in zip(parts[1::2], parts[2::2])] + root.children
 
-
-def cut_items(content: str, pattern: str) -> tuple[str, list[Node]]:
-    """What stands before the first item, and the items, each a title line with the lines after it."""
-    starts = [m.start(1) for m in re.finditer(pattern, content)]
-    found = []
-    for a, b in zip(starts, [*starts[1:], len(content)]):
-        first, _, rest = content[a:b].strip().rstrip(";").partition("\n")
-        found.append(Node(0, first.strip(), rest.strip()))
-    return (content[: starts[0]].strip() if starts else content), found
+def leading_number(title: str) -> int | None:
+    found = re.match(r"(\d+)[.)]", title)
+    return int(found[1]) if found else None
 
 
 def releveled(node: Node, level: int) -> Node:
@@ -338,105 +308,98 @@ def releveled(node: Node, level: int) -> Node:
     return node
 
 
+def gathered(head: Node, following: list[Node]) -> tuple[list[Node], int, str]:
+    """(items, number of siblings used, content) of an article's heading and what follows it.
+
+    Its own content may hold items. Numbered siblings of its level or the next are items, and those whose content begins with a
+    number are the items of that; other text of its level goes into the content, deeper text is passed over and lost. Another article, a count that
+    begins anew, a number of another level, or a higher level end it.
+    """
+    items, content, last = [], head.content, 0
+    if NUMBER_LED.search(content.strip()):
+        before, items = cut_items(content.strip(), ITEM_START)
+        content = " ".join(before.split()) if items else content
+    for used, n in enumerate(following):
+        title, own = n.title.strip(), n.content.strip()
+        if HEAD.match(title) and (n.level <= head.level or items):
+            return items, used, content
+        if NUMBERED.match(title):
+            number = leading_number(title)
+            if (last > 1 and (number == 1 or title.startswith("1."))) or not head.level <= n.level <= head.level + 1:
+                return items, used, content
+            last = last if number is None else number
+            items.append(n)
+            continue
+        found = numbered_items(own) if NUMBERED.match(own.partition("\n")[0].strip()) else []
+        if found:
+            if last > 1 and found[0].title.startswith("1."):
+                return items, used, content
+            last = next((x for x in map(leading_number, [f.title for f in reversed(found)]) if x is not None), last)
+            items += found
+        elif n.level < head.level:
+            return items, used, content
+        elif n.level == head.level:
+            content = "\n\n".join(x for x in (content, title or own) if x)
+    return items, len(following), content
+
+
 def attach_items(node: Node) -> None:
-    """Headings of articles without children take the numbered siblings that follow; sub-items go below their main item,
-    letters below the item that holds them."""
+    """Headings of articles without children take the items that follow; sub-items go below their main item, letters below the
+    item that holds them. Children of an item stay below it."""
     for child in node.children:
         attach_items(child)
-    out: list[Node] = []
-    rest = list(node.children)
-    while rest:
-        head = rest.pop(0)
+    out, at = [], 0
+    while at < len(node.children):
+        head = node.children[at]
         out.append(head)
+        at += 1
         if head.children or not HEAD.match(head.title.strip()):
             continue
-        items: list[Node] = []
-        if re.search(r"(?:\n\n|\A)\d+[.)]\s", head.content):
-            before, items = cut_items(head.content, r"(?:^|\n|;\s*|\.\s+)(\d+\)\s)")
-            if items:
-                head.content = " ".join(before.split())
-        last = 0
-        while rest:
-            n = rest[0]
-            title = n.title.strip()
-            number = int(m[0]) if (m := re.match(r"\d+", title)) else None
-            if HEAD.match(title) and (n.level <= head.level or items):
-                break
-            if NUMBERED.match(title) or SUB.match(title):
-                if not head.level <= n.level <= head.level + 1 or (MAIN.match(title) and number == 1 and last > 1):
-                    break
-                last = number if number is not None and MAIN.match(title) else last
-                items.append(rest.pop(0))
-            elif n.level < head.level or HEAD.match(title) or n.children:
-                break
-            elif re.match(r"\d+[.)]\s", n.content.strip()):
-                items += cut_items(rest.pop(0).content, r"(?:^|\n)(\d+[.)]\s)")[1]
-            elif n.level == head.level and not title:
-                head.content = "\n\n".join(x for x in (head.content, rest.pop(0).content) if x)
-            else:
-                break
+        items, used, content = gathered(head, node.children[at:])
+        if items or content:
+            head.content, at = content, at + used
         main: Node | None = None
         for item in items:
-            item.content, letters = cut_items(item.content, r"(?:^|\n)([а-яА-Я]\)\s)")
+            item.content, letters = cut_items(item.content, LETTER_START)
             item.children += letters
-            if main is not None and SUB.match(item.title):
+            if main is not None and SUB.match(item.title.strip()):
                 main.children.append(item)
             else:
-                main = item if MAIN.match(item.title) else None
+                main = item if MAIN.match(item.title.strip()) else None
                 head.children.append(item)
         head.children = [releveled(c, head.level + 1) for c in head.children]
     node.children = out
 
 
-def split_inline_items(node: Node) -> None:
-    """Two and more items `1) a; 2) b` on one line become children."""
-    for child in node.children:
-        split_inline_items(child)
-    text = node.content.strip()
-    if SUB.match(node.title.strip()) and text:
-        text = f"{node.title.strip()}{'; ' if SUB.match(text) else ' '}{text}"
-    found = list(INLINE_ITEMS.finditer(text))
-    if text and len(found) > 1 and text[found[0].start() : found[-1].end()].count("\n") <= 1:
-        if text != node.content.strip():
-            node.title = ""
-        node.content = " ".join(text[: found[0].start()].split())
-        node.children = [Node(node.level + 1, m[0].strip().rstrip(";").strip()) for m in found] + node.children
-
-
-def lift_from_empty(node: Node) -> None:
-    out = []
-    for child in node.children:
-        lift_from_empty(child)
-        if child.children and not child.title.strip() and not child.content.strip():
-            out += [releveled(c, node.level + 1) for c in child.children]
-        else:
-            out.append(child)
-    node.children = out
-
-
-def reshaped(rows: DataFrame) -> DataFrame:
-    """Node rows of each document after all passes: paragraphs merged, articles split, items attached and split, empty nodes
-    lifted. A document is the unit of work; its nodes are numbered anew in order."""
-    kind = dict(rows.dtypes)["doc_id"]
+def attached(rows: DataFrame) -> DataFrame:
+    """The rows of a tree (see tree.py) with items attached to headings. A document is the unit of work; its nodes are numbered anew."""
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *[StructField(n, ArrayType(IntegerType())) for n in ("node", "parent")], StructField("level", IntegerType()), StructField("title", StringType()), StructField("content", StringType())])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        root = grown(frame)
-        merge_paragraphs(root)
-        split_articles(root)
-        attach_items(root)
-        split_inline_items(root)
-        lift_from_empty(root)
-        out: list[tuple] = []
-
-        def walk(n: Node) -> None:
-            out.append((frame["doc_id"].iloc[0], len(out), n.level, n.title, n.content))
+        doc, tops, known, out = frame["doc_id"].iloc[0], [], {}, []
+        for node, parent, level, title, content in sorted((tuple(n), None if p is None else tuple(p), v, t, c) for n, p, v, t, c in frame[["node", "parent", "level", "title", "content"]].itertuples(index=False)):
+            known[node] = Node(int(level), title, content)
+            (known[parent].children if parent in known else tops).append(known[node])
+
+        def walk(n: Node, parent: list[int] | None) -> None:
+            own = [len(out)]
+            out.append((doc, own, parent, n.level, n.title, n.content))
             for c in n.children:
-                walk(c)
+                walk(c, own)
+
+        for top in tops:
+            attach_items(top)
+            walk(top, None)
+        return pd.DataFrame(out, columns=["doc_id", "node", "parent", "level", "title", "content"])
 
-        walk(root)
-        return pd.DataFrame(out, columns=["doc_id", "node_no", "level", "title", "content"])
+    return rows.groupBy("doc_id").applyInPandas(one, schema)
 
-    return rows.groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, node_no int, level int, title string, content string")
+
+def reshaped(rows: DataFrame) -> DataFrame:
+    """Node rows of each document after all passes: paragraphs merged, articles split, items attached and split, empty nodes
+    lifted, numbered anew in order."""
+    merged = tree.split_articles(tree.merged_paragraphs(tree.tree(rows)))
+    return tree.numbered(tree.lifted(tree.split_inline_items(attached(merged))))
 
 
 def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

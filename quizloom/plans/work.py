@@ -192,6 +192,35 @@ def j15(spark, d):
     return merged_registry(fixed, probed)
 
 
+STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+ARRIVED = f"""arrived AS (SELECT event_id, ts, epoch_us(ts) AS us, user_id AS task_id, {STATUS_SQL} AS status, CAST(CASE WHEN event_id % 5 = 0 THEN event_id % 3 END AS INTEGER) AS attempts,
+    user_id * 100 + day(ts) AS day_task, user_id * 10 + day(ts) // 4 AS dataset_id, (day(ts) - 1) // 8 + CASE WHEN event_id % 29 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS file FROM events)"""
+
+
+@query("x02_recovery_by_timer", f"""WITH {ARRIVED}, marks AS (SELECT file, max(max(us) // 1000) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 17 * 86400000 AS mark FROM arrived GROUP BY file),
+    kept AS (SELECT a.* FROM arrived a JOIN marks m USING (file) WHERE mark IS NULL OR us > mark * 1000), horizon AS (SELECT (max(us) // 1000 - 17 * 86400000) * 1000 AS h FROM arrived),
+    steps AS (SELECT *, status = 'processing' AND coalesce(lead(us) OVER w > us + 900000000, TRUE) AND us + 900000000 < h AS stuck, count(attempts) OVER w AS part FROM kept, horizon WINDOW w AS (PARTITION BY task_id ORDER BY us, event_id)),
+    counted AS (SELECT *, coalesce(max(attempts) OVER (PARTITION BY task_id, part), 0) + coalesce(sum(CAST(stuck AS INTEGER)) OVER (PARTITION BY task_id, part ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tried FROM steps WHERE us < h)
+    SELECT task_id, us, event_id, status, CAST(tried AS INTEGER) AS attempts, 0 AS recovered FROM counted
+    UNION ALL SELECT task_id, us + 900000000, NULL, CASE WHEN tried + 1 >= 3 THEN 'failed' ELSE 'pending' END, CAST(tried + 1 AS INTEGER), 1 FROM counted WHERE stuck""")
+def x02(spark, d):
+    from ..streaming.fold import recovered_log
+
+    return recovered_log(spark, d).select("task_id", F.unix_micros("at").alias("us"), "event_id", "status", "attempts", F.col("recovered").cast("int").alias("recovered"))
+
+
+@query("x07_completion_by_batch", f"""WITH {ARRIVED}, files AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS batch FROM (SELECT DISTINCT file FROM arrived)),
+    known AS (SELECT f.file, f.batch, a.dataset_id, a.day_task, arg_max(a.status, (a.us, a.event_id)) AS status FROM files f JOIN arrived a ON a.file <= f.file GROUP BY 1, 2, 3, 4),
+    touched AS (SELECT DISTINCT file, dataset_id FROM (SELECT a.file, a.dataset_id, a.us, a.event_id, max(CASE WHEN p.us IS NOT NULL THEN (p.us, p.event_id) END) AS before FROM arrived a LEFT JOIN arrived p ON p.day_task = a.day_task AND p.file < a.file GROUP BY 1, 2, 3, 4) WHERE before IS NULL OR (us, event_id) > before)
+    SELECT k.batch, k.dataset_id, count(*) AS total, count(*) FILTER (status IN ('pending', 'processing')) AS open, count(*) FILTER (status = 'completed') AS done,
+        CASE WHEN count(*) FILTER (status IN ('pending', 'processing')) = 0 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN count(*) FILTER (status IN ('pending', 'processing')) = 0 THEN count(*) FILTER (status = 'completed') || '/' || count(*) END AS success_rate
+    FROM known k JOIN touched t ON t.file = k.file AND t.dataset_id = k.dataset_id GROUP BY k.batch, k.dataset_id""")
+def x07(spark, d):
+    from ..streaming.fold import completed_by_batch
+
+    return completed_by_batch(spark, d).withColumn("batch", F.col("batch").cast("long"))
+
+
 @query("x01_stream_task_fold", f"WITH {LATEST} SELECT task_id, event_id, status, attempts FROM latest")
 def x01(spark, d):
     from ..streaming.fold import folded

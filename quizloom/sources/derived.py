@@ -53,6 +53,40 @@ OUTLINE_LINES = LINES + """, outline_lines AS (SELECT doc_id, line_no,
     CASE WHEN line_no % 9 = 0 THEN 1 WHEN line_no % 3 = 0 THEN 2 END AS level, line AS title FROM lines)"""
 
 
+def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rows of documents: a root with the article lines of its content, and a node for each line. Its level and what becomes
+    title and content go by the line's length and number: empty nodes, articles, items of three forms, parts of sentences, plain ones."""
+    found = lines(spark, sf_dir)
+    n, i, line = F.length("line"), F.col("line_no"), F.col("line")
+    digit = lambda k: (1 + i % k).cast("string")
+    head = F.left(line, F.lit(20))
+    forms = [
+        (F.lit(""), F.lit("")), (F.concat(F.lit("Статья "), digit(9)), F.lit("")), (F.concat(digit(5), F.lit(". "), head), F.expr("substring(line, 21, 200)")),
+        (F.concat(digit(3), F.lit(") "), head), F.when(i % 2 == 0, F.concat(F.lit("2) "), F.expr("substring(line, 21, 15)"), F.lit("; 3) last"))).otherwise("")), (F.concat(F.lower(F.left(line, F.lit(30))), F.lit(",")), F.lit("")), (F.lit(""), line),
+        (F.left(line, F.lit(40)), F.concat(F.lit("see: 1) "), F.left(line, F.lit(10)), F.lit("; 2) "), F.expr("substring(line, 11, 10)"), F.lit(";"), F.when(i % 3 == 0, "\nafter").otherwise(""))),
+        (F.concat(F.lit("Глава "), digit(7), F.lit(". "), F.left(line, F.lit(15))), F.lit("")), (F.lit(""), F.concat(F.lit("1) a;\n2) b;\n"), head)), (F.left(line, F.lit(60)), F.expr("substring(line, 61)")),
+    ]
+    kind = ((n + i) % 10).cast("int")
+    pick = lambda side: F.coalesce(*[F.when(kind == k, f[side]) for k, f in enumerate(forms)])
+    nodes = found.select("doc_id", (i + 1).cast("int").alias("node_no"), (1 + (n * 7 + i) % 4).cast("int").alias("level"), pick(0).alias("title"), pick(1).alias("content"))
+    first = F.concat(F.left("text", F.lit(25)), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("\n\nСтатья 1\n\n"), F.expr("substring(text, 26, 40)"), F.lit("\nСТАТЬЯ 2 \nстатья 33 о\nСтатья 4"))).otherwise(""))
+    roots = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("node_no"), F.lit(0).alias("level"), F.lit("").alias("title"), first.alias("content"))
+    return nodes.unionByName(roots)
+
+
+OUTLINE_NODES = LINES + """, outline_nodes AS (
+    SELECT doc_id, CAST(line_no + 1 AS INTEGER) AS node_no, CAST(1 + (length(line) * 7 + line_no) % 4 AS INTEGER) AS level,
+        CASE (length(line) + line_no) % 10 WHEN 1 THEN 'Статья ' || (1 + line_no % 9) WHEN 2 THEN (1 + line_no % 5) || '. ' || left(line, 20) WHEN 3 THEN (1 + line_no % 3) || ') ' || left(line, 20) WHEN 4 THEN lower(left(line, 30)) || ','
+            WHEN 6 THEN left(line, 40) WHEN 7 THEN 'Глава ' || (1 + line_no % 7) || '. ' || left(line, 15) WHEN 9 THEN left(line, 60) ELSE '' END AS title,
+        CASE (length(line) + line_no) % 10 WHEN 2 THEN substr(line, 21, 200) WHEN 3 THEN CASE WHEN line_no % 2 = 0 THEN '2) ' || substr(line, 21, 15) || '; 3) last' ELSE '' END WHEN 5 THEN line
+            WHEN 6 THEN 'see: 1) ' || left(line, 10) || '; 2) ' || substr(line, 11, 10) || ';' || CASE WHEN line_no % 3 = 0 THEN chr(10) || 'after' ELSE '' END
+            WHEN 8 THEN '1) a;' || chr(10) || '2) b;' || chr(10) || left(line, 20) WHEN 9 THEN substr(line, 61) ELSE '' END AS content FROM lines
+    UNION ALL SELECT doc_id, 0, 0, '', left(text, 25) || CASE WHEN doc_id % 3 > 0 THEN chr(10) || chr(10) || 'Статья 1' || chr(10) || chr(10) || substr(text, 26, 40) || chr(10) || 'СТАТЬЯ 2 ' || chr(10) || 'статья 33 о' || chr(10) || 'Статья 4' ELSE '' END FROM documents),
+    tree AS (SELECT *, CASE WHEN level > 0 THEN greatest(l0, CASE WHEN level > 1 THEN l1 END, CASE WHEN level > 2 THEN l2 END, CASE WHEN level > 3 THEN l3 END) END AS parent_no FROM (
+        SELECT *, max(CASE level WHEN 0 THEN node_no END) OVER w AS l0, max(CASE level WHEN 1 THEN node_no END) OVER w AS l1, max(CASE level WHEN 2 THEN node_no END) OVER w AS l2, max(CASE level WHEN 3 THEN node_no END) OVER w AS l3
+        FROM outline_nodes WINDOW w AS (PARTITION BY doc_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
+
+
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents of which each 4th from the 2nd on begins a numbered item `n. ` and each 8th from the 7th on reads `n.m. `."""
     n = F.floor(F.col("line_no") / 4).cast("string")

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tasks import MAX_ATTEMPTS, latest, reconciled
+from ..operators.tasks import ACTIVE, MAX_ATTEMPTS, latest
 from ..sinks.shared import work_folder
 from ..sources.derived import task_events
 from ..sources.derived import table
@@ -52,46 +52,181 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("task_id").agg(last.alias("last")).select("task_id", "last.*")
 
 
-def recover(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a task: its status and attempts. A task in processing whose heartbeats stop is pending again or, at the
-    most attempts, failed."""
-    status, attempts = state.get if state.exists else ("pending", 0)
-    if state.hasTimedOut:
-        if status == "processing":
-            attempts += 1
-            status = "failed" if attempts >= MAX_ATTEMPTS else "pending"
-            state.update((status, attempts))
-            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "attempts": [attempts], "recovered": [True]})
-        return
-    newest = None
-    for frame in frames:
-        top = frame.sort_values(["ts", "event_id"]).iloc[-1]
-        if newest is None or (top["ts"], top["event_id"]) > (newest["ts"], newest["event_id"]):
-            newest = top
-    state.update((newest["status"], attempts))
-    if newest["status"] == "processing":
-        state.setTimeoutTimestamp(max(int(newest["ts"].timestamp() * 1000) + 15 * 60_000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"task_id": [key[0]], "status": [newest["status"]], "attempts": [attempts], "recovered": [False]})
-
-
-def with_recovery(events: DataFrame) -> DataFrame:
-    """Changes of tasks, those by the clock included: 15 minutes of event time without a heartbeat recover a task."""
-    out, state = "task_id long, status string, attempts int, recovered boolean", "status string, attempts int"
-    return events.withWatermark("ts", "1 minute").groupBy("task_id").applyInPandasWithState(recover, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def complete_datasets(tasks_path: str, out_path: str):
-    """For foreachBatch: after each batch of changes, the datasets that have no open task left."""
+class Recovery(StatefulProcessor):
+    """A task's status and attempts by the order of event time, whatever the order of arrival.
+
+    Events wait until the watermark has passed them. A task in processing for which no event, and so no heartbeat, comes within
+    the time allowed is pending again with one more attempt, or failed at the most attempts: a timer of event time does that.
+    An event that carries attempts sets them.
+    """
+
+    def __init__(self, minutes: int) -> None:
+        self.allowed = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, status string, attempts int")
+        self.known = handle.getValueState("known", "status string, attempts int, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        added = [(int(r.at_us), int(r.event_id), r.status, None if pd.isna(r.attempts) else int(r.attempts)) for frame in rows for r in frame.itertuples()]
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        in_time = [x for x in added if x[0] > mark]
+        if in_time:
+            self.waiting.appendList(in_time)
+            self.wake(min(x[0] for x in in_time))
+        yield self.log(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        status, attempts, due = self.known.get() if self.known.exists() else (None, 0, None)
+        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        passed, later = [x for x in waiting if x[0] < mark], [x for x in waiting if x[0] >= mark]
+        out = []
+        for at, event_id, told, tried in [*passed, (mark, None, None, None)]:
+            if due is not None and due < at:
+                attempts += 1
+                status = "failed" if attempts >= MAX_ATTEMPTS else "pending"
+                out.append((due, None, status, attempts, True))
+                due = None
+            if event_id is not None:
+                status, attempts = told, attempts if tried is None else tried
+                due = at + self.allowed if status == "processing" else None
+                out.append((at, event_id, status, attempts, False))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        self.known.update((status, attempts, due))
+        if later or due is not None:
+            self.wake(min(x for x in (due, *(x[0] for x in later)) if x is not None))
+        yield self.log(key, out)
+
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def log(self, key, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["at_us", "event_id", "status", "attempts", "recovered"])
+        return frame.assign(task_id=key[0])[["task_id", "at_us", "event_id", "status", "attempts", "recovered"]].astype({"at_us": "int64", "event_id": "Int64", "attempts": "int32", "recovered": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def with_recovery(events: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
+    """Changes of tasks (task_id, at, event_id, status, attempts, recovered) up to the watermark: events, and recoveries by the clock,
+    whose event_id is NULL. Events that come later than `late` after the latest one are left out."""
+    attempts = F.col("attempts").cast("int") if "attempts" in events.columns else F.lit(None).cast("int")
+    told = events.withWatermark("ts", late).select("task_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id", "status", attempts.alias("attempts"))
+    schema = "task_id long, at_us long, event_id long, status string, attempts int, recovered boolean"
+    changes = told.groupBy("task_id").transformWithStateInPandas(Recovery(minutes), schema, "Append", "EventTime")
+    return changes.select("task_id", F.timestamp_micros("at_us").alias("at"), "event_id", "status", "attempts", "recovered")
+
+
+class Openings(StatefulProcessor):
+    """What a task's latest status changes in its dataset's counts of all, open and completed tasks."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "at long, event_id long, status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.known.get()) if self.known.exists() else None
+        newest = max((int(r.at_us), int(r.event_id), r.status) for frame in rows for r in frame.itertuples())
+        found = pd.DataFrame({"dataset_id": [], "total": [], "open": [], "done": []}, dtype="int64")
+        if before is None or newest > before:
+            self.known.update(newest)
+            counts = lambda s: (int(s in ACTIVE), int(s == "completed"))
+            (open_now, done_now), (open_then, done_then) = counts(newest[2]), counts(before[2] if before else None)
+            found = pd.DataFrame({"dataset_id": [key[0]], "total": [int(before is None)], "open": [open_now - open_then], "done": [done_now - done_then]})
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def openings(events: DataFrame) -> DataFrame:
+    """(dataset_id, total, open, done): changes of the counts of datasets by events (dataset_id, task_id, event_id, ts, status)."""
+    told = events.select("dataset_id", "task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id", "status")
+    return told.groupBy("dataset_id", "task_id").transformWithStateInPandas(Openings(), "dataset_id long, total long, open long, done long", "Update", "None")
+
+
+def keep_counts(folder: str):
+    """For foreachBatch: adds a batch's changes to the counts that the batch before left, and writes both the counts of all datasets
+    and those of the datasets it touched, which are completed if no task is open. A batch that is run again writes the same.
+
+    Only counts are read again, a row for each dataset; tasks are in the stream's state.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("dataset_id").distinct()
-        done = reconciled(spark.read.parquet(tasks_path).join(touched, "dataset_id", "left_semi"))
-        done.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        changes = batch.groupBy("dataset_id").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("touched", F.lit(True))
+        if number > 0:
+            before = spark.read.parquet(f"{folder}/counts/batch={number - 1}").select("dataset_id", *COUNTS).withColumn("touched", F.lit(False))
+            changes = changes.unionByName(before).groupBy("dataset_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.bool_or("touched").alias("touched"))
+        changes.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
     return run
 
 
+COUNTS = ("total", "open", "done")
+
+
+def completions(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, dataset_id, total, open, done, status, success_rate) of the datasets that each batch touched."""
+    counts = spark.read.parquet(f"{folder}/counts").filter("touched")
+    rate = F.when(F.col("open") == 0, F.concat_ws("/", F.col("done").cast("string"), F.col("total").cast("string")))
+    return counts.select("batch", "dataset_id", *COUNTS, F.when(F.col("open") == 0, "completed").otherwise("processing").alias("status"), rate.alias("success_rate"))
+
+
+def run_to_end(stream: DataFrame, spark: SparkSession, folder: str, write, mode: str = "append") -> None:
+    """Runs a stream over all that has arrived, from its checkpoint in the folder; keyed state is in RocksDB, on the executors' disks."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+
+
+#: Arrival of events in the queries: files of so many days each; each 7th event a file late, each 29th three; and the lateness allowed.
+FILE_DAYS, LATE, VERY_LATE, ALLOWED = 8, 7, 29, "17 days"
+
+
+def arrivals(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The events as a stream of files that arrive one after the other, some events late: tasks and datasets by user and day."""
+    events = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type").isin("view", "click"), "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    day, key = F.dayofmonth("ts"), F.col("event_id")
+    as_utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), spark.conf.get("spark.sql.session.timeZone"))  # times without a zone
+    number = F.floor((day - 1) / FILE_DAYS) + F.when(key % VERY_LATE == 0, 3).when(key % LATE == 0, 1).otherwise(0)
+    made = events.select(key, as_utc.alias("ts"), F.col("user_id").alias("task_id"), (F.col("user_id") * 100 + day).alias("day_task"), (F.col("user_id") * 10 + F.floor(day / 4)).alias("dataset_id"), status.alias("status"), F.when(key % 5 == 0, key % 3).cast("int").alias("attempts"), number.alias("file"))
+    for k in [r["file"] for r in made.select("file").distinct().orderBy("file").collect()]:
+        made.filter(F.col("file") == k).coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    return event_stream(spark, f"{folder}/arrived")
+
+
+def recovered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of tasks that with_recovery makes of events which arrive in files, some of them late."""
+    folder = work_folder(spark)
+    changes = with_recovery(arrivals(spark, sf_dir, folder), 15, ALLOWED)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+
+    run_to_end(changes, spark, folder, write)
+    return spark.read.parquet(f"{folder}/log").drop("batch")
+
+
+def completed_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each dataset after each batch of events that touched it."""
+    folder = work_folder(spark)
+    events = arrivals(spark, sf_dir, folder).withColumn("task_id", F.col("day_task"))
+    run_to_end(openings(events), spark, folder, keep_counts(folder), "update")
+    return completions(spark, folder)
+
+
 def generated_so_far(events: DataFrame, window: str = "1 day") -> DataFrame:
     """Completed tasks for each window of event time; windows close a minute after their end."""
     done = events.filter(F.col("status") == "completed").withWatermark("ts", "1 minute")

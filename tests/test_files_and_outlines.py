@@ -11,6 +11,7 @@ from quizloom.operators import export as E
 from quizloom.operators import outline as O
 from quizloom.operators import questions as Q
 from quizloom.operators import scorers as R
+from quizloom.operators import tree as R2
 from quizloom.operators import versions as V
 from quizloom.sinks import files as sinks
 from quizloom.sources import files
@@ -79,28 +80,56 @@ def test_blocks(spark):
     assert [(r["kind"], r["level"], r["text"]) for r in got] == [("heading", 1, "Title"), ("para", None, "para one\nline two"), ("heading", 1, "Head"), ("heading", 2, "Sub"), ("para", None, "---\nlast")]
 
 
-def frame(rows):
-    import pandas as pd
-
-    return pd.DataFrame([(1, i, *r) for i, r in enumerate(rows)], columns=["doc_id", "node_no", "level", "title", "content"])
-
-
-def test_tree_passes():
-    root = O.grown(frame([(0, "", "before\nСтатья 7\nbody"), (1, "Статья 1", ""), (1, "1. first", "text"), (1, "1) sub", ""), (1, "2. second", ""), (1, "Статья 2", ""), (1, "1. other", "")]))
-    O.split_articles(root)
-    assert root.content == "before" and root.children[0].title == "Статья 7" and root.children[0].content == "body"
-    O.attach_items(root)
-    assert [c.title for c in root.children] == ["Статья 7", "Статья 1", "Статья 2"]
-    assert [c.title for c in root.children[1].children] == ["1. first", "2. second"] and [c.title for c in root.children[1].children[0].children] == ["1) sub"]
-    merged = O.grown(frame([(0, "", ""), (2, "part one,", "a"), (2, "and part two", "b"), (2, "Глава 1", "")]))
-    O.merge_paragraphs(merged)
-    assert [c.title for c in merged.children] == ["part one,", "Глава 1"] and merged.children[0].content == "part one, a and part two b"
-    inline = O.Node(1, "H", "see: 1) one; 2) two; 3) three.")
-    O.split_inline_items(inline)
-    assert [c.title for c in inline.children] == ["1) one", "2) two", "3) three."] and inline.content == "see:"
-    lifted = O.Node(0, children=[O.Node(1, children=[O.Node(2, "x", "y")])])
-    O.lift_from_empty(lifted)
-    assert [(c.title, c.level) for c in lifted.children] == [("x", 1)]
+def tree_rows(spark, rows):
+    """Rows (level, title, content) in order as the rows of a tree."""
+    return R2.tree(spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id long, node_no int, level int, title string, content string"))
+
+
+def listed(rows):
+    return [(r["level"], r["title"], r["content"]) for r in rows.orderBy("node").collect()]
+
+
+def test_articles_are_split_and_items_attached(spark):
+    rows = tree_rows(spark, [(0, "", "before\nСтатья 7\nbody"), (1, "Статья 1", ""), (1, "1. first", "text"), (1, "1) sub", ""), (1, "2. second", ""), (1, "Статья 2", ""), (1, "1. other", "")])
+    split = R2.split_articles(rows)
+    assert listed(split)[:2] == [(0, "", "before"), (2, "Статья 7", "body")]
+    assert listed(O.attached(split)) == [(0, "", "before"), (2, "Статья 7", "body"), (1, "Статья 1", ""), (2, "1. first", "text"), (3, "1) sub", ""), (2, "2. second", ""), (1, "Статья 2", ""), (2, "1. other", "")]
+
+
+def test_paragraphs_are_merged(spark):
+    rows = tree_rows(spark, [(0, "", ""), (2, "part one,", "a"), (2, "and part two", "b"), (2, "Глава 1", ""), (3, "X" * 60, ""), (3, "", "only"), (3, "lower " * 12, "")])
+    assert listed(R2.merged_paragraphs(rows)) == [(0, "", ""), (2, "part one,", "part one, a and part two b"), (2, "Глава 1", ""), (3, "X" * 60, ""), (3, "", "only\n\n" + ("lower " * 12).strip())]
+
+
+def test_inline_items_and_empty_nodes(spark):
+    rows = tree_rows(spark, [(0, "", ""), (1, "H", "see: 1) one; 2) two; 3) three."), (1, "1) a", "2) b; 3) c;"), (1, "I", "1) x\n\n2) y\n\n3) z"), (1, "J", "1) x; 2) y\nrest  of it")])
+    got = listed(R2.split_inline_items(rows))
+    assert got[1:5] == [(1, "H", "see:"), (2, "1) one", ""), (2, "2) two", ""), (2, "3) three.", "")]
+    assert got[5:9] == [(1, "", ""), (2, "1) a", ""), (2, "2) b", ""), (2, "3) c", "")] and got[9][2] == "1) x\n\n2) y\n\n3) z" and got[10] == (1, "J", "rest of it")
+    chain = tree_rows(spark, [(0, "", ""), (1, "", " "), (2, "", ""), (3, "x", "y"), (4, "below", ""), (2, "z", ""), (1, "", ""), (1, "t", "")])
+    kept = R2.lifted(chain)
+    assert [(r["level"], r["title"], r["parent"]) for r in kept.orderBy("node").collect()] == [(0, "", None), (1, "x", [0]), (4, "below", [3]), (1, "z", [0]), (1, "", [0]), (1, "t", [0])]
+
+
+def test_items_of_contents():
+    items = lambda text: [(n.title, n.content) for n in O.numbered_items(text)]
+    assert items("1) one; 2) two;\n3) three\nmore. 4) four") == [("1) one", ""), ("2) two", ""), ("3) three", "more."), ("4) four", "")]
+    assert items("1. see 2) b;") == [("2) b", "")] and items("1. see 2) b; c") == [("1. see 2) b; c", "")]
+    assert items("1. one\nmore\n\nplain\n\n2. two") == [("1. one", "more"), ("2. two", "")] and items("plain; text") == []
+
+
+def gathered(spark, rows):
+    return [(r["level"], r["title"], r["content"]) for r in O.attached(spark.createDataFrame([(1, [i], [0] if i else None, *r) for i, r in enumerate([(0, "", ""), *rows])], "doc_id long, node array<int>, parent array<int>, level int, title string, content string")).orderBy("node").collect()][1:]
+
+
+def test_what_ends_a_list_of_items(spark):
+    head = (2, "Статья 1", "")
+    assert gathered(spark, [head, (2, "2. b", ""), (2, "1. anew", "")]) == [head, (3, "2. b", ""), (2, "1. anew", "")]
+    assert gathered(spark, [head, (4, "1. deep", "")]) == [head, (4, "1. deep", "")]
+    assert gathered(spark, [head, (3, "plain", ""), (2, "1. a", ""), (3, "lost", ""), (2, "note", ""), (1, "up", "")]) == [(2, "Статья 1", "note"), (3, "1. a", ""), (1, "up", "")]
+    assert gathered(spark, [head, (3, "kept", "")]) == [head, (3, "kept", "")]
+    assert gathered(spark, [head, (3, "", "1) x; 2) y"), (3, "Глава 2", ""), (2, "а. letter", "")]) == [head, (3, "1) x", ""), (3, "2) y", ""), (3, "Глава 2", ""), (2, "а. letter", "")]
+    assert gathered(spark, [(2, "Глава 1", "intro\n\n1) a; 2) b"), (2, "3. c", "t\nа) l\nб) m"), (2, "1) s", "")]) == [(2, "Глава 1", "intro"), (3, "1) a", ""), (3, "2) b", ""), (3, "3. c", "t"), (4, "а) l", ""), (4, "б) m", ""), (4, "1) s", "")]
 
 
 def docx(paragraphs):
