@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import cut, written
 from .components import components, grouped, merged
-from .fingerprint import SEED, shingle_hashes
+from .fingerprint import SEED
 
 WIDTH, PERCENT = 3, 90
 #: Counters of shingles, which fix the order of all shingles, the rare ones first; the rows in which they are summed up.
@@ -31,6 +31,42 @@ CELL, CELL_SHINGLES = 2048, 1 << 22
 PROBE = 0.0085
 
 
+#: Hashes of words that a task keeps, and what the places in a shingle multiply them by.
+WORDS = 1 << 19
+PLACES = np.random.default_rng(SEED).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Hashes(dict):
+    """The XXH64 of each word that is asked for, as long as there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+HASHES = Hashes()
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The text's set of shingles, sorted: 64 bits for each run of `width` words, mixed from the words' hashes; a shorter text is one
+    run, one without words has none. A-Z are lowered, words are runs of anything but ASCII white space."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    runs, used = max(1, len(words) - width + 1), min(width, len(words))
+    mixed = np.full(runs, used, np.uint64)
+    for k in range(used):
+        mixed += each[k : k + runs] * PLACES[k % len(PLACES)] ^ np.uint64(k)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
+
+
 def needed(sizes: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The least intersection of two sets that link, by the sum of their sizes."""
     return -(-percent * sizes // (100 + percent))
@@ -50,7 +86,7 @@ def counts_of(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndar
         total, some = np.zeros(counters, np.int64), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                some.append(np.unique(shingle_hashes(text, width)))
+                some.append(shingles(text, width))
                 if sum(map(len, some)) >= counters:
                     total += np.bincount((np.concatenate(some) % np.uint64(counters)).astype(np.int64), minlength=counters)
                     some = []
@@ -136,7 +172,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         for batch in batches:
             n, cls, parity, wide, prefix = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                x = np.unique(shingle_hashes(text, width))
+                x = shingles(text, width)
                 n.append(len(x))
                 cls.append(xxhash.xxh3_128_digest(x.tobytes(), SEED))
                 first = prefix_length(len(x), percent)
@@ -160,11 +196,13 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def shared_postings(classes: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, members, weight): the inverted lists of the prefixes, as far as at least two classes stand in them."""
+def shared_postings(classes: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n, pos, members, weight): the inverted lists of the prefixes, as far as at least two classes stand in them; lists of
+    two, which most are, only if sizes and places let these two link."""
     postings = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
-    return postings.join(lists, "token")
+    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("rest"))
+    able = (100 * (F.col("weight") - F.col("most")) >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * F.col("weight"))
+    return postings.join(lists.filter((F.col("members") > 2) | ((F.col("members") == 2) & able)).drop("most", "rest"), "token")
 
 
 def chunks(members: Column, weight: Column) -> Column:
@@ -414,7 +452,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text, width)).tobytes() for text in batch.column("text").to_pylist()]
+            sets = [shingles(text, width).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
     return found.mapInArrow(shingled, "cls binary, shingles binary")
@@ -427,7 +465,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")]
     distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
     classes = distinct.filter("prefix IS NOT NULL")
-    postings = cut(shared_postings(classes))
+    postings = cut(shared_postings(classes, percent))
 
     def links(cells: DataFrame) -> DataFrame:
         survivors = written(promising(cells, classes, percent, pivots))
