@@ -21,10 +21,14 @@ from .fingerprint import SEED
 WIDTH, PERCENT = 3, 90
 #: Counters of shingles, which fix the order of all shingles, the rare ones first; the rows in which they are summed up.
 COUNTERS, SLICES = 1 << 20, 64
-#: Bits of a set's parities; of sets of more shingles there is a wider field besides, of so many bits as half their size about.
+#: Bits of a set's parities; of larger sets there is a wider field besides, of two to four bits for each shingle.
 BITS = 1024
+#: A cell with so many times more promising pairs than members is searched as it is; in others each pair is, in one cell only.
+DENSE = 8
 #: Classes whose texts are fetched by a broadcast of their ids, 60 bytes each; more are fetched by a shuffle of the texts.
 FEW = 200_000
+#: Shingles in several prefixes that are broadcast, eight bytes each; more are joined.
+FEW_TOKENS = 1_000_000
 #: Members of a cell, and shingles of them, about: what one task holds at a time.
 CELL, CELL_SHINGLES = 2048, 1 << 22
 #: DivideSkip's weight of a probe of a long list against a step of the merge of the short ones.
@@ -83,13 +87,14 @@ def counts_of(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndar
     each = counters // SLICES
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(counters, np.int64), []
+        total, some, held = np.zeros(counters, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 some.append(shingles(text, width))
-                if sum(map(len, some)) >= counters:
+                held += len(some[-1])
+                if held >= counters:
                     total += np.bincount((np.concatenate(some) % np.uint64(counters)).astype(np.int64), minlength=counters)
-                    some = []
+                    some, held = [], 0
         if some:
             total += np.bincount((np.concatenate(some) % np.uint64(counters)).astype(np.int64), minlength=counters)
         if total.any():
@@ -119,13 +124,16 @@ def parities(shingles: np.ndarray, bits: int = BITS) -> bytes:
 
 
 def wide_bits(n: int) -> int:
-    return max(BITS, 1 << (n // 2).bit_length())
+    return max(BITS, 1 << (2 * n - 1).bit_length())
 
 
-def fields(parity: list[bytes], own: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of parities, the wider where there are two, by doublings of BITS: the numbers of rows that have so many bits, and these."""
-    given = [np.frombuffer(w or p, np.uint64) for p, w in zip(parity, own)]
-    level = np.array([(len(x) * 64 // BITS).bit_length() - 1 for x in given])
+def field(shingles: np.ndarray) -> bytes:
+    return parities(shingles, wide_bits(len(shingles)))
+
+
+def folded(given: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of fields, by doublings of BITS: the numbers of those that have so many bits or more, and these, folded."""
+    level = np.array([(len(x) * 64 // BITS).bit_length() - 1 for x in given], int)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(int(level.max(initial=-1)), -1, -1):
         at = np.flatnonzero(level == k)
@@ -140,11 +148,12 @@ def fields(parity: list[bytes], own: list[bytes | None]) -> list[tuple[np.ndarra
 class Fields:
     """Parities of some sets, compared by the wider field that both of a pair have."""
 
-    def __init__(self, parity: list[bytes], wide: list[bytes | None]) -> None:
-        self.level = np.array([(len(w or p) * 8 // BITS).bit_length() - 1 for p, w in zip(parity, wide)], int)
+    def __init__(self, given: list[bytes]) -> None:
+        arrays = [np.frombuffer(x, np.uint64) for x in given]
+        self.level = np.array([(len(x) * 64 // BITS).bit_length() - 1 for x in arrays], int)
         self.place, self.bits = [], []
-        for at, bits in fields(parity, wide):
-            place = np.full(len(parity), -1)
+        for at, bits in folded(arrays):
+            place = np.full(len(given), -1)
             place[at] = np.arange(len(at))
             self.place.append(place)
             self.bits.append(bits)
@@ -183,7 +192,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
                     rare = np.flatnonzero(count <= count[rare].max())
                     prefix.append(x[rare[np.lexsort((x[rare], count[rare]))][:first]].view(np.int64))
                 parity.append(None if alone else parities(x))
-                wide.append(parities(x, wide_bits(len(x))) if len(x) > BITS else None)
+                wide.append(field(x) if not alone and wide_bits(len(x)) > BITS else None)
                 if alone:
                     prefix.append(None)
             columns = [batch.column("id"), batch.column("digest"), n, cls, parity, wide, prefix]
@@ -198,8 +207,30 @@ def digest(text: Column) -> Column:
 
 def shared_postings(classes: DataFrame, percent: int) -> DataFrame:
     """(token, cls, n, pos, members, weight): the inverted lists of the prefixes, as far as at least two classes stand in them; lists of
-    two, which most are, only if sizes and places let these two link."""
-    postings = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    two, which most are, only if sizes and places let these two link.
+
+    Most shingles of a prefix stand in one class alone. Those that do not are found by counts; if they are few, the prefixes are
+    cut down to them before they are shuffled.
+    """
+    shared = written(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"))
+    places = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    if shared.count() <= FEW_TOKENS:
+        known = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["token"] for r in shared.toLocalIterator()], np.int64)))
+
+        def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("prefix")
+                tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                at = np.minimum(np.searchsorted(known.value, tokens), max(0, len(known.value) - 1))
+                kept = np.flatnonzero(known.value[at] == tokens) if len(known.value) else np.zeros(0, int)
+                own = np.searchsorted(ends, kept, "right")
+                pos = kept - np.concatenate([[0], ends])[own]
+                yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(pos.astype(np.int32)), pa.array(tokens[kept])], ["cls", "n", "pos", "token"])
+
+        postings = classes.select("cls", "n", "prefix").mapInArrow(cut_down, "cls binary, n long, pos int, token long")
+    else:
+        postings = places.join(shared, "token")
+    postings = cut(postings)
     lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("rest"))
     able = (100 * (F.col("weight") - F.col("most")) >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * F.col("weight"))
     return postings.join(lists.filter((F.col("members") > 2) | ((F.col("members") == 2) & able)).drop("most", "rest"), "token")
@@ -275,53 +306,74 @@ def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return np.unique(np.array(column.to_pylist(), object).astype("S16"), return_inverse=True)[1]
 
 
-def sifted(cells: DataFrame, wanted: tuple[str, ...], percent: int, pivots: int = 0) -> DataFrame:
-    """The columns `wanted` of the members (cell, cls, n, pos, label, parity, and wide where it is there) for which there is a partner in
-    the cell that is not ruled out: by sizes, by places in the lists, by the distances of parities to so many pivots, by parities
-    themselves. None of these rules out a pair that links at its first common shingle."""
-    full = by_cell(cells, "n")
-    schema = StructType([full.schema[name] for name in wanted])
-    form = to_arrow_schema(schema)
+def likely(table: pa.Table, percent: int, fixed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (cell, n, pos, label, field), sorted by cell and size, of one cell and two labels that are not ruled out: by sizes, by
+    places in the lists, by the distances of the fields to fixed ones, by the fields. None of these rules out a pair that links
+    at its first common shingle."""
+    cell, n, pos = (table.column(c).to_numpy() for c in ("cell", "n", "pos"))
+    given = table.column("field").to_pylist()
+    parity, label = Fields(given), numbers(table.column("label"))
+    to_fixed = None
+    if len(fixed):
+        narrow = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, BITS // 64), axis=0) for x in given])
+        to_fixed = np.stack([np.bitwise_count(narrow ^ p).sum(axis=1, dtype=np.int16) for p in fixed], axis=1)
+    rows, step = np.arange(len(cell)), 0
+    while len(rows):
+        step += 1
+        rows = rows[rows + step < len(cell)]
+        rows = rows[(cell[rows] == cell[rows + step]) & (100 * n[rows] >= percent * n[rows + step])]
+        a, b = rows, rows + step
+        sizes = n[a] + n[b]
+        least = needed(sizes, percent)
+        able = (label[a] != label[b]) & (pos[a] <= n[a] - least) & (pos[b] <= n[b] - least)
+        a, b, most = a[able], b[able], (sizes - 2 * least)[able]
+        if to_fixed is not None and len(a):
+            able = np.abs(to_fixed[a] - to_fixed[b]).max(axis=1) <= most
+            a, b, most = a[able], b[able], most[able]
+        near = parity.apart(a, b) <= most
+        if near.any():
+            yield a[near], b[near]
+
+
+def promising(cells: DataFrame, classes: DataFrame, percent: int, pivots: int = 0) -> DataFrame:
+    """(cell, cls), no row twice, from (cell, cls, pos, label): cells in which the classes are to be searched, so that all pairs that are
+    not ruled out meet.
+
+    Narrow fields come first; the wide ones are fetched for what they leave. A pair that many cells hold is searched in one, the
+    least, but where a cell holds many pairs for its members they are all searched there.
+    """
     fixed = np.random.default_rng(SEED).integers(0, 2**64, (pivots, BITS // 64), dtype=np.uint64)
+    form = to_arrow_schema(StructType([cells.schema[c] for c in ("cell", "cls", "pos", "label")]))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
-            cell, n, pos = (table.column(c).to_numpy() for c in ("cell", "n", "pos"))
-            names = table.column_names
-            parity = Fields(table.column("parity").to_pylist(), table.column("wide").to_pylist() if "wide" in names else [None] * len(cell))
-            label = numbers(table.column("label"))
-            narrow = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(cell), -1)
-            to_pivots = np.stack([np.bitwise_count(narrow ^ p).sum(axis=1, dtype=np.int16) for p in fixed], axis=1) if pivots else None
-            good, rows, step = np.zeros(len(cell), bool), np.arange(len(cell)), 0
-            while len(rows):
-                step += 1
-                rows = rows[rows + step < len(cell)]
-                rows = rows[(cell[rows] == cell[rows + step]) & (100 * n[rows] >= percent * n[rows + step])]
-                a, b = rows, rows + step
-                sizes = n[a] + n[b]
-                least = needed(sizes, percent)
-                able = (label[a] != label[b]) & (pos[a] <= n[a] - least) & (pos[b] <= n[b] - least)
-                a, b, most = a[able], b[able], (sizes - 2 * least)[able]
-                if pivots and len(a):
-                    able = np.abs(to_pivots[a] - to_pivots[b]).max(axis=1) <= most
-                    a, b, most = a[able], b[able], most[able]
-                near = parity.apart(a, b) <= most
-                good[a[near]] = good[b[near]] = True
+            good = np.zeros(table.num_rows, bool)
+            for a, b in likely(table, percent, fixed):
+                good[a] = good[b] = True
             if good.any():
                 yield from table.filter(pa.array(good)).select(form.names).cast(form).combine_chunks().to_batches()
 
-    return full.mapInArrow(sift, schema)
-
-
-def promising(cells: DataFrame, classes: DataFrame, percent: int, pivots: int = 0) -> DataFrame:
-    """(cell, cls, n, parity, label) of the members with a partner that is not ruled out, after large sets' wide parities are fetched
-    for those that the narrow ones leave."""
-    first = sifted(cells.join(classes.select("cls", "n", "parity"), "cls"), ("cell", "cls", "n", "pos", "label", "parity"), percent, pivots)
-    large = written(first)
-    wide = large.filter(F.col("n") >= BITS * percent // 100).join(classes.filter(F.col("n") > BITS).select("cls", "wide"), "cls", "left")
-    kept = sifted(wide, ("cell", "cls", "n", "parity", "label"), percent)
-    with_large = large.filter(F.col("n") <= BITS).select("cell", "cls", "n", "parity", "label")
-    return with_large.unionByName(kept.filter(F.col("n") > BITS))
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches):
+            found = list(likely(table, percent, fixed))
+            if not found:
+                continue
+            a, b = (np.concatenate([p[side] for p in found]) for side in (0, 1))
+            cell, cls = table.column("cell").to_numpy(), np.array(table.column("cls").to_pylist(), object)
+            own, first, members = np.unique(cell, return_index=True, return_counts=True)
+            dense = (np.bincount(np.searchsorted(own, cell[a]), minlength=len(own)) > DENSE * members)[np.searchsorted(own, cell)]
+            whole = np.unique(np.concatenate([a[dense[a]], b[dense[a]]]))
+            swap = cls[a] > cls[b]
+            a, b = np.where(swap, b, a)[~dense[a]], np.where(swap, a, b)[~dense[a]]
+            columns = [np.concatenate([cls[a], cls[whole]]), np.concatenate([cls[b], np.full(len(whole), None, object)]), np.concatenate([cell[a], cell[whole]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "cell"])
+
+    narrow = cells.join(classes.select("cls", "n", F.col("parity").alias("field")), "cls")
+    first = written(by_cell(narrow, "n").mapInArrow(sift, StructType([cells.schema[c] for c in form.names])))
+    wide = first.join(classes.select("cls", "n", F.coalesce("wide", "parity").alias("field")), "cls")
+    pairs = by_cell(wide, "n").mapInArrow(pair, "a binary, b binary, cell long")
+    chosen = pairs.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("cell")).alias("own")).agg(F.min("cell").alias("cell"))
+    return chosen.select("cell", F.explode(F.array_compact(F.array("a", "b"))).alias("cls")).distinct()
 
 
 class Lists:
@@ -423,9 +475,10 @@ def cell_links(sets: list[np.ndarray], parity: Fields, labels: np.ndarray, perce
     return out
 
 
-def found_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of classes that link and tie components together, from (cell, cls, n, parity, label) and (cls, shingles)."""
-    full = by_cell(survivors.join(sets, "cls").select("cell", "cls", "n", "parity", "label", "shingles"), "n", "cls")
+def found_links(survivors: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes that link and tie components together, from (cell, cls), (node, label) and (cls, shingles)."""
+    named = survivors.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    full = by_cell(named.join(sets, "cls").select("cell", "cls", F.length("shingles").alias("n"), "label", "shingles"), "n", "cls")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
@@ -433,10 +486,8 @@ def found_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFram
             for a, b in zip([0, *ends.tolist()], [*ends.tolist(), table.num_rows]):
                 rows = table.slice(a, b - a)
                 cls = rows.column("cls").to_pylist()
-                shingles = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-                parity = Fields(rows.column("parity").to_pylist(), [parities(x, wide_bits(len(x))) if len(x) > BITS else None for x in shingles])
-                labels = numbers(rows.column("label"))
-                if found := cell_links(shingles, parity, labels, percent):
+                sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+                if found := cell_links(sets, Fields([field(x) for x in sets]), numbers(rows.column("label")), percent):
                     yield pa.RecordBatch.from_arrays([pa.array([cls[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return full.mapInArrow(searched, "a binary, b binary").distinct()
@@ -467,12 +518,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     classes = distinct.filter("prefix IS NOT NULL")
     postings = cut(shared_postings(classes, percent))
 
-    def links(cells: DataFrame) -> DataFrame:
+    def links(cells: DataFrame, labels: DataFrame) -> DataFrame:
         survivors = written(promising(cells, classes, percent, pivots))
-        return cut(found_links(survivors, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
+        return cut(found_links(survivors, labels, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
 
-    labels = components(links(first_cells(postings).withColumn("label", F.col("cls"))))
-    ties = links(crossing_cells(postings, labels))
+    labels = components(links(first_cells(postings).withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
+    ties = links(crossing_cells(postings, labels), labels)
     of = labels.withColumnRenamed("label", "own")
     named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
     named = named.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))

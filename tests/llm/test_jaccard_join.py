@@ -82,6 +82,9 @@ def test_against_all_pairs(spark, rows):
 
 def test_long_lists_in_chunks(spark, rows, monkeypatch):
     monkeypatch.setattr(J, "CELL", 4)
+    monkeypatch.setattr(J, "DENSE", 1)
+    monkeypatch.setattr(J, "FEW_TOKENS", 10)
+    monkeypatch.setattr(J, "FEW", 3)
     monkeypatch.setattr(J, "COUNTERS", 1 << 10)
     assert got(J.similarity_join(made(spark, rows))) == plain(rows)
 
@@ -134,7 +137,7 @@ def test_cell_writes_a_tree_of_links():
     rng = np.random.default_rng(8)
     base = np.arange(200, dtype=np.uint64) << np.uint64(33)
     sets = sorted([np.unique(np.concatenate([np.delete(base, rng.choice(200, 5)), rng.integers(1, 2**63, 3, dtype=np.uint64)])) for _ in range(150)], key=len)
-    parity = J.Fields([J.parities(s) for s in sets], [None] * 150)
+    parity = J.Fields([J.field(s) for s in sets])
     links = J.cell_links(sets, parity, np.arange(150), 90)
     assert len(links) == 149
     for a in range(150):
@@ -147,11 +150,11 @@ def test_wide_parities_fold():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (50, 900, 1100, 3000, 9000, 2900)]
     sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(1, 2**63, 5, dtype=np.uint64)]) for s in sets]
-    found = J.Fields([J.parities(s) for s in sets], [J.parities(s, J.wide_bits(len(s))) if len(s) > J.BITS else None for s in sets])
+    found = J.Fields([J.field(s) for s in sets])
     for a in range(12):
         for b in range(12):
             differ = len(sets[a]) + len(sets[b]) - 2 * len(np.intersect1d(sets[a], sets[b]))
-            bits = min(J.wide_bits(len(x)) if len(x) > J.BITS else J.BITS for x in (sets[a], sets[b]))
+            bits = min(J.wide_bits(len(x)) for x in (sets[a], sets[b]))
             own = [np.frombuffer(J.parities(x, bits), np.uint8) for x in (sets[a], sets[b])]
             assert found.apart(np.array([a]), np.array([b]))[0] == np.bitwise_count(own[0] ^ own[1]).sum() <= differ
 
