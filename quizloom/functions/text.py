@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,9 +112,36 @@ def day(stamp: Column) -> Column:
     return F.substring(stamp.cast("string"), 1, 10)
 
 
+#: What a literal of Python is made of: strings in either quotes, words and numbers, brackets and separators, white space.
+PYTHON_TOKEN = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|[A-Za-z]+|[\[\]{}(),:]|\s+"""
+
+
+def python_string(token: Column) -> Column:
+    """A string's token in JSON: its own quotes bare, double quotes escaped, \\xNN as \\u00NN."""
+    inner = F.substr(token, F.lit(2), F.length(token) - 2)
+    parts = F.regexp_extract_all(inner, F.lit(r"(\\x[0-9A-Fa-f]{2}|\\.|[^\\])"), 1)
+    mended = F.transform(parts, lambda c: F.when(c == "\\'", "'").when(c == '"', '\\"').when(c == "\t", "\\t").when(F.length(c) == 4, F.concat(F.lit("\\u00"), F.right(c, F.lit(2)))).otherwise(c))
+    return F.concat(F.lit('"'), F.array_join(mended, ""), F.lit('"'))
+
+
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), made)[0]
+
+
 def literal_python(text: Column) -> Column:
-    """JSON of a dict written in Python: quotes swapped, True, False and None translated; NULL if it does not parse."""
-    swapped = F.replace(text, F.lit("'"), F.lit('"'))
-    for a, b in (("True", "true"), ("False", "false"), ("None", "null")):
-        swapped = F.regexp_replace(swapped, rf"\b{a}\b", b)
-    return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(swapped).isNotNull(), swapped)
+    """JSON of a literal written in Python: quotes of either kind with all that may stand within, True, False and None, tuples, commas
+    before an end. JSON stays as it is. NULL if it is neither."""
+    words = {"True": "true", "False": "false", "None": "null", "(": "[", ")": "]", ",": "\x01"}
+
+    def told(t: Column) -> Column:
+        plain = F.coalesce(*[F.when(t == a, b) for a, b in words.items()], t)
+        return F.when(F.left(t, F.lit(1)).isin("'", '"'), python_string(t)).when(t.rlike(r"^\s"), "").otherwise(plain)
+
+    def made(text: Column) -> Column:
+        joined = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"({PYTHON_TOKEN})"), 1), told), "")
+        json = F.translate(F.regexp_replace(joined, "\x01([\\]}])", "$1"), "\x01", ",")
+        rest = F.regexp_replace(text, PYTHON_TOKEN, "")
+        return F.when(F.try_parse_json(text).isNotNull(), text).when(rest == "", bound(json, lambda j: F.when(F.try_parse_json(j).isNotNull(), j)))
+
+    return bound(text, made)

@@ -33,12 +33,20 @@ def export_order() -> list[Column]:
     return [n.isNull().asc(), n.asc_nulls_last(), F.col("chunk_id").asc_nulls_last(), F.col("question_id").asc_nulls_last()]
 
 
+def natural_key(text: Column) -> Column:
+    """Text as an array that sorts as people do: runs of digits by value, all else by character without case and accents; signs
+    before numbers, numbers before letters."""
+    units = F.regexp_extract_all(text, F.lit(r"(\d+|\D)"), 1)
+    digits = lambda u: F.regexp_replace(u, r"^0+(?=\d)", "")
+    kind = lambda u: F.when(u.rlike(r"^\d"), 1).when(u.rlike(r"^\p{L}"), 2).otherwise(0)
+    folded = F.transform(units, lambda u: F.struct(kind(u).alias("kind"), F.when(kind(u) == 1, F.length(digits(u))).otherwise(0).alias("size"), F.collate(digits(u), "UNICODE_CI_AI").alias("text")))
+    return F.when(text != "", folded)
+
+
 def natural_order(column: str, ascending: bool = True) -> list[Column]:
-    """Digits by value, then text without case; empty and NULL values last when ascending and first when descending."""
-    text = F.nullif(F.trim(F.col(column).cast("string")), F.lit(""))
-    head, tail = F.lower(F.regexp_extract(text, r"^\D*", 0)), F.regexp_extract(text, r"^\D*(\d{1,18})", 1).try_cast("long")
-    keys = [F.when(text.isNull(), None).otherwise(head), tail, F.lower(text)]
-    return [k.asc_nulls_last() for k in keys] if ascending else [k.desc_nulls_first() for k in keys]
+    """Natural order of a column as text; empty and NULL values last when ascending and first when descending."""
+    key = natural_key(F.col(column).cast("string"))
+    return [key.asc_nulls_last() if ascending else key.desc_nulls_first()]
 
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:

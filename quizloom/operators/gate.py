@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 CRITERIA = ("c1_chunk_informative", "c2_chunk_reference_clarity", "c3_chunk_multi_suitability")
 REASONS = ("chunk_not_informative", "chunk_not_self_contained", "chunk_not_suitable_for_multi")
 NOT_SELECTED = "not_selected_for_generation"
@@ -29,25 +31,30 @@ def score(value: Column) -> Column:
 
 
 def parse_answer(raw: Column) -> Column:
-    """The struct of an answer: fences and words around the object go, single quotes become double ones if only so it
-    parses, scores become 0 or 1, a missing confidence 0, a missing reasoning the empty text. NULL if nothing parses."""
-    inner = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
+    """The struct of an answer: fences around it go; it is read as JSON or as a literal of Python, first whole, then from its first to
+    its last brace, and at last with single quotes made double ones. Scores become 0 or 1, a missing confidence 0, a missing
+    reasoning the empty text. NULL if nothing parses."""
+    opened = F.regexp_replace(T.strip(raw), r"^```(?:json)?\s*", "")
+    cleaned = T.strip(F.regexp_replace(opened, r"\s*```$", ""))
     fields = ", ".join(f"{c} STRING, {c[:2]}_reasoning STRING, {c[:2]}_confidence STRING" for c in CRITERIA)
 
     def read(text: Column) -> Column:
-        found = F.from_json(text, fields, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-        return F.when(F.try_parse_json(text).isNotNull(), found)
-
-    python = F.regexp_replace(F.regexp_replace(F.replace(inner, F.lit("'"), F.lit('"')), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    got = F.coalesce(read(inner), read(python))
-    parts = []
-    for c in CRITERIA:
-        parts += [
-            score(F.coalesce(got[c], F.lit("0"))).alias(c),
-            F.coalesce(got[f"{c[:2]}_reasoning"], F.lit("")).alias(f"{c[:2]}_reasoning"),
-            F.coalesce(F.expr("1.0D") * got[f"{c[:2]}_confidence"].try_cast("double"), F.lit(0.0)).alias(f"{c[:2]}_confidence"),
-        ]
-    return F.when(got.isNotNull(), F.struct(*parts))
+        inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+        swapped = F.replace(inner, F.lit("'"), F.lit('"'))
+        return F.coalesce(T.literal_python(text), T.literal_python(inner), F.when(F.try_parse_json(swapped).isNotNull(), swapped))
+
+    def scored(got: Column) -> Column:
+        parts = []
+        for c in CRITERIA:
+            parts += [
+                score(F.coalesce(got[c], F.lit("0"))).alias(c),
+                F.coalesce(got[f"{c[:2]}_reasoning"], F.lit("")).alias(f"{c[:2]}_reasoning"),
+                F.coalesce(F.expr("1.0D") * got[f"{c[:2]}_confidence"].try_cast("double"), F.lit(0.0)).alias(f"{c[:2]}_confidence"),
+            ]
+        return F.when(got.isNotNull(), F.struct(*parts))
+
+    json = T.bound(cleaned, read)
+    return T.bound(F.when(json.startswith("{"), F.from_json(json, fields, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})), scored)
 
 
 def decide(chunks: DataFrame, question_type: str) -> DataFrame:

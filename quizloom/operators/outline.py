@@ -135,8 +135,9 @@ def blocks(lines: DataFrame) -> DataFrame:
     found = found.withColumn("run", F.sum((~F.col("rule")).cast("int")).over(order))
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")))
     head = F.first(F.when(~F.col("rule"), ~F.col("atx") & ~F.col("blank")), ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("line_no"))
-    # of a run of rules after a line that can be a title, the first underlines it, the second can be a title itself, and so on
-    found = found.withColumn("under", F.col("rule") & F.coalesce(F.when(head, F.col("place") % 2 == 0).otherwise((F.col("place") % 2 == 1) & (F.col("place") > 2)), F.lit(False)))
+    # of a run of rules after a line that can be a title, the first underlines it, the second can be a title itself, and so on;
+    # the first line of all can be one even if it is a rule
+    found = found.withColumn("under", F.col("rule") & F.when(F.coalesce(head, F.lit(True)), F.col("place") % 2 == 0).otherwise((F.col("place") % 2 == 1) & (F.col("place") > 2)))
     found = found.withColumn("mark", F.lead(F.when(F.col("under"), line)).over(order)).filter("NOT under")
     level = F.when(F.col("atx"), F.length(F.regexp_extract("line", ATX, 1))).when(F.col("mark").startswith("="), 1).when(F.col("mark").isNotNull(), 2)
     title = F.when(F.col("atx"), T.strip(F.regexp_extract("line", ATX, 2))).otherwise(T.strip(line))
@@ -514,12 +515,17 @@ def letter_items(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: T.strip(s)), lambda s: s.rlike(T.LETTER_ITEM))
 
 
-def noted(text: Column, replacements: dict[str, str]) -> Column:
-    """Footnote digits at the words they belong to: `left` + digits, not next to other digits, becomes `left (см.сноску digits)`."""
-    for left, digits in replacements.items():
-        quoted = "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in left)
-        text = F.regexp_replace(text, rf"{quoted}{digits}(?!\d)", left.replace("\\", "\\\\").replace("$", "\\$") + f" (см.сноску {digits})")
-    return text
+def noted(text: Column, notes: Column) -> Column:
+    """Footnote digits at the words they belong to, for each (left, digits) of a document's list in turn: `left` and digits, with no digit
+    before or after, become `left (см.сноску digits)`."""
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+    def one(so_far: Column, note: Column) -> Column:
+        pattern = F.concat(F.lit("(?<![0-9])"), quoted(note["left"]), note["digits"], F.lit("(?![0-9])"))
+        return F.regexp_replace(so_far, pattern, F.concat(plain(note["left"]), F.lit(" (см.сноску "), note["digits"], F.lit(")")))
+
+    return F.coalesce(F.aggregate(notes, text, one), text)
 
 
 def first_text(*columns: Column) -> Column:

@@ -6,6 +6,7 @@ out; what comes back is text, and everything about it is parsed and decided by c
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sinks.shared import kept
 from . import scoring as P
 
@@ -25,34 +27,46 @@ class TimeoutInScorer(Exception):
     """The only failure after which a scorer is asked again."""
 
 
-def asked(batch: pd.DataFrame, scorer: Scorer, retries: int) -> tuple[list | None, str | None]:
-    """A scorer's answers for a batch, or None and what went wrong; after a timeout it is asked again."""
-    error = None
+def asked(batch: pd.DataFrame, scorer: Scorer, retries: int) -> tuple[list, list, list]:
+    """Per row a scorer's answer or None, what went wrong, and how often it was asked. Rows that time out are asked again, alone; a
+    scorer may give an exception for a row in place of an answer, and one that it raises counts for all rows it was asked for."""
+    answers, errors, times = [None] * len(batch), [None] * len(batch), [0] * len(batch)
+    todo = list(range(len(batch)))
     for _ in range(retries + 1):
+        if not todo:
+            break
         try:
-            return scorer(batch), None
-        except TimeoutInScorer as e:
-            error = f"timeout: {e}"
-        except Exception as e:  # noqa: BLE001  any other failure of a model is a value, not the job's
-            return None, str(e)
-    return None, error
-
-
-def scored(rows: DataFrame, scorer: Scorer | dict[str, Scorer], column: str = "answer", retries: int = 2) -> DataFrame:
-    """Rows with the scorer's text in a column and, where it failed for good, its words in `error`. Several scorers, by their
-    columns, are asked one after the other for each batch, in one pass; the first error counts."""
+            got = list(scorer(batch.iloc[todo]))
+        except Exception as e:  # noqa: BLE001  any failure of a model is a value, not the job's
+            got = [e] * len(todo)
+        for at, said in zip(todo, got):
+            times[at] += 1
+            failed = isinstance(said, Exception)
+            answers[at] = None if failed else said
+            errors[at] = None if not failed else f"timeout: {said}" if isinstance(said, TimeoutInScorer) else str(said)
+        todo = [at for at, said in zip(todo, got) if isinstance(said, TimeoutInScorer)]
+    return answers, errors, times
+
+
+def scored(rows: DataFrame, scorer: Scorer | dict[str, Scorer], column: str = "answer", retries: int = 2, attempts: str | None = None) -> DataFrame:
+    """Rows with the scorer's text in a column and, where it failed for good, its words in `error`; with `attempts` also how often a
+    row was asked about. Several scorers, by their columns, are asked one after the other for each batch, in one pass; the
+    first error counts."""
     scorers = scorer if isinstance(scorer, dict) else {column: scorer}
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers, errors = {}, []
+            made, errors, times = {}, [None] * len(batch), [0] * len(batch)
             for name, one in scorers.items():
-                answers[name], error = asked(batch, one, retries)
-                errors.append(error)
-            yield batch.assign(**answers, error=next((e for e in errors if e is not None), None))
+                made[name], wrong, calls = asked(batch, one, retries)
+                errors = [a if a is not None else b for a, b in zip(errors, wrong)]
+                times = [a + b for a, b in zip(times, calls)]
+            made["error"] = errors
+            yield batch.assign(**made | ({attempts: times} if attempts else {}))
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return rows.mapInPandas(run, f"{kinds}, {', '.join(f'`{c}` string' for c in scorers)}, error string")
+    counted = f", `{attempts}` int" if attempts else ""
+    return rows.mapInPandas(run, f"{kinds}, {', '.join(f'`{c}` string' for c in scorers)}, error string{counted}")
 
 
 def stub_validation(block: str, n: int, salt: int = 0) -> Scorer:
@@ -68,10 +82,31 @@ def stub_validation(block: str, n: int, salt: int = 0) -> Scorer:
     return run
 
 
-def stub_levels(rows: DataFrame, column: str) -> DataFrame:
-    """A deterministic stand-in for the assessments of 1 to 3; values out of bounds would be NULL."""
-    level = F.pmod(F.crc32(F.concat_ws("/", F.lit(column), "doc_id")), F.lit(3)) + 1
-    return rows.withColumn(column, F.when(level.between(1, 3), level.cast("int")))
+#: The assessments of a question and the least and largest level of each.
+LEVELS = {"provocativeness": (1, 3), "difficulty": (1, 3)}
+
+
+def stub_level(column: str) -> Scorer:
+    """A deterministic stand-in: the answer of a model that assesses a question, by a checksum of its id."""
+
+    def run(batch: pd.DataFrame) -> list[str]:
+        return [json.dumps({"level": zlib.crc32(f"{column}/{doc_id}".encode()) % 3 + 1, "why": "a stand-in"}) for doc_id in batch["doc_id"]]
+
+    return run
+
+
+def assessed(rows: DataFrame, scorers: dict[str, Scorer], bounds: dict[str, tuple[int, int]] = LEVELS) -> DataFrame:
+    """Rows with a level for each scorer's column, from answers such as {"level": 2}, and what went wrong, in `<column>_error`: the
+    scorer's failure, an answer without a whole number, or a level out of bounds, for each of which the level is NULL."""
+    out = rows
+    for column, scorer in scorers.items():
+        low, high = bounds[column]
+        out = scored(out, scorer, "__answer").withColumnRenamed("error", "__error")
+        level = F.get_json_object(T.literal_python(F.col("__answer")), "$.level").try_cast("int")
+        good = level.between(low, high)
+        wrong = F.when(F.col("__error").isNotNull(), F.col("__error")).when(level.isNull(), "no level").when(~good, F.concat(F.lit("level out of bounds: "), level.cast("string")))
+        out = out.withColumns({column: F.when(good, level), f"{column}_error": wrong}).drop("__answer", "__error")
+    return out
 
 
 def validated(questions: DataFrame, question_type: str = "open", scorer=stub_validation) -> DataFrame:
@@ -83,13 +118,13 @@ def validated(questions: DataFrame, question_type: str = "open", scorer=stub_val
     return out.withColumn("passed", F.col("total") >= P.THRESHOLDS[question_type]).drop(*[f"answer_{b}" for b in blocks])
 
 
-def validate_and_refine(questions: DataFrame, question_type: str = "open", mode: str = "full", scorer=stub_validation) -> DataFrame:
+def validate_and_refine(questions: DataFrame, question_type: str = "open", mode: str = "full", scorer=stub_validation, levels: dict[str, Scorer] | None = None) -> DataFrame:
     """Validates all, then refines and validates again those that fail, at most MAX_RETRIES times and in full mode only.
 
-    Levels are assessed once and not again after a refinement. Each pass is a filter, the scorers, and a union; what the
+    Levels are assessed once, by a scorer for each, and not again after a refinement. Each pass is a filter, the scorers, and a union; what the
     scorers of a pass said is written, so that none is asked again for it, whatever becomes of the executors.
     """
-    todo = stub_levels(stub_levels(questions.withColumn("retry_count", F.lit(0)), "provocativeness"), "difficulty")
+    todo = assessed(questions.withColumn("retry_count", F.lit(0)), levels or {name: stub_level(name) for name in LEVELS})
     columns = ["doc_id", "question_type", "retry_count", "provocativeness", "difficulty", "total", "passed"]
     tried = kept(validated(todo, question_type, scorer))
     if mode != "full":

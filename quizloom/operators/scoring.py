@@ -40,11 +40,11 @@ def weighted_total(blocks: dict[str, Column], question_type: str) -> Column:
 def parse_score_lines(text: Column, n: int) -> tuple[Column, Column]:
     """Scores and justifications of the first n lines that end in a 0 or 1, after which a dash and words may follow.
 
-    Without such a line the lone digits 0 and 1 of the text are taken. What is missing counts 0, without words.
+    Without such a line the digits 0 and 1 of the text that stand next to no other digit are taken. What is missing counts 0, without words.
     """
     pattern = r"([01])\s*(?:—\s*(.*))?$"
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s.rlike(pattern))
-    digits = F.regexp_extract_all(text, F.lit(r"\b([01])\b"))
+    digits = F.regexp_extract_all(text, F.lit(r"(?<!\d)([01])(?!\d)"))
     scores = F.when(F.size(lines) > 0, F.transform(lines, lambda s: F.regexp_extract(s, pattern, 1))).otherwise(digits)
     words = F.transform(lines, lambda s: F.regexp_extract(s, pattern, 2))
     padded = F.slice(F.concat(F.transform(scores, lambda s: s.cast("int")), F.array_repeat(F.lit(0), n)), 1, n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, more, records, store, trees, work  # noqa: F401
+from . import documents, more, records, rules, store, trees, work  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

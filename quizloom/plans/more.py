@@ -63,21 +63,40 @@ def f19(spark, d):
     return S.table(spark, d, "documents").select("doc_id", A.language_instruction(F.when(k == 1, "be").when(k == 2, "tg").when(k == 3, "xx").otherwise("ru")).alias("words"))
 
 
-@query("f21_parse_gate_answer", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE CAST(doc_id % 2 AS INTEGER) END AS c1, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 1 END AS c2, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 0.5::DOUBLE END AS confidence FROM documents")
+WORDS = "regexp_replace(substr(text, 1, 40), '[^A-Za-zÀ-ÿ ]', '', 'g')"
+
+
+def words():
+    """The letters and spaces of the first forty characters of a text."""
+    return F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-zÀ-ÿ ]", "")
+
+
+@query("f21_parse_gate_answer", f"""SELECT doc_id, CASE WHEN n_chars % 7 = 6 THEN NULL ELSE CAST(n_chars % 2 AS INTEGER) END AS c1, CASE WHEN n_chars % 7 = 6 THEN NULL WHEN n_chars % 7 = 3 THEN 0 ELSE 1 END AS c2,
+    CASE WHEN n_chars % 7 = 6 THEN NULL ELSE (n_chars % 10) / 10.0::DOUBLE END AS confidence,
+    CASE WHEN n_chars % 7 = 6 THEN NULL WHEN n_chars % 7 = 3 THEN '' WHEN n_chars % 7 IN (1, 5) THEN 'it''s "' || {WORDS} || '"' ELSE 'it''s ' || {WORDS} END AS reasoning FROM documents""")
 def f21(spark, d):
-    one = (F.col("doc_id") % 2).cast("string")
-    body = F.concat(F.lit("{'c1_chunk_informative': ["), one, F.lit("], 'c1_confidence': 0.5, 'c2_chunk_reference_clarity': True}"))
-    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("```json\n"), F.replace(F.replace(body, F.lit("'"), F.lit('"')), F.lit("True"), F.lit("1")), F.lit("\n```"))).when(F.col("doc_id") % 4 == 3, "none").otherwise(body)
+    kind, one, sure = F.col("n_chars") % 7, (F.col("n_chars") % 2).cast("string"), ((F.col("n_chars") % 10) / 10).cast("string")
+    strict = F.concat(F.lit('{"c1_chunk_informative": ['), one, F.lit('], "c1_confidence": '), sure, F.lit(', "c1_reasoning": "it\'s '), words(), F.lit('", "c2_chunk_reference_clarity": true}'))
+    python = F.concat(F.lit("{'c1_chunk_informative': ("), one, F.lit(",), 'c1_confidence': "), sure, F.lit(", 'c1_reasoning': 'it\\'s \""), words(), F.lit("\"', 'c2_chunk_reference_clarity': True, 'c3_chunk_multi_suitability': None,}"))
+    double = F.concat(F.lit("{'c1_chunk_informative': "), one, F.lit(", 'c1_confidence': '"), sure, F.lit("', 'c1_reasoning': \"it's "), words(), F.lit("\", 'c2_chunk_reference_clarity': [1]}"))
+    bare = F.concat(F.lit("{'c1_chunk_informative': ["), one, F.lit("], 'c1_confidence': "), sure, F.lit(", 'c2_chunk_reference_clarity': [0, 1]}"))
+    fenced = F.when(kind == 0, F.concat(F.lit("```json\n"), strict, F.lit("\n```"))).when(kind == 5, F.concat(F.lit("```\n"), python, F.lit("```")))
+    raw = F.coalesce(fenced, F.when(kind == 1, python).when(kind == 2, F.concat(F.lit("Sure: "), double, F.lit(" as asked"))).when(kind == 3, bare).when(kind == 6, words()).otherwise(strict))
     got = G.parse_answer(raw)
-    return S.table(spark, d, "documents").select("doc_id", got["c1_chunk_informative"].alias("c1"), got["c2_chunk_reference_clarity"].alias("c2"), got["c1_confidence"].alias("confidence"))
+    return S.table(spark, d, "documents").select("doc_id", got["c1_chunk_informative"].alias("c1"), got["c2_chunk_reference_clarity"].alias("c2"), got["c1_confidence"].alias("confidence"), got["c1_reasoning"].alias("reasoning"))
 
 
-@query("f37_python_literals", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'b' || doc_id END AS a, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'true' END AS flag FROM documents")
+@query("f37_python_literals", f"""SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN {WORDS} || '''s' WHEN 1 THEN 'say ''' || {WORDS} || ''' or "' || lang || '"' WHEN 2 THEN lang END AS a,
+    CASE WHEN n_chars % 4 < 3 THEN CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END END AS flag, CASE WHEN n_chars % 4 < 3 THEN CAST(n_chars AS VARCHAR) END AS number FROM (SELECT * REPLACE (coalesce(lang, '') AS lang) FROM documents)""")
 def f37(spark, d):
-    key = F.col("doc_id").cast("string")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"a": "b'), key, F.lit('", "f": true}'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("{'a': 'b"), key, F.lit("', 'f': True}"))).otherwise("{broken")
-    json = T.literal_python(raw)
-    return S.table(spark, d, "documents").select("doc_id", F.get_json_object(json, "$.a").alias("a"), F.get_json_object(json, "$.f").alias("flag"))
+    kind, n, lang = F.col("n_chars") % 4, F.col("n_chars").cast("string"), F.coalesce("lang", F.lit(""))
+    flag = F.when(F.col("n_chars") % 2 == 0, "True").otherwise("False")
+    nested = F.concat(F.lit(", 'deep': {'list': [None, ("), n, F.lit(", 'x'), ], 'f': "), flag, F.lit("}}"))
+    apostrophe = F.concat(F.lit("{'a': \""), words(), F.lit("'s\""), nested)
+    escaped = F.concat(F.lit("{'a': 'say \\'"), words(), F.lit("\\' or \""), lang, F.lit("\"'"), nested)
+    strict = F.concat(F.lit('{"a": "'), lang, F.lit('", "deep": {"list": [null, ['), n, F.lit(', "x"]], "f": '), F.lower(flag), F.lit("}}"))
+    json = T.literal_python(F.when(kind == 0, apostrophe).when(kind == 1, escaped).when(kind == 2, strict).otherwise(F.concat(F.lit("{'a': '"), words(), F.lit("'"))))
+    return S.table(spark, d, "documents").select("doc_id", F.get_json_object(json, "$.a").alias("a"), F.get_json_object(json, "$.deep.f").alias("flag"), F.get_json_object(json, "$.deep.list[1][0]").alias("number"))
 
 
 @query("f38_breakdown_lines", "SELECT doc_id, 'c3: ' || CAST(1 + doc_id % 2 AS VARCHAR) || '/2' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '  - why ' || doc_id ELSE '' END AS lines FROM documents")
@@ -125,14 +144,6 @@ def f49(spark, d):
     return S.table(spark, d, "part").select("p_partkey", T.object_id(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"$oid": "'), raw, F.lit('"}'))).otherwise(raw)).alias("id"))
 
 
-@query("f03_footnotes_at_words", r"""WITH t AS (SELECT doc_id, 'ст. 512' || substr(CAST(doc_id AS VARCHAR), 1, CAST(doc_id % 2 AS INTEGER)) || ' и a.b12 или aXb12, закон1' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '5' END AS text FROM documents)
-    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'ст\. 512([^0-9]|$)', 'ст. 5 (см.сноску 12)\1', 'g'), 'a\.b12([^0-9]|$)', 'a.b (см.сноску 12)\1', 'g'), 'закон1([^0-9]|$)', 'закон (см.сноску 1)\1', 'g') AS text FROM t""".replace("\\\\", "\\"))
-def f03(spark, d):
-    key = F.col("doc_id")
-    text = F.concat(F.lit("ст. 512"), F.expr("substring(CAST(doc_id AS STRING), 1, CAST(doc_id % 2 AS INT))"), F.lit(" и a.b12 или aXb12, закон1"), F.when(key % 3 == 0, "").otherwise("5"))
-    return S.table(spark, d, "documents").select("doc_id", O.noted(text, {"ст. 5": "12", "a.b": "12", "закон": "1"}).alias("text"))
-
-
 @query("p07_first_text", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name ELSE p_type END AS text FROM part")
 def p07(spark, d):
     k = F.col("p_partkey") % 3
@@ -214,15 +225,3 @@ def l10(spark, d):
     return rows.select("p_partkey", Q.output_json(rows, ["task", "size"]).alias("final"))
 
 
-@query("s03_superscript_digits", """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS x, CASE WHEN l_linenumber % 3 = 0 THEN 6.0 ELSE 10.0 END AS size, CASE WHEN l_linenumber % 3 = 0 THEN 105.0 ELSE 110.0 END AS bottom FROM lineitem),
-    m AS (SELECT doc_id, median(size) AS row_size, median(bottom) AS row_bottom FROM c GROUP BY doc_id) SELECT doc_id, x FROM c JOIN m USING (doc_id) WHERE x % 3 = 0 AND size < 0.85 * row_size AND row_bottom - bottom >= 1.5""")
-def s03(spark, d):
-    from ..sources.files import superscript_digits
-
-    x = F.col("l_linenumber")
-    raised = x % 3 == 0
-    characters = S.table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.when(raised, "2").otherwise("a").alias("char"), x.alias("x"), F.when(raised, 99.0).otherwise(100.0).alias("top"),
-        F.when(raised, 105.0).otherwise(110.0).alias("bottom"), F.when(raised, 6.0).otherwise(10.0).alias("size"),
-    )
-    return superscript_digits(characters).select("doc_id", "x")

@@ -55,12 +55,13 @@ def f40(spark, d):
     return S.table(spark, d, "documents").select("doc_id", P.issues(F.lit("c1"), bits("c1_question"), F.array(*[F.lit(f"r{i}") for i in range(5)])).alias("issues"))
 
 
-@query("f25_parse_score_lines", """SELECT doc_id, CAST(doc_id % 2 AS VARCHAR) || CAST((doc_id // 2) % 2 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '1' END || '0' AS scores,
-    'first ' || doc_id || '||' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'third' END || '|' AS reasons FROM documents""")
+@query("f25_parse_score_lines", """SELECT doc_id, CASE WHEN n_chars % 3 = 2 THEN CAST(n_chars % 2 AS VARCHAR) || '100' ELSE CAST(n_chars % 2 AS VARCHAR) || CAST((n_chars // 2) % 2 AS VARCHAR) || CASE WHEN n_chars % 5 = 0 THEN '0' ELSE '1' END || '0' END AS scores,
+    CASE WHEN n_chars % 3 = 2 THEN '|||' ELSE 'first ' || lang || '||' || CASE WHEN n_chars % 5 = 0 THEN '' ELSE 'third' END || '|' END AS reasons FROM (SELECT * REPLACE (coalesce(lang, '') AS lang) FROM documents)""")
 def f25(spark, d):
-    key = F.col("doc_id")
-    text = F.concat(F.lit("Answer:\n1. "), (key % 2).cast("string"), F.lit(" — first "), key.cast("string"), F.lit("\n\n"), (F.floor(key / 2) % 2).cast("string"), F.when(key % 5 == 0, "").otherwise("\n1 — third"))
-    scores, reasons = P.parse_score_lines(text, 4)
+    n, lang = F.col("n_chars"), F.coalesce("lang", F.lit(""))
+    lines = F.concat(F.lit("Answer:\n1. "), (n % 2).cast("string"), F.lit(" — first "), lang, F.lit("\n\n"), (F.floor(n / 2) % 2).cast("string"), F.when(n % 5 == 0, "").otherwise("\n1 — third"))
+    loose = F.concat(F.lit("c"), (n % 2).cast("string"), F.lit(" of 10, a1b and 21 or x0y; 2024 0.\nso "), lang, F.lit("."))  # no line ends in a score
+    scores, reasons = P.parse_score_lines(F.when(n % 3 == 2, loose).otherwise(lines), 4)
     return S.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(scores, lambda s: s.cast("string")), "").alias("scores"), F.array_join(reasons, "|").alias("reasons"))
 
 

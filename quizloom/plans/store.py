@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import export as E
@@ -103,12 +104,21 @@ def j05(spark, d):
     return V.requested(headers(spark, d), stored).select("question_id", "dataset_id", "version")
 
 
-@query("o06_nulls_natural_sort", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment || (c_custkey % 13) END AS label FROM customer)
-    SELECT c_custkey, label FROM c ORDER BY lower(regexp_extract(label, '^\\D*', 0)) DESC NULLS FIRST, TRY_CAST(regexp_extract(label, '^\\D*(\\d{1,18})', 1) AS BIGINT) DESC NULLS FIRST, lower(label) DESC NULLS FIRST, c_custkey""".replace("\\\\", "\\"))
+LABELS = r"""c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN '' ELSE CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN replace(c_mktsegment, 'U', 'Ü') ELSE c_mktsegment END
+        || CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '00' ELSE '' END || (c_custkey % 13) || '-b' || (c_custkey * 7 % 110) END AS label FROM customer),
+    k AS (SELECT *, CASE WHEN label <> '' THEN list_transform(regexp_extract_all(label, '\d+|\D'), lambda u: {'kind': CASE WHEN regexp_matches(u, '^\d') THEN 1 WHEN regexp_matches(u, '^\p{L}') THEN 2 ELSE 0 END,
+        'size': CASE WHEN regexp_matches(u, '^\d') THEN length(CAST(CAST(u AS HUGEINT) AS VARCHAR)) ELSE 0 END, 'text': CASE WHEN regexp_matches(u, '^\d') THEN CAST(CAST(u AS HUGEINT) AS VARCHAR) ELSE strip_accents(lower(u)) END}) END AS key FROM c)"""
+
+
+@query("o06_nulls_natural_sort", f"WITH {LABELS} SELECT c_custkey, label, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY key DESC NULLS FIRST) AS INTEGER) AS place FROM k ORDER BY key DESC NULLS FIRST, c_custkey")
 def o06(spark, d):
-    key = F.col("c_custkey")
-    rows = S.table(spark, d, "customer").select("c_custkey", F.when(key % 9 != 0, F.concat("c_mktsegment", (key % 13).cast("string"))).alias("label"))
-    return rows.orderBy(*E.natural_order("label", ascending=False), F.asc("c_custkey"))
+    """All customers by a label in descending natural order, with their place within their nation."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    word = F.when(key % 4 == 0, F.lower(segment)).when(key % 4 == 1, F.replace(segment, F.lit("U"), F.lit("Ü"))).otherwise(segment)
+    label = F.concat(word, F.when(key % 5 == 0, " ").otherwise(""), F.when(key % 3 == 0, "00").otherwise(""), (key % 13).cast("string"), F.lit("-b"), (key * 7 % 110).cast("string"))
+    rows = S.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(key % 9 == 0, None).when(key % 50 == 1, "").otherwise(label).alias("label"))
+    order = E.natural_order("label", ascending=False)
+    return rows.withColumn("place", F.rank().over(Window.partitionBy("c_nationkey").orderBy(*order))).orderBy(*order, F.asc("c_custkey")).drop("c_nationkey")
 
 
 @query("o07_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 25 OFFSET 50")

@@ -5,12 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sinks.shared import kept
+
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -81,39 +84,66 @@ def html_to_markdown(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def superscript_digits(characters: DataFrame, gap: float = 3.0, small: float = 0.85, raised: float = 1.5) -> DataFrame:
-    """Of the characters of PDF pages (doc_id, page, char, x, top, bottom, size): the digits set as superscripts.
+def superscript_runs(characters: DataFrame, gap: float = 3.0, small: float = 0.85, raised: float = 1.5, context: int = 30) -> DataFrame:
+    """Of the characters of PDF pages (doc_id, page, n, char, top, bottom, size) the runs of digits set as superscripts: (doc_id, page,
+    row_no, place, left, digits), left being up to three words before the run, of so many characters at most.
 
-    Characters are read from the top down; a new row of type begins where the top moves by more than the gap. A digit is
-    a superscript if it is smaller than its row's median size and stands higher than the row's median baseline.
+    Characters are read in the page's order n; a new row of type begins where the top moves by more than the gap. A digit is a
+    superscript if it is smaller than its row's median size and stands higher than the row's median baseline.
     """
-    down = Window.partitionBy("doc_id", "page").orderBy("top", "x")
+    down = Window.partitionBy("doc_id", "page").orderBy("n")
     rows = characters.withColumn("new", F.coalesce((F.abs(F.col("top") - F.lag("top").over(down)) > gap).cast("int"), F.lit(0)))
     rows = rows.withColumn("row_no", F.sum("new").over(down))
-    medians = rows.groupBy("doc_id", "page", "row_no").agg(F.median("size").alias("row_size"), F.median("bottom").alias("row_bottom"))
-    found = rows.join(medians, ["doc_id", "page", "row_no"])
-    sup = F.col("char").rlike("^[0-9]$") & (F.col("size") < small * F.col("row_size")) & (F.col("row_bottom") - F.col("bottom") >= raised)
-    return found.filter(sup).select("doc_id", "page", "row_no", "x", "char")
+    glyphs = F.array_sort(F.collect_list(F.struct("n", "char", "size", "bottom")))
+    lines = rows.groupBy("doc_id", "page", "row_no").agg(glyphs.alias("glyphs"), F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.col("size")))).alias("sizes"), F.sort_array(F.collect_list("bottom"), asc=False).alias("bottoms"))
+    middle = lambda name: F.get(name, F.floor(F.size(name) / 2).cast("int"))
+    lines = lines.filter(F.size("sizes") > 0).select("doc_id", "page", "row_no", "glyphs", middle("sizes").alias("size"), middle("bottoms").alias("bottom"))
+    sup = lambda g: g["char"].rlike("^[0-9]$") & (g["size"] < small * F.col("size")) & (F.col("bottom") - g["bottom"] >= raised)
+    marks = F.array_join(F.transform("glyphs", lambda g: F.when(sup(g), "1").otherwise("0")), "")
+    lines = lines.select("doc_id", "page", "row_no", F.array_join(F.transform("glyphs", lambda g: g["char"]), "").alias("line"), marks.alias("marks"))
+    begins = F.filter(F.sequence(F.lit(1), F.length("marks")), lambda i: (F.substr("marks", i, F.lit(1)) == "1") & ((i == 1) | (F.substr("marks", i - 1, F.lit(1)) == "0")))
+    found = lines.filter(F.contains("marks", F.lit("1"))).select("*", F.explode(begins).alias("place"))
+    digits = F.substr("line", "place", F.length(F.regexp_extract(F.substr("marks", "place"), "^1+", 0)))
+    before = F.regexp_replace(F.right(F.substr("line", F.lit(1), F.col("place") - 1), F.lit(context)), r"(?U)\s+$", "")
+    left = F.regexp_extract(before, r"(?U)(\S+(?:\s\S+){0,2})\s*$", 1)
+    return found.select("doc_id", "page", "row_no", "place", left.alias("left"), digits.alias("digits"))
+
+
+def footnote_words(runs: DataFrame) -> DataFrame:
+    """(doc_id, notes): each document's own list of (left, digits), without repetition, in the order first seen."""
+    order = F.struct("page", "row_no", "place")
+    first = runs.filter("left <> ''").groupBy("doc_id", "left", "digits").agg(F.min(order).alias("seen"))
+    return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "left", "digits"))), lambda x: F.struct(x["left"].alias("left"), x["digits"].alias("digits"))).alias("notes"))
+
+
+def tree_nodes(trees: DataFrame, id_col: str = "path", json_col: str = "value") -> DataFrame:
+    """Node rows (id, node_no, level, title, content) of JSON trees of any depth, by a loop over their levels: the children of all
+    nodes of a level are the next one, as variants, until none are left. A text that is no JSON has no rows; nodes are numbered
+    from 0 from top to bottom."""
+    level = trees.select(F.col(id_col).alias("id"), F.array().cast("array<int>").alias("at"), F.try_parse_json(F.col(json_col)).alias("node")).filter("node IS NOT NULL")
+    text = lambda name: F.coalesce(F.try_variant_get("node", f"$.{name}", "string"), F.lit(""))
+    parts = []
+    while True:
+        level = kept(level)
+        if level.isEmpty():
+            break
+        parts.append(level.select("id", "at", F.try_variant_get("node", "$.level", "int").alias("level"), text("title").alias("title"), text("content").alias("content")))
+        children = level.select("id", "at", F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("i", "child"))
+        level = children.select("id", F.concat("at", F.array("i")).alias("at"), F.col("child").alias("node"))
+    if not parts:
+        return trees.select(F.col(id_col).alias("id"), F.lit(0).alias("node_no"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit("").alias("content")).limit(0)
+    order = Window.partitionBy("id").orderBy("at")
+    return reduce(lambda a, b: a.unionByName(b), parts).select("id", (F.row_number().over(order) - 1).alias("node_no"), "level", "title", "content")
 
 
 def json_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """JSON trees, one for each file. Files that already hold chunks give these; of others the nodes are read level by
-    level, as deep as the schema that Spark finds goes: (path, node_no, level, title, content), node_no by path in the tree."""
-    found = spark.read.json(path, multiLine=True).withColumn("path", F.input_file_name())
-    if "chunks" in found.columns:
-        return found.select("path", F.posexplode("chunks").alias("chunk_no", "chunk"))
-    level, out = found.select("path", F.array().cast("array<int>").alias("at"), F.struct(*[c for c in found.columns if c != "path"]).alias("node")), None
-    while True:
-        names = level.schema["node"].dataType.names
-        text = lambda n: F.coalesce(F.col(f"node.{n}"), F.lit("")) if n in names else F.lit("")
-        own = level.select("path", "at", F.col("node.level").cast("int").alias("level"), text("title").alias("title"), text("content").alias("content"))
-        out = own if out is None else out.unionByName(own)
-        kind = dict(zip(names, (f.dataType for f in level.schema["node"].dataType.fields))).get("children")
-        if kind is None or not hasattr(kind.elementType, "names"):
-            break
-        level = level.select("path", "at", F.posexplode("node.children").alias("i", "child")).select("path", F.concat("at", F.array("i")).alias("at"), F.col("child").alias("node"))
-    order = Window.partitionBy("path").orderBy("at")
-    return out.select("path", (F.row_number().over(order) - 1).alias("node_no"), "level", "title", "content")
+    """JSON files, one tree each. If any holds chunks, (path, chunk_no, chunk) of those that do, the chunks as JSON; else the nodes of the
+    trees, however deep: (path, node_no, level, title, content)."""
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    ready = found.select("path", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$.chunks", "array<variant>")).alias("chunk_no", "chunk"))
+    if not ready.isEmpty():
+        return ready.select("path", "chunk_no", F.to_json("chunk").alias("chunk"))
+    return tree_nodes(found).withColumnRenamed("id", "path")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quizloom.functions import text as T
 from quizloom.operators import gate as G
 from quizloom.operators import scoring as P
 
@@ -71,3 +72,27 @@ def test_modes(spark):
 def test_pairs(spark, text, pair):
     a, b = P.score_pair(F.lit(text).cast("string"))
     assert tuple(one(spark, a.alias("a"), b.alias("b"))) == pair
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("{'a': \"it's\"}", {"a": "it's"}),
+        (r"{'a': 'it\'s \"x\"', 'b': ('c', None, True,), }", {"a": 'it\'s "x"', "b": ["c", None, True]}),
+        (r"{'a': '\x41\n\\', 'n': -1.5e3}", {"a": "A\n\\", "n": -1500.0}),
+        ('{"a": "True, None"}', {"a": "True, None"}),
+        ("{'a': {'b': [1, {'c': False}]}}", {"a": {"b": [1, {"c": False}]}}),
+        ("{'a': 'open}", None),
+        ("{'a': __import__}", None),
+        ("words", None),
+    ],
+)
+def test_python_literals(spark, raw, want):
+    got = spark.createDataFrame([(raw,)], "raw string").select(T.literal_python(F.col("raw")).alias("x")).first()["x"]
+    assert (None if got is None else json.loads(got)) == want
+
+
+def test_scores_without_lines(spark):
+    scores, reasons = P.parse_score_lines(F.col("t"), 4)
+    got = spark.createDataFrame([("c1 and 10, x0y",), ("1 — ok\nnone",), ("21",)], "t string").select(scores.alias("s"), reasons.alias("r")).collect()
+    assert [r["s"] for r in got] == [[1, 0, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0]] and got[1]["r"] == ["ok", "", "", ""]
