@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import cut, written
+from .common import cut, small_batches, written
 from .components import components, grouped, merged
 from .fingerprint import SEED
 
@@ -35,8 +35,10 @@ CELL, CELL_SHINGLES = 2048, 1 << 22
 PROBE = 0.0085
 
 
+#: Rows that a task takes from Spark at a time, each with a text or a set.
+BATCH = 500
 #: Hashes of words that a task keeps, and what the places in a shingle multiply them by.
-WORDS = 1 << 19
+WORDS = 1 << 16
 PLACES = np.random.default_rng(SEED).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -512,22 +514,23 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col:
 def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, pivots: int = 0) -> DataFrame:
     """One row (id, digest, n, cls, component_id, group) for each row of docs: the group is the same for all that links tie together,
     which the least id alone would not tell where ids are repeated. Rows without shingles are one group here."""
-    rows = written(sets_of(docs, id_col, text_col, width, percent))
-    first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")]
-    distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
-    classes = distinct.filter("prefix IS NOT NULL")
-    postings = cut(shared_postings(classes, percent))
-
-    def links(cells: DataFrame, labels: DataFrame) -> DataFrame:
-        survivors = written(promising(cells, classes, percent, pivots))
-        return cut(found_links(survivors, labels, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
-
-    labels = components(links(first_cells(postings).withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
-    ties = links(crossing_cells(postings, labels), labels)
-    of = labels.withColumnRenamed("label", "own")
-    named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
-    named = named.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
-    labels = merged(labels, named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    with small_batches(docs.sparkSession, BATCH):
+        rows = written(sets_of(docs, id_col, text_col, width, percent))
+        first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")]
+        distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
+        classes = distinct.filter("prefix IS NOT NULL")
+        postings = cut(shared_postings(classes, percent))
+
+        def links(cells: DataFrame, labels: DataFrame) -> DataFrame:
+            survivors = written(promising(cells, classes, percent, pivots))
+            return cut(found_links(survivors, labels, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
+
+        labels = components(links(first_cells(postings).withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
+        ties = links(crossing_cells(postings, labels), labels)
+        of = labels.withColumnRenamed("label", "own")
+        named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
+        named = named.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+        labels = merged(labels, named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return grouped(rows.select("id", "digest", "n", "cls"), distinct.select("cls", "least_id"), labels, "cls")
 
 
