@@ -27,8 +27,8 @@ BITS = 1024
 DENSE = 8
 #: Classes whose texts are fetched by a broadcast of their ids, 60 bytes each; more are fetched by a shuffle of the texts.
 FEW = 200_000
-#: Shingles in several prefixes that are broadcast, eight bytes each; more are joined.
-FEW_TOKENS = 1_000_000
+#: Bits by which shingles of several prefixes are known before they are shuffled: 8 MB.
+MARKS = 1 << 26
 #: Members of a cell, and shingles of them, about: what one task holds at a time.
 CELL, CELL_SHINGLES = 2048, 1 << 22
 #: DivideSkip's weight of a probe of a long list against a step of the merge of the short ones.
@@ -207,32 +207,55 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def bitmap_of(tokens: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """One bit for each remainder of the tokens modulo the bits; partitions mark their own, slices of which are put together on the way.
+    Of a fixed size however many tokens there are."""
+    each = bits // SLICES // 8
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        some = [k for k in range(SLICES) if marks[k * each : (k + 1) * each].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([marks[k * each : (k + 1) * each].tobytes() for k in some], pa.binary())], ["slice", "marks"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole[k] = whole.get(k, 0) | np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], ["slice", "marks"])
+
+    schema = "slice int, marks binary"
+    out = np.zeros((SLICES, each), np.uint8)
+    for row in tokens.mapInArrow(local, schema).repartition("slice").mapInArrow(joined, schema).collect():
+        out[row["slice"]] = np.frombuffer(row["marks"], np.uint8)
+    return out.ravel()
+
+
 def shared_postings(classes: DataFrame, percent: int) -> DataFrame:
     """(token, cls, n, pos, members, weight): the inverted lists of the prefixes, as far as at least two classes stand in them; lists of
     two, which most are, only if sizes and places let these two link.
 
-    Most shingles of a prefix stand in one class alone. Those that do not are found by counts; if they are few, the prefixes are
-    cut down to them before they are shuffled.
+    Most shingles of a prefix stand in one class alone. Those that do not are found by counts, and a map of bits of them cuts the
+    prefixes down before they are shuffled; where bits are shared by chance, the counts of the lists tell.
     """
-    shared = written(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"))
-    places = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    if shared.count() <= FEW_TOKENS:
-        known = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["token"] for r in shared.toLocalIterator()], np.int64)))
-
-        def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column("prefix")
-                tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-                at = np.minimum(np.searchsorted(known.value, tokens), max(0, len(known.value) - 1))
-                kept = np.flatnonzero(known.value[at] == tokens) if len(known.value) else np.zeros(0, int)
-                own = np.searchsorted(ends, kept, "right")
-                pos = kept - np.concatenate([[0], ends])[own]
-                yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(pos.astype(np.int32)), pa.array(tokens[kept])], ["cls", "n", "pos", "token"])
-
-        postings = classes.select("cls", "n", "prefix").mapInArrow(cut_down, "cls binary, n long, pos int, token long")
-    else:
-        postings = places.join(shared, "token")
-    postings = cut(postings)
+    shared = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    known = classes.sparkSession.sparkContext.broadcast(bitmap_of(shared))
+
+    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = known.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = tokens.view(np.uint64) % np.uint64(len(marks) * 8)
+            kept = np.flatnonzero(marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            own = np.searchsorted(ends, kept, "right")
+            pos = kept - np.concatenate([[0], ends])[own]
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(pos.astype(np.int32)), pa.array(tokens[kept])], ["cls", "n", "pos", "token"])
+
+    postings = cut(classes.select("cls", "n", "prefix").mapInArrow(cut_down, "cls binary, n long, pos int, token long"))
     lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("rest"))
     able = (100 * (F.col("weight") - F.col("most")) >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * F.col("weight"))
     return postings.join(lists.filter((F.col("members") > 2) | ((F.col("members") == 2) & able)).drop("most", "rest"), "token")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows, those of least hash, that the field is trained on; windows with secrets and others of them, at most; windows of one text.
-FIT_ROWS, FIT_WINDOWS, WINDOWS_OF_A_TEXT = 24_000, {True: 1_500, False: 3_500}, {True: 8, False: 4}
+#: Rows, those of least hash, that the field is trained on; windows of each kind, at most; windows of one kind and text.
+FIT_ROWS, FIT_WINDOWS, WINDOWS_OF_A_TEXT = 24_000, {"secret": 400, "planted": 1_400, "decoy": 2_600, "other": 600}, 4
 #: Tokens of a window, and those before its secret. Least times that a feature stands in the windows to have weights.
 WINDOW, LEAD, LEAST_COUNT = 48, 10, 3
-EPOCHS, BATCH, RATE, RIDGE = 8, 256, 0.2, 1e-4
+EPOCHS, BATCH, RATE, RIDGE = 6, 256, 0.2, 1e-4
 PLACEHOLDER = "[SECRET]"
+#: What the field adds: runs of so many characters and more, with a digit or capitals within; of a line so many characters before
+#: and after are looked at with a run.
+LEAST, REACH = 12, 120
+RUN, TELLING = re.compile(rf"[A-Za-z0-9+/_.\-]{{{LEAST},}}"), re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}")
 
 #: The fixed patterns, in their order: the kind, the pattern, the group that is the secret, its least length.
 PATTERNS = (
@@ -104,9 +109,9 @@ def beside_features(token: str, place: int) -> list[str]:
 PLACES = (-3, -2, -1, 1)
 
 
-def numbers_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def numbers_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the tokens' numbers (length, white space before, line break in it, digit, breaks a run), a row each: starts and ends in the text, which begin a line, and the code
-    of each one's run, by its length, number of tokens and digits."""
+    of each one's run, by its length, number of tokens and digits, and the run's number."""
     ends = np.cumsum(table[:, 0])
     starts, lines = ends - table[:, 0] + table[:, 1], table[:, 2] > 0
     begins = (table[:, 1] > 0) | (table[:, 4] > 0)
@@ -116,7 +121,7 @@ def numbers_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     size, count = np.bincount(run, ends - starts), np.bincount(run)
     digits = np.bincount(run, (table[:, 3] == 1) * (ends - starts))
     code = np.minimum(np.log2(np.maximum(size, 1)).astype(int), 7) * 18 + np.minimum(np.log2(count).astype(int), 5) * 3 + np.where(digits == 0, 0, np.where(digits < size, 1, 2))
-    return starts, ends, lines, code[run]
+    return starts, ends, lines, code[run], run
 
 
 def type_of(token: str) -> tuple[int, int, bool, bool, bool]:
@@ -125,9 +130,10 @@ def type_of(token: str) -> tuple[int, int, bool, bool, bool]:
     return len(token), len(lead), "\n" in lead or "\r" in lead, word[:1].isdigit(), bool(word) and not word[0].isalnum() and word[0] not in JOINS
 
 
-def file_code(n_tokens: int, n_digits: int) -> int:
-    """Features of the file: how long it is, and how many of its tokens are digits."""
-    return min(int(math.log2(n_tokens + 1)), 15) * 8 + min(int(math.log2(1 + 256 * n_digits / (n_tokens + 1))), 7)
+def file_code(text: str) -> int:
+    """Features of the file: how long it is, and how many of its characters are digits."""
+    n, digits = len(text) // 4, sum(map(text.count, "0123456789")) // 2
+    return min(int(math.log2(n + 1)), 15) * 8 + min(int(math.log2(1 + 256 * digits / (n + 1))), 7)
 
 
 def window_features(tokens: list[str], codes: list[int], file: int) -> list[list[str]]:
@@ -138,21 +144,62 @@ def window_features(tokens: list[str], codes: list[int], file: int) -> list[list
     ]
 
 
-def windows(text: str) -> list[tuple[bool, list[str], list[int], int, list[int]]]:
-    """Of a text, by hashes: windows around secrets of the fixed patterns and others, around digits and anywhere: whether there is
-    a secret, tokens, codes of runs, the file's code, and tags. In two of three windows with a secret what stands before it is
-    hidden, words replaced by others of the text, and in half of these the secret's own beginning is, too, if it is one that
-    a pattern looks for; so shape and neighbours must carry the tag."""
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets of keys that are planted, beginnings that some have, and what may stand around any run that is planted.
+ALPHABETS = (DIGITS + LOWER + UPPER,) * 3 + (DIGITS + LOWER + UPPER + "_-", DIGITS + LOWER + UPPER + "+/", DIGITS + LOWER, DIGITS + UPPER)
+PREFIXES = ("", "", "", "sk_live_", "pk_test_", "ghp_", "xoxb-", "key-", "SG.", "tok.", "AIza", "rk_")
+CARRIERS = ("{}", "{}", "{}", '"{}"', "'{}'", "({})", "use {}", "is {}", "with {}.", "see {},", "id={}", "X-Value: {}", "Bearer {}", "value = {}", 'set("{}")', "{};")
+
+
+def drawn(rng: random.Random, alphabet: str, least: int, most: int) -> str:
+    return "".join(rng.choices(alphabet, k=rng.randint(least, most)))
+
+
+def planted_key(rng: random.Random) -> str:
+    prefix = rng.choice(PREFIXES)
+    alphabet = rng.choice(ALPHABETS)
+    while True:
+        body = drawn(rng, alphabet, 16 if prefix else 20, 56)
+        if body[0] not in "_-+/" and body[-1] not in "_-+/" and any(c in DIGITS for c in body):
+            return prefix + body
+
+
+def decoy(rng: random.Random) -> str:
+    """A run that is no secret though it looks a little like one: ids, links, hashes of commits, versions, numbers, paths, names."""
+    hexadecimal, word = lambda n: drawn(rng, "0123456789abcdef", n, n), lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    uuid = "-".join(hexadecimal(n) for n in (8, 4, 4, 4, 12))
+    site = f"{rng.choice(('http', 'https'))}://{rng.choice(('www.', '', 'cdn.', 'static.'))}{word()}.{rng.choice(('com', 'org', 'net', 'io', 'de'))}"
+    part = rng.choice((word(), f"{word()}-{word()}", str(rng.randint(1, 10**6)), f"{rng.choice('abcdpx')}{rng.randint(100, 99999)}", drawn(rng, DIGITS + LOWER + UPPER, 3, 11), hexadecimal(rng.choice((8, 16, 32, 40))), uuid))
+    camel = "".join(w.capitalize() for w in (word(), word(), word()))
+    return rng.choice((
+        *[uuid] * 5, uuid.upper(), uuid.upper(), "{" + uuid + "}", f"urn:uuid:{uuid}", hexadecimal(rng.choice((7, 8, 10, 12))), hexadecimal(40), hexadecimal(rng.choice((32, 64))), f"sha256:{hexadecimal(64)}",
+        f"{site}/{part}", f"{site}/{part}/{drawn(rng, DIGITS + LOWER + UPPER, 3, 11)}", f"{site}/{word()}/{part}.html?id={rng.randint(1, 10**8)}&page={rng.randint(1, 99)}", f"{site}/{word()}/{word()}-{word()}-{word()}/{rng.randint(1, 10**7)}",
+        f"v{rng.randint(0, 20)}.{rng.randint(0, 40)}.{rng.randint(0, 99)}", f"{rng.randint(1, 12)}.{rng.randint(0, 9)}.{rng.randint(0, 30000)}.{rng.randint(0, 9999)}", f"{word()}-{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 99)}-beta.{rng.randint(1, 9)}",
+        str(rng.randint(10**9, 10**18)), f"+{rng.randint(1, 99)}-{rng.randint(100, 999)}-{rng.randint(1000000, 9999999)}", f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}Z",
+        f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", f"/usr/lib/{word()}{rng.randint(1, 9)}.{rng.randint(1, 20)}/{word()}/x86_64-linux-gnu/{word()}.so.{rng.randint(1, 9)}",
+        camel, camel[0].lower() + camel[1:] + str(rng.randint(1, 99)), "_".join((word(), word(), word(), str(rng.randint(1, 999)))), "_".join((word(), word(), word())).upper(), f"{word()}.{word()}{rng.randint(1, 99)}@{word()}.example.com",
+        f"INV-20{rng.randint(10, 29)}-{rng.randint(10000, 99999)}", f"978-{rng.randint(0, 9)}-{rng.randint(10, 99)}-{rng.randint(100000, 999999)}-{rng.randint(0, 9)}", f"{word()}{word()}{word()}{word()}{word()}", word().upper() * 2, ":".join(hexadecimal(2) for _ in range(6)),
+    ))
+
+
+def windows(text: str) -> list[tuple[str, list[str], list[int], int, list[int]]]:
+    """Of a text, by hashes: its kind, tokens, codes of runs, the file's code, and tags of windows around secrets of the fixed patterns
+    (`secret`), keys and decoys that are planted into the text (`planted`, `decoy`), and others, around digits and anywhere (`other`).
+
+    In two of three windows with a secret what stands before it is hidden, words replaced by others of the text, and in half of
+    these the secret's own beginning is, too, if it is one that a pattern looks for; so shape and neighbours must carry the tag.
+    Runs of hexadecimal digits alone are left to their pattern and not tagged: nothing tells a commit from a key.
+    """
     tokens = TOKEN.findall(text)
     if not tokens:
         return []
     types = np.array(list(map(type_of, tokens)), np.int64)
-    starts, ends, _, codes = numbers_of(types)
+    starts, ends, _, codes, _ = numbers_of(types)
     digits = np.flatnonzero(types[:, 3])
-    file = file_code(len(tokens), len(digits))
+    file = file_code(text)
     tags = np.zeros(len(tokens), int)
     spans: list[tuple[int, int]] = []
-    for _, _, _, a, b in sorted(base_spans(text), key=lambda s: s[3:5]):
+    for _, _, _, a, b in sorted((s for s in base_spans(text) if s[1] != "hex"), key=lambda s: s[3:5]):
         if spans and a < spans[-1][1]:
             spans[-1] = spans[-1][0], max(b, spans[-1][1])
         else:
@@ -170,7 +217,7 @@ def windows(text: str) -> list[tuple[bool, list[str], list[int], int, list[int]]
         return slice(max(0, first), min(len(tokens), max(0, first) + size))
 
     out = []
-    for first in sorted(firsts, key=rank)[: WINDOWS_OF_A_TEXT[True]]:
+    for first in sorted(firsts, key=rank)[:WINDOWS_OF_A_TEXT]:
         w, turn = window(first - LEAD), rank(first) % 6
         own = tokens[w]
         if turn >= 2:
@@ -182,11 +229,29 @@ def windows(text: str) -> list[tuple[bool, list[str], list[int], int, list[int]]
                 at = first - w.start
                 other = "".join(chr(65 + (rank(first) >> (5 * k)) % 26) for k in range(4))
                 own[at] = own[at].replace("AKIA", other, 1)
-        out.append((True, own, codes[w].tolist(), file, tags[w].tolist()))
-    free = [int(i) for i in digits if not tags[window(int(i) - LEAD)].any()]
-    some = sorted(free, key=rank)[: WINDOWS_OF_A_TEXT[False] // 2]
-    some += sorted((i for i in np.linspace(0, len(tokens) - 1, 8).astype(int).tolist() if not tags[window(i - LEAD)].any()), key=rank)[: WINDOWS_OF_A_TEXT[False] // 2]
-    out += [(False, tokens[w], codes[w].tolist(), file, tags[w].tolist()) for w in (window(i - LEAD) for i in dict.fromkeys(some))]
+        out.append(("secret", own, codes[w].tolist(), file, tags[w].tolist()))
+    rng = random.Random(rank(0))
+    free = [i for i in range(len(tokens)) if types[i, 1] and not tags[window(i - LEAD)].any()] if len(tokens) < 5000 else [i for i in rng.sample(range(len(tokens)), 400) if types[i, 1] and not tags[window(i - LEAD)].any()]
+    for kind in ("planted", "decoy", "decoy", "planted", "decoy"):
+        if not free:
+            break
+        i, run = rng.choice(free), planted_key(rng) if kind == "planted" else decoy(rng)
+        carrier = rng.choice(CARRIERS)
+        before, after = text[starts[max(0, i - LEAD)] : starts[i]], text[starts[i] : ends[min(len(tokens), i + LEAD) - 1]]
+        made = f"{before}{carrier.format(run)} {after}"
+        own = TOKEN.findall(made)
+        starts_, ends_, _, codes_, _ = numbers_of(np.array(list(map(type_of, own)), np.int64))
+        tagged = np.zeros(len(own), int)
+        if kind == "planted":
+            a = len(before) + carrier.index("{")
+            first, last = int(np.searchsorted(ends_, a, side="right")), int(np.searchsorted(starts_, a + len(run), side="left"))
+            tagged[first:last] = INSIDE
+            tagged[first] = BEGIN
+        out.append((kind, own, codes_.tolist(), file, tagged.tolist()))
+    around = [int(i) for i in digits if not tags[window(int(i) - LEAD)].any()]
+    some = sorted(around, key=rank)[: WINDOWS_OF_A_TEXT // 2]
+    some += sorted((i for i in np.linspace(0, len(tokens) - 1, 8).astype(int).tolist() if not tags[window(i - LEAD)].any()), key=rank)[: WINDOWS_OF_A_TEXT // 2]
+    out += [("other", tokens[w], codes[w].tolist(), file, tags[w].tolist()) for w in (window(i - LEAD) for i in dict.fromkeys(some))]
     return out
 
 
@@ -332,12 +397,35 @@ class Tagger(dict):
         return number
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Start and end of what the field tags, line by line."""
-        tokens = TOKEN.findall(text)
-        if not tokens or not self.field.index:
+        """Start and end of the runs that the field tags.
+
+        A secret is a run (no white space, quotes or other separators) of LEAST characters and more, with a digit or capitals
+        within; runs of hexadecimal digits alone are left to their pattern. Only around such runs the text is decoded, with what stands before and after in the line; a run counts as a
+        whole, if at least half of it is tagged.
+        """
+        if not self.field.index:
             return []
         if len(self) > REMEMBERED:
             self.forget()
+        out, parts = [], []
+        for m in RUN.finditer(text):
+            if not TELLING.search(m[0]):
+                continue
+            a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
+            b = text.find("\n", m.end(), m.end() + REACH)
+            b = min(len(text), m.end() + REACH) if b < 0 else b
+            if parts and a <= parts[-1][1]:
+                parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
+            else:
+                parts.append((a, b))
+        file = file_code(text) if parts else 0
+        for a, b in parts:
+            out += [(a + x, a + y) for x, y in self.tagged(text[a:b], file)]
+        return out
+
+    def tagged(self, text: str, file: int) -> list[tuple[int, int]]:
+        """The runs of a part of a text."""
+        tokens = TOKEN.findall(text)
         n = len(tokens)
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
         if self.fresh:
@@ -346,8 +434,7 @@ class Tagger(dict):
             self.numbers[len(self) - len(self.fresh) : len(self)] = self.fresh
             self.fresh = []
         numbers = self.numbers[at]
-        starts, ends, lines, codes = numbers_of(numbers)
-        file = file_code(n, int(numbers[:, 3].sum()))
+        starts, ends, lines, codes, run = numbers_of(numbers)
         emissions = self.runs[codes] + self.by_kind[numbers[:, 5], file % 8] + self.field.vector([f"file {file}"])
         before, after = -min(PLACES), max(PLACES)
         edge = np.repeat(self.numbers[:1, 6:8], before + after, axis=0)
@@ -355,15 +442,19 @@ class Tagger(dict):
         for k, p in enumerate((0, *PLACES)):
             own = slice(before + p, before + p + n)
             emissions += self.by_shape[shape[own], k] + self.of_word[word[own], k]
-        found = []
+        hit = np.zeros(n, bool)
         for first, last in self.stretches(emissions, lines):
-            tags, start = self.field.decode(emissions[first:last]), None
-            for k, tag in enumerate([*tags, OUTSIDE]):
-                if start is not None and tag != INSIDE:
-                    found.append((int(starts[start]), int(ends[first + k - 1])))
-                    start = None
-                if tag == BEGIN:
-                    start = first + k
+            hit[first:last] = np.array(self.field.decode(emissions[first:last])) != OUTSIDE
+        if not hit.any():
+            return []
+        size = ends - starts
+        found = []
+        for r in np.flatnonzero(2 * np.bincount(run, hit * size) >= np.maximum(np.bincount(run, size), 1)):
+            first, last = (int(x) for x in np.searchsorted(run, [r, r + 1]))
+            whole = text[starts[first] : ends[last - 1]]
+            a, b = len(whole) - len(whole.lstrip("".join(JOINS))), len(whole.rstrip("".join(JOINS)))
+            if b - a >= LEAST and TELLING.search(whole[a:b]) and not HEX.issuperset(whole[a:b]):
+                found.append((int(starts[first]) + a, int(starts[first]) + b))
         return found
 
     def stretches(self, emissions: np.ndarray, lines: np.ndarray) -> list[tuple[int, int]]:
@@ -388,9 +479,10 @@ class Tagger(dict):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Trains on the rows of least hash, tagged by the fixed patterns: windows with secrets and others, each kind within its own limit.
+    """Trains on the rows of least hash: windows around what the fixed patterns find, around keys and decoys planted into the texts,
+    and others, each kind within its own limit.
 
-    Tokens of the windows are brought to the driver, a bounded number, and no texts. Without secrets the field marks nothing.
+    Tokens of the windows are brought to the driver, a bounded number, and no texts. Without texts the field marks nothing.
     """
     chosen = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text")
@@ -398,16 +490,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [w for t in batch["text"] for w in windows(t or "")]
-            yield pd.DataFrame(rows, columns=["secret", "tokens", "codes", "file", "tags"])
+            yield pd.DataFrame(rows, columns=["kind", "tokens", "codes", "file", "tags"])
 
-    got = cut(texts.mapInPandas(run, "secret boolean, tokens array<string>, codes array<int>, file int, tags array<int>").distinct())
-    kinds = {}
+    got = cut(texts.mapInPandas(run, "kind string, tokens array<string>, codes array<int>, file int, tags array<int>").distinct())
+    data = []
     for kind, limit in FIT_WINDOWS.items():
-        ranked = got.filter(F.col("secret") == kind).orderBy(F.xxhash64("tokens"), "tokens", "codes", "tags").limit(limit).collect()
-        kinds[kind] = [(window_features(r["tokens"], r["codes"], r["file"]), r["tags"]) for r in ranked]
+        ranked = got.filter(F.col("kind") == kind).orderBy(F.xxhash64("tokens"), "tokens", "codes", "tags").limit(limit).collect()
+        data += [(window_features(r["tokens"], r["codes"], r["file"]), r["tags"]) for r in ranked]
     field = Field()
-    if kinds[True]:
-        field.fit(kinds[True] + kinds[False])
+    if data:
+        field.fit(data)
     return field
 
 

@@ -83,7 +83,6 @@ def test_against_all_pairs(spark, rows):
 def test_long_lists_in_chunks(spark, rows, monkeypatch):
     monkeypatch.setattr(J, "CELL", 4)
     monkeypatch.setattr(J, "DENSE", 1)
-    monkeypatch.setattr(J, "FEW_TOKENS", 10)
     monkeypatch.setattr(J, "FEW", 3)
     monkeypatch.setattr(J, "COUNTERS", 1 << 10)
     assert got(J.similarity_join(made(spark, rows))) == plain(rows)
@@ -146,6 +145,12 @@ def test_cell_writes_a_tree_of_links():
             assert parity.apart(np.array([a]), np.array([b]))[0] <= len(sets[a]) + len(sets[b]) - 2 * common
 
 
+def test_marks_of_shared_shingles(spark):
+    values = [5, -7, 2**62, 5 + 1024, -1]
+    marks = J.bitmap_of(spark.createDataFrame([(v,) for v in values], "token long").repartition(3), 1024)
+    assert {i for i in range(1024) if marks[i // 8] >> (i % 8) & 1} == {v % 2**64 % 1024 for v in values}
+
+
 def test_wide_parities_fold():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (50, 900, 1100, 3000, 9000, 2900)]
