@@ -61,6 +61,7 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
 
 
 HEX = frozenset("0123456789abcdef")
+HEX_OR_HYPHEN = HEX | {"-"}
 
 
 def kind_of(word: str) -> str:
@@ -400,7 +401,7 @@ class Tagger(dict):
         """Start and end of the runs that the field tags.
 
         A secret is a run (no white space, quotes or other separators) of LEAST characters and more, with a digit or capitals
-        within; runs of hexadecimal digits alone are left to their pattern. Only around such runs the text is decoded, with what stands before and after in the line; a run counts as a
+        within; runs of hexadecimal digits and hyphens alone are left to their pattern, as nothing tells a UUID or a commit from a key. Only around such runs the text is decoded, with what stands before and after in the line; a run counts as a
         whole, if at least half of it is tagged.
         """
         if not self.field.index:
@@ -453,7 +454,7 @@ class Tagger(dict):
             first, last = (int(x) for x in np.searchsorted(run, [r, r + 1]))
             whole = text[starts[first] : ends[last - 1]]
             a, b = len(whole) - len(whole.lstrip("".join(JOINS))), len(whole.rstrip("".join(JOINS)))
-            if b - a >= LEAST and TELLING.search(whole[a:b]) and not HEX.issuperset(whole[a:b]):
+            if b - a >= LEAST and TELLING.search(whole[a:b]) and not HEX_OR_HYPHEN.issuperset(whole[a:b].lower()):
                 found.append((int(starts[first]) + a, int(starts[first]) + b))
         return found
 
