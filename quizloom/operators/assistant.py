@@ -83,8 +83,8 @@ def assistant(chunks: DataFrame, types: list[str], mode: str = "full", gate: R.S
     out = rejected.unionByName(failed).withColumns({"task": F.lit(None).cast("string"), "total": F.lit(None).cast("double"), "passed": F.lit(None).cast("boolean"), "retry_count": F.lit(None).cast("int")})
     for kind in types:
         good = made.filter((F.col("question_type") == kind) & F.col("error").isNull())
-        scored = R.validate_and_refine(good.select("doc_id", "text", "question_type"), kind, mode, validate).select("doc_id", "total", "passed", "retry_count")
-        done = good.join(scored, "doc_id").select("doc_id", "question_type", F.lit("question").alias("outcome"), F.lit(None).cast("string").alias("detail"), "task", "total", "passed", "retry_count")
+        scored = R.validate_and_refine(good.select("doc_id", "text", "question_type", "task"), kind, mode, validate, carry=("task",))
+        done = scored.select("doc_id", "question_type", F.lit("question").alias("outcome"), F.lit(None).cast("string").alias("detail"), "task", "total", "passed", "retry_count")
         out = out.unionByName(done)
     return out
 

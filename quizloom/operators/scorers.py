@@ -118,14 +118,15 @@ def validated(questions: DataFrame, question_type: str = "open", scorer=stub_val
     return out.withColumn("passed", F.col("total") >= P.THRESHOLDS[question_type]).drop(*[f"answer_{b}" for b in blocks])
 
 
-def validate_and_refine(questions: DataFrame, question_type: str = "open", mode: str = "full", scorer=stub_validation, levels: dict[str, Scorer] | None = None) -> DataFrame:
+def validate_and_refine(questions: DataFrame, question_type: str = "open", mode: str = "full", scorer=stub_validation, levels: dict[str, Scorer] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Validates all, then refines and validates again those that fail, at most MAX_RETRIES times and in full mode only.
 
     Levels are assessed once, by a scorer for each, and not again after a refinement. Each pass is a filter, the scorers, and a union; what the
     scorers of a pass said is written, so that none is asked again for it, whatever becomes of the executors.
+    Columns to carry go through, so that rows of one id stay apart.
     """
     todo = assessed(questions.withColumn("retry_count", F.lit(0)), levels or {name: stub_level(name) for name in LEVELS})
-    columns = ["doc_id", "question_type", "retry_count", "provocativeness", "difficulty", "total", "passed"]
+    columns = ["doc_id", "question_type", "retry_count", "provocativeness", "difficulty", "total", "passed", *carry]
     tried = kept(validated(todo, question_type, scorer))
     if mode != "full":
         return tried.select(*columns)

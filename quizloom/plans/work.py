@@ -182,13 +182,13 @@ def u03(spark, d):
     return t.select(F.col("generation_model").alias("model_id")).subtract(t.filter("validation_model > 2").select("validation_model"))
 
 
-@query("j15_registry_merge", f"""WITH fixed AS (SELECT range AS model_id, 'fixed' AS source FROM range(4)), probed AS (SELECT range + 2 AS model_id, 'probed' AS source FROM range(4))
+@query("j15_registry_merge", """WITH fixed AS (SELECT DISTINCT s_nationkey AS model_id, 'fixed' AS source FROM supplier), probed AS (SELECT DISTINCT c_nationkey + 5 AS model_id, 'probed' AS source FROM customer)
     SELECT coalesce(p.model_id, f.model_id) AS model_id, coalesce(p.source, f.source) AS listed, coalesce(f.source, p.source) AS looked_up FROM fixed f FULL OUTER JOIN probed p ON f.model_id = p.model_id""")
 def j15(spark, d):
     from ..sources.files import merged_registry
 
-    fixed = spark.range(4).select(F.col("id").alias("model_id"), F.lit("fixed").alias("source"))
-    probed = spark.range(2, 6).select(F.col("id").alias("model_id"), F.lit("probed").alias("source"))
+    fixed = S.table(spark, d, "supplier").select(F.col("s_nationkey").alias("model_id"), F.lit("fixed").alias("source")).distinct()
+    probed = S.table(spark, d, "customer").select((F.col("c_nationkey") + 5).alias("model_id"), F.lit("probed").alias("source")).distinct()
     return merged_registry(fixed, probed)
 
 
