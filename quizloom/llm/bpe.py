@@ -210,7 +210,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_tokens, ids, decoded) of each row, or with digests SHA-256 of the ids' bytes and of the decoded text.
 
     Decoding joins the tokens by spaces, as the vocabulary has no decoder. NULL counts as the empty text, which has no
-    ids and decodes to the empty text. Repeated rows and NULL ids stay as they are; other columns are ignored.
+    ids and decodes to the empty text. Repeated rows and NULL ids stay as they are; other columns are ignored; texts of any
+    length are encoded whole; no rows give no rows.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

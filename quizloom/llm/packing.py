@@ -162,8 +162,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     A document's ids are those of its text and an end id. Each id lies in exactly one piece; the pieces of a sequence
     stand one after the other from offset 0 and fill it, as `tiers` are powers of two. NULL and empty texts have the
-    end id alone; repeated rows and rows with a NULL id are packed as they come; other columns are ignored. Packing
-    goes on within each input partition, so that ids are never shuffled; sequence ids hold the partition's number.
+    end id alone; repeated rows and rows with a NULL id are packed as they come; other columns are ignored; texts of any
+    length are cut into windows; no rows give no rows. Packing goes on within each input partition, so that ids are never shuffled; sequence ids hold the partition's number.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -195,7 +195,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: Column | None = None,
 
 def quality_score(text: Column, model: Gam, spark) -> Column:
     """The score, 0 to 1, of each whole text. NULL and empty texts score as a text without any features. Equal texts, as in
-    repeated rows, have equal scores; no other column is looked at."""
+    repeated rows, have equal scores; no other column, so no NULL id or clashing name, is looked at; texts of any length count whole."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

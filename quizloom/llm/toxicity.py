@@ -201,7 +201,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
     """The calibrated score, 0 to 1, of each whole text; NULL and empty texts score as a text without any hit. Equal texts, as
-    in repeated rows, have equal scores; no other column is looked at."""
+    in repeated rows, have equal scores; no other column, so no NULL id or clashing name, is looked at; texts of any length count whole."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
