@@ -116,15 +116,18 @@ def lifted(rows: DataFrame) -> DataFrame:
     """Nodes with children but neither title nor content go, and their children take their place, one level below the node that
     becomes the parent.
 
-    The empty nodes of a document are joined to its rows as a map from each to its parent, which every node climbs until it
-    comes to one that stays; levels rise along a path, so that there are no more steps than levels.
+    The empty nodes of a document stand by its rows as a map from each to its parent, which every node climbs until it comes
+    to one that stays; levels rise along a path, so that there are no more steps than levels. Documents without empty nodes
+    have empty maps.
     """
+    whole = Window.partitionBy("doc_id")
     found = rows.withColumn("inner", has_children())
     found = found.withColumn("empty", F.col("parent").isNotNull() & blank(F.col("title")) & blank(F.col("content")) & F.col("inner"))
-    entries = lambda which, value: F.map_from_entries(F.collect_list(F.when(which, F.struct("node", value))))
-    maps = found.groupBy("doc_id").agg(entries(F.col("empty"), "parent").alias("up"), entries(F.col("inner") & ~F.col("empty"), "level").alias("levels"), F.max("level").alias("most"))
+    entries = lambda which, value: F.map_from_entries(F.collect_list(F.when(which, F.struct("node", value))).over(whole))
+    found = found.withColumns({"some": F.bool_or("empty").over(whole), "most": F.max("level").over(whole)})
+    found = found.withColumns({"up": entries(F.col("empty"), "parent"), "levels": entries(F.col("some") & F.col("inner") & ~F.col("empty"), "level")})
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("up"), F.col("most"))))
     climbed = F.aggregate(steps, F.col("parent"), lambda at, _: F.coalesce(F.try_element_at("up", at), at))
-    out = found.join(maps.filter(F.size("up") > 0), "doc_id", "left").filter(~F.col("empty")).withColumn("to", F.when(F.col("up").isNull(), F.col("parent")).otherwise(climbed))
+    out = found.filter(~F.col("empty")).withColumn("to", F.when(F.col("some"), climbed).otherwise(F.col("parent")))
     level = F.when(F.col("to") != F.col("parent"), F.try_element_at("levels", F.col("to")) + 1).otherwise(F.col("level"))
     return out.select("doc_id", "node", F.col("to").alias("parent"), level.cast("int").alias("level"), "title", "content")
