@@ -10,8 +10,9 @@ FIELDS = ("task", "options", "correct_answer", "provocativeness", "difficulty",
 
 
 def position_ids(questions: DataFrame, dataset: str, order: str) -> DataFrame:
-    """Ids `dataset:00000` by position, for questions that have none; the position is within the dataset."""
-    place = F.row_number().over(Window.partitionBy(dataset).orderBy(order)) - 1
+    """Ids `dataset:00000` by position, for questions that have none; the position is within the dataset. Rows of one place in the
+    order stand by their other columns, so that all runs give the same; positions of more than five digits are written whole."""
+    place = F.row_number().over(Window.partitionBy(dataset).orderBy(order, *[c for c in questions.columns if c not in (dataset, order)])) - 1
     return questions.withColumn("question_id", F.format_string("%s:%05d", F.col(dataset), place))
 
 
