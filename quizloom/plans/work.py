@@ -179,7 +179,8 @@ def u02(spark, d):
 @query("u03_models_added", f"WITH {S.TASKS} SELECT generation_model AS model_id FROM tasks EXCEPT SELECT validation_model FROM tasks WHERE validation_model > 2")
 def u03(spark, d):
     t = S.tasks(spark, d)
-    return t.select(F.col("generation_model").alias("model_id")).subtract(t.filter("validation_model > 2").select("validation_model"))
+    used = t.filter("validation_model > 2").select("validation_model")
+    return t.select(F.col("generation_model").alias("model_id")).distinct().subtract(used.distinct())  # a row for each model is joined, not one for each task
 
 
 @query("j15_registry_merge", """WITH fixed AS (SELECT DISTINCT s_nationkey AS model_id, 'fixed' AS source FROM supplier), probed AS (SELECT DISTINCT c_nationkey + 5 AS model_id, 'probed' AS source FROM customer)

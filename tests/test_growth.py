@@ -15,3 +15,8 @@ def test_places_of_repeated_ids_are_fixed(spark):
         assert [r["task"] for r in sorted(got, key=lambda r: r["question_id"])] == ["z", None, "a", "b"]
     many = spark.range(100_001).select(F.lit("d").alias("dataset"), F.col("id").alias("at"))
     assert V.position_ids(many, "dataset", "at").select("question_id").distinct().count() == 100_001
+
+
+def test_models_are_distinct_before_they_are_compared(spark):
+    plan = catalogue.QUERIES["u03_models_added"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Join LeftAnti") < plan.index("Aggregate", plan.rindex("Join LeftAnti")) and plan[plan.rindex("Join LeftAnti") :].count("Aggregate") == 2
