@@ -5,12 +5,17 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sinks.shared import kept
 
@@ -84,29 +89,67 @@ def html_to_markdown(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def superscript_runs(characters: DataFrame, gap: float = 3.0, small: float = 0.85, raised: float = 1.5, context: int = 30) -> DataFrame:
-    """Of the characters of PDF pages (doc_id, page, n, char, top, bottom, size) the runs of digits set as superscripts: (doc_id, page,
-    row_no, place, left, digits), left being up to three words before the run, of so many characters at most.
+def character_pages(characters: DataFrame) -> DataFrame:
+    """Pages of PDF files (doc_id, page, chars, top, bottom, size), an array of each in the page's order n, from a row for each character."""
+    columns = ("char", "top", "bottom", "size")
+    ordered = F.array_sort(F.collect_list(F.struct("n", *columns))).alias("glyphs")
+    pages = characters.groupBy("doc_id", "page").agg(ordered)
+    return pages.select("doc_id", "page", *[F.col(f"glyphs.{c}").alias("chars" if c == "char" else c) for c in columns])
 
-    Characters are read in the page's order n; a new row of type begins where the top moves by more than the gap. A digit is a
-    superscript if it is smaller than its row's median size and stands higher than the row's median baseline.
+
+#: A page's doc_id, its page, its characters in order, and their tops, bottoms and sizes.
+Page = tuple[object, object, Sequence[str], np.ndarray, np.ndarray, np.ndarray]
+
+
+def page_arrays(batch: pa.RecordBatch) -> Iterator[Page]:
+    """The pages of a batch (doc_id, page, chars, top, bottom, size) of arrays."""
+    for doc_id, page, chars, *numbers in zip(*(batch.column(c) for c in ("doc_id", "page", "chars", "top", "bottom", "size"))):
+        yield doc_id.as_py(), page.as_py(), [c or "" for c in chars.as_py()], *(np.array(x.as_py(), float) for x in numbers)
+
+
+def page_superscripts(pages: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Page]] = page_arrays, gap: float = 3.0, small: float = 0.85, raised: float = 1.5, context: int = 30) -> DataFrame:
+    """Of pages of PDF files (doc_id, page and what `read` takes the characters from) the runs of digits set as superscripts: (doc_id,
+    page, row_no, place, left, digits), left being up to three words before the run, of so many characters at most.
+
+    Characters are in the page's order; a new row of type begins where the top moves by more than the gap. A digit is a superscript if it
+    is smaller than its row's median size and stands higher than the row's median baseline. A page is what is held at a time; its
+    characters are never rows of their own.
     """
-    down = Window.partitionBy("doc_id", "page").orderBy("n")
-    rows = characters.withColumn("new", F.coalesce((F.abs(F.col("top") - F.lag("top").over(down)) > gap).cast("int"), F.lit(0)))
-    rows = rows.withColumn("row_no", F.sum("new").over(down))
-    glyphs = F.array_sort(F.collect_list(F.struct("n", "char", "size", "bottom")))
-    lines = rows.groupBy("doc_id", "page", "row_no").agg(glyphs.alias("glyphs"), F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.col("size")))).alias("sizes"), F.sort_array(F.collect_list("bottom"), asc=False).alias("bottoms"))
-    middle = lambda name: F.get(name, F.floor(F.size(name) / 2).cast("int"))
-    lines = lines.filter(F.size("sizes") > 0).select("doc_id", "page", "row_no", "glyphs", middle("sizes").alias("size"), middle("bottoms").alias("bottom"))
-    sup = lambda g: g["char"].rlike("^[0-9]$") & (g["size"] < small * F.col("size")) & (F.col("bottom") - g["bottom"] >= raised)
-    marks = F.array_join(F.transform("glyphs", lambda g: F.when(sup(g), "1").otherwise("0")), "")
-    lines = lines.select("doc_id", "page", "row_no", F.array_join(F.transform("glyphs", lambda g: g["char"]), "").alias("line"), marks.alias("marks"))
-    begins = F.filter(F.sequence(F.lit(1), F.length("marks")), lambda i: (F.substr("marks", i, F.lit(1)) == "1") & ((i == 1) | (F.substr("marks", i - 1, F.lit(1)) == "0")))
-    found = lines.filter(F.contains("marks", F.lit("1"))).select("*", F.explode(begins).alias("place"))
-    digits = F.substr("line", "place", F.length(F.regexp_extract(F.substr("marks", "place"), "^1+", 0)))
-    before = F.regexp_replace(F.right(F.substr("line", F.lit(1), F.col("place") - 1), F.lit(context)), r"(?U)\s+$", "")
+    schema = StructType([pages.schema["doc_id"], pages.schema["page"]]).add("row_no", "long").add("place", "integer").add("before", "string").add("digits", "string")
+    form = to_arrow_schema(schema)
+
+    def found_in(chars: Sequence[str], top: np.ndarray, bottom: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        code = np.frombuffer(chars.encode("utf-32-le"), "<u4") if isinstance(chars, str) else np.fromiter((ord(c) if len(c) == 1 else 0 for c in chars), int, len(chars))
+        digit = np.flatnonzero((code >= ord("0")) & (code <= ord("9")))
+        starts = np.concatenate([[0], np.flatnonzero(np.abs(np.diff(top)) > gap) + 1])
+        for row in np.unique(np.searchsorted(starts, digit, "right") - 1).tolist():
+            a, b = int(starts[row]), int(starts[row + 1]) if row + 1 < len(starts) else len(top)
+            sizes, bottoms = size[a:b][size[a:b] > 0], bottom[a:b][~np.isnan(bottom[a:b])]
+            if not len(sizes) or not len(bottoms):
+                continue
+            own = digit[np.searchsorted(digit, a) : np.searchsorted(digit, b)]
+            middle, line = len(sizes) // 2, len(bottoms) - 1 - len(bottoms) // 2
+            median, base = np.partition(sizes, middle)[middle], np.partition(bottoms, line)[line]
+            up = own[(size[own] < small * median) & (base - bottom[own] >= raised)]
+            for run in np.split(up, np.flatnonzero(np.diff(up) > 1) + 1) if len(up) else ():
+                first, last = int(run[0]), int(run[-1])
+                yield row, first - a + 1, "".join(chars[max(a, first - context) : first])[-context:], "".join(chars[first : last + 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc_id, page, *found) for doc_id, page, *characters in read(batch) for found in found_in(*characters)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form)
+
+    found = pages.mapInArrow(run, schema)
+    before = F.regexp_replace("before", r"(?U)\s+$", "")
     left = F.regexp_extract(before, r"(?U)(\S+(?:\s\S+){0,2})\s*$", 1)
-    return found.select("doc_id", "page", "row_no", "place", left.alias("left"), digits.alias("digits"))
+    return found.select("doc_id", "page", "row_no", "place", left.alias("left"), "digits")
+
+
+def superscript_runs(characters: DataFrame, **limits: float) -> DataFrame:
+    """The superscripts of pages whose characters are rows (doc_id, page, n, char, top, bottom, size)."""
+    return page_superscripts(character_pages(characters), **limits)
 
 
 def footnote_words(runs: DataFrame) -> DataFrame:
