@@ -1,6 +1,6 @@
 """Scorers, where a language model would be called, and the bounded loop of validation and refinement.
 
-A scorer is a function from a batch of rows to as many texts. It runs within mapInPandas, so that Spark deals the calls
+A scorer is a function from a batch of rows to as many texts. It runs within mapInArrow, so that Spark deals the calls
 out; what comes back is text, and everything about it is parsed and decided by column expressions.
 """
 
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from . import scoring as P
 Scorer = Callable[[pd.DataFrame], list]
 
 MAX_RETRIES = 2
+#: Rows that a scorer is asked for at a time; only so many are ever objects of Python.
+ASKED = 256
 
 
 class TimeoutInScorer(Exception):
@@ -48,25 +51,30 @@ def asked(batch: pd.DataFrame, scorer: Scorer, retries: int) -> tuple[list, list
     return answers, errors, times
 
 
-def scored(rows: DataFrame, scorer: Scorer | dict[str, Scorer], column: str = "answer", retries: int = 2, attempts: str | None = None) -> DataFrame:
+def scored(rows: DataFrame, scorer: Scorer | dict[str, Scorer], column: str = "answer", retries: int = 2, attempts: str | None = None, apart: bool = False) -> DataFrame:
     """Rows with the scorer's text in a column and, where it failed for good, its words in `error`; with `attempts` also how often a
-    row was asked about. Several scorers, by their columns, are asked one after the other for each batch, in one pass; the
-    first error counts."""
+    row was asked about. Several scorers, by their columns, are asked one after the other for each batch, in one pass, by one Python worker;
+    the first error counts, or `<column>_error` has each one's if they are to be kept apart."""
     scorers = scorer if isinstance(scorer, dict) else {column: scorer}
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made, errors, times = {}, [None] * len(batch), [0] * len(batch)
-            for name, one in scorers.items():
-                made[name], wrong, calls = asked(batch, one, retries)
-                errors = [a if a is not None else b for a, b in zip(errors, wrong)]
-                times = [a + b for a, b in zip(times, calls)]
-            made["error"] = errors
-            yield batch.assign(**made | ({attempts: times} if attempts else {}))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ASKED):
+                part = whole.slice(first, ASKED)
+                batch, made, errors, times = part.to_pandas(), {}, [None] * part.num_rows, [0] * part.num_rows
+                for name, one in scorers.items():
+                    answers, wrong, calls = asked(batch, one, retries)
+                    made[name] = pa.array([a if a is None else str(a) for a in answers], pa.string())
+                    if apart:
+                        made[f"{name}_error"] = pa.array(wrong, pa.string())
+                    errors = [a if a is not None else b for a, b in zip(errors, wrong)]
+                    times = [a + b for a, b in zip(times, calls)]
+                made = dict(zip(part.schema.names, part.columns)) | made | {"error": pa.array(errors, pa.string())} | ({attempts: pa.array(times, pa.int32())} if attempts else {})
+                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
     counted = f", `{attempts}` int" if attempts else ""
-    return rows.mapInPandas(run, f"{kinds}, {', '.join(f'`{c}` string' for c in scorers)}, error string{counted}")
+    return rows.mapInArrow(run, f"{kinds}, {', '.join(f'`{c}` string' for one in scorers for c in ((one, f'{one}_error') if apart else (one,)))}, error string{counted}")
 
 
 def stub_validation(block: str, n: int, salt: int = 0) -> Scorer:
@@ -98,14 +106,13 @@ def stub_level(column: str) -> Scorer:
 def assessed(rows: DataFrame, scorers: dict[str, Scorer], bounds: dict[str, tuple[int, int]] = LEVELS) -> DataFrame:
     """Rows with a level for each scorer's column, from answers such as {"level": 2}, and what went wrong, in `<column>_error`: the
     scorer's failure, an answer without a whole number, or a level out of bounds, for each of which the level is NULL."""
-    out = rows
-    for column, scorer in scorers.items():
+    out = scored(rows, {f"__{column}": scorer for column, scorer in scorers.items()}, apart=True).drop("error")
+    for column in scorers:
         low, high = bounds[column]
-        out = scored(out, scorer, "__answer").withColumnRenamed("error", "__error")
-        level = F.get_json_object(T.literal_python(F.col("__answer")), "$.level").try_cast("int")
+        error, level = F.col(f"__{column}_error"), F.get_json_object(T.literal_python(F.col(f"__{column}")), "$.level").try_cast("int")
         good = level.between(low, high)
-        wrong = F.when(F.col("__error").isNotNull(), F.col("__error")).when(level.isNull(), "no level").when(~good, F.concat(F.lit("level out of bounds: "), level.cast("string")))
-        out = out.withColumns({column: F.when(good, level), f"{column}_error": wrong}).drop("__answer", "__error")
+        wrong = F.when(error.isNotNull(), error).when(level.isNull(), "no level").when(~good, F.concat(F.lit("level out of bounds: "), level.cast("string")))
+        out = out.withColumns({column: F.when(good, level), f"{column}_error": wrong}).drop(f"__{column}", f"__{column}_error")
     return out
 
 

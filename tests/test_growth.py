@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quizloom.operators import scorers as R
 from quizloom.operators import versions as V
 from quizloom.plans import catalogue
 from quizloom.sources import files as D
@@ -34,3 +35,14 @@ def test_characters_of_pages_are_never_rows(spark):
     rows = [(7, 0, n, c, 20.0 * (n > 4), bottom - 3.0 * (size < 12), size) for n, (c, bottom, size) in enumerate(chars)][::-1]
     found = D.superscript_runs(spark.createDataFrame(rows, "doc_id long, page long, n long, char string, top double, bottom double, size double"))
     assert sorted(map(tuple, found.collect())) == [(7, 0, 0, 2, "a b", "12"), (7, 0, 1, 2, "y", "4")]
+
+
+def test_scorers_see_few_rows_at_a_time_and_share_a_worker(spark):
+    def sized(batch):
+        return [f"{{'level': {min(3, 1 + len(batch) // R.ASKED)}}}" if len(batch) <= R.ASKED else ValueError(f"{len(batch)} rows")] * len(batch)
+
+    rows = spark.range(1500).coalesce(1).select(F.col("id").alias("doc_id"))
+    found = R.assessed(rows, {"provocativeness": sized, "difficulty": lambda batch: ["3"] * len(batch)})
+    assert found.columns == ["doc_id", "provocativeness", "provocativeness_error", "difficulty", "difficulty_error"]
+    assert found.filter("provocativeness_error IS NOT NULL").count() == 0 and found.filter("difficulty_error = 'no level'").count() == 1500
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
