@@ -31,6 +31,14 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, of few of them at a time: a bit is set if over half of them have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: str | None, width: int = 4) -> int:
     """The 64-bit SimHash of a text as an unsigned integer.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import cut, small_batches, written
 from .components import components, grouped, merged
-from .fingerprint import SEED
+from .fingerprint import SEED, simhash_of
 
 WIDTH, PERCENT = 3, 90
 #: Counters of shingles, which fix the order of all shingles, the rare ones first; the rows in which they are summed up.
@@ -170,18 +170,19 @@ class Fields:
         return out
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, simhashes: bool = False) -> DataFrame:
     """(id, digest, n, cls, parity, wide, prefix) of each row: the size of its set, 128 bits that tell the set from others, its parities
-    and its rarest shingles; without the last three where equal sets alone can link."""
+    and its rarest shingles; without the last three where equal sets alone can link. With simhashes, the set's SimHash as fp besides."""
     text = F.col(text_col)
     counts = docs.sparkSession.sparkContext.broadcast(counts_of(docs.select(text), width))
     plain = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text"))
     schema = StructType([plain.schema["id"], plain.schema["digest"]]).add("n", "long").add("cls", "binary").add("parity", "binary").add("wide", "binary").add("prefix", ArrayType(LongType()))
+    schema = schema.add("fp", "long") if simhashes else schema
     form = to_arrow_schema(schema)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, parity, wide, prefix = [], [], [], [], []
+            n, cls, parity, wide, prefix, fp = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 x = shingles(text, width)
                 n.append(len(x))
@@ -197,7 +198,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
                 wide.append(field(x) if not alone and wide_bits(len(x)) > BITS else None)
                 if alone:
                     prefix.append(None)
-            columns = [batch.column("id"), batch.column("digest"), n, cls, parity, wide, prefix]
+                if simhashes:
+                    fp.append(simhash_of(x))
+            columns = [batch.column("id"), batch.column("digest"), n, cls, parity, wide, prefix, *([np.array(fp, np.uint64).view(np.int64)] if simhashes else ())]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, form)], schema=form)
 
     return plain.mapInArrow(shingled, schema)
@@ -534,12 +537,15 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col:
     return found.mapInArrow(shingled, "cls binary, shingles binary")
 
 
-def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, pivots: int = 0) -> DataFrame:
+def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, pivots: int = 0, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row (id, digest, n, cls, component_id, group) for each row of docs: the group is the same for all that links tie together,
-    which the least id alone would not tell where ids are repeated. Rows without shingles are one group here."""
+    which the least id alone would not tell where ids are repeated. Rows without shingles are one group here.
+
+    near, if given, makes (cell, cls, pos) from (cls, n, fp), the SimHashes of classes: what it puts together is searched in the first round.
+    """
     with small_batches(docs.sparkSession, BATCH):
-        rows = written(sets_of(docs, id_col, text_col, width, percent))
-        first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")]
+        rows = written(sets_of(docs, id_col, text_col, width, percent, near is not None))
+        first = [F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix", *(["fp"] if near else ()))]
         distinct = cut(rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "digest")).alias("one"), *first))
         classes = distinct.filter("prefix IS NOT NULL")
         postings = cut(shared_postings(classes, percent))
@@ -548,7 +554,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
             survivors = written(promising(cells, classes, percent, pivots))
             return cut(found_links(survivors, labels, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
 
-        labels = components(links(first_cells(postings).withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
+        cells = first_cells(postings)
+        if near:
+            cells = cells.unionByName(near(classes.select("cls", "n", "fp")))
+        labels = components(links(cells.withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
         ties = links(crossing_cells(postings, labels), labels)
         of = labels.withColumnRenamed("label", "own")
         named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components, grouped, merged
 from .fingerprint import PIVOTS, fingerprint, pivot_fingerprints, signed
-from .jaccard_join import linked
+from .jaccard_join import chunk_of, chunks, linked
 
 RADIUS = 4
 #: Keys of candidates have so many bits beyond the binary logarithm of the number of fingerprints, about.
@@ -125,6 +125,29 @@ def clusters(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return merged(labels, tied)
 
 
+def leaders(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, leader): of the distinct longs in column `fp` those within the radius of the least one of a bucket, and that one itself.
+
+    Buckets are those of candidates. Keys and fingerprints alone are shuffled, the distances to the pivots are made again from them.
+    """
+    keyed = candidates(fingerprints, radius, blocks_for(fingerprints.count(), radius)).select("key", "fp")
+    buckets = keyed.groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = keyed.join(buckets, "key").filter("fp <> leader").select("fp", "leader").distinct()
+    tables = [c.alias(f"{side}pivots{i}") for side in ("", "leader_") for i, c in enumerate(pivot_table(F.col("leader" if side else "fp")))]
+    star = met.select("fp", F.col("leader").alias("leader_fp"), *tables).filter(near("", "leader_", radius))
+    return star.select(F.explode(F.array("fp", "leader_fp")).alias("fp"), F.col("leader_fp").alias("leader")).distinct()
+
+
+def near_cells(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(cell, cls, pos) of sets (cls, n, fp) whose SimHashes are equal or near that of one leader; many are dealt into chunks. Every place is the first,
+    which rules out no pair."""
+    equal = classes.groupBy("fp").agg(F.count("*").alias("times")).filter("times > 1").select("fp", F.col("fp").alias("leader"))
+    led = cut(leaders(classes.select("fp").distinct(), radius))
+    star = cut(classes.join(led.union(equal.join(led, "fp", "left_anti")), "fp").select("leader", "cls", "n"))
+    sizes = star.groupBy("leader").agg(chunks(F.count("*"), F.sum("n")).alias("chunks"))
+    return star.join(sizes, "leader").select(F.xxhash64("leader", F.lit("near"), chunk_of(F.col("chunks"))).alias("cell"), "cls", F.lit(0).alias("pos"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row (id, fp, component_id) for each row of docs.
 
@@ -144,9 +167,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its text, of rows equal in both any one. So an id that is repeated with texts of several groups may stay in each. Rows
     with a NULL id stay. All columns are kept, whatever their names; no rows give no rows.
 
-    Texts are similar by their sets of shingles, texts without words are one group. At a similarity of 0.8 SimHashes differ by five to
-    ten bits as a rule, where blocks of 64 bits find no candidates; so the rarest shingles do. The fingerprints are wider ones
-    here, parities, whose distance is never more than that of the sets: tables of their distances to the pivots discard pairs by the
+    Texts are similar by their sets of shingles, texts without words are one group. Sets whose SimHashes the tables of distances to
+    pivots put together are compared first, exactly. At a similarity of 0.8 SimHashes differ by five to ten bits as a rule, where blocks of
+    64 bits find no candidates; so what the SimHashes miss is sought through the rarest shingles. There the fingerprints are wider
+    ones, parities, whose distance is never more than that of the sets: tables of their distances to the pivots discard pairs by the
     largest difference of coordinates, what survives is compared as a whole, and then the sets are, exactly.
     """
 
@@ -156,7 +180,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return name
 
     own_id, own_digest = free("kept_id"), free("kept_digest")
-    found = linked(docs, id_col, text_col, width, percent, pivots=PIVOTS).filter(F.col("id") == F.col("component_id"))
+    found = linked(docs, id_col, text_col, width, percent, pivots=PIVOTS, near=lambda classes: near_cells(classes)).filter(F.col("id") == F.col("component_id"))
     kept = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("kept")).select(F.col("kept.id").alias(own_id), F.col("kept.digest").alias(own_digest)).distinct()
     digested = docs.withColumn(own_digest, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     named = digested.join(kept.withColumnRenamed(own_digest, free("kept_other")), (F.col(id_col) == F.col(own_id)) & (F.col(own_digest) == F.col(free("kept_other"))), "left_semi")

@@ -1,9 +1,12 @@
 """The pipeline's near-duplicate stage against all pairs of texts."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quizloom.llm.fingerprint import shingle_hashes, simhash
+from quizloom.llm import jaccard_join as J
+from quizloom.llm import near_duplicates as N
+from quizloom.llm.fingerprint import shingle_hashes, simhash, simhash_of
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -55,3 +58,22 @@ def test_copies_with_few_words_changed(spark):
     want = by_all_pairs(texts)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).select("doc_id").collect()} == want
     assert sum((simhash(texts[6 * i]) ^ simhash(texts[6 * i + 1])).bit_count() > 4 for i in range(40)) > 10
+
+
+def test_near_fingerprints_are_candidates_of_the_stage(spark, monkeypatch):
+    """Pairs that SimHashes put together are found by these alone, are checked exactly, and a crowd is dealt into chunks."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    near = [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join([*words[:-60], *(f"x{k}" for k in range(60))])]
+    assert len({simhash_of(J.shingles(t, 5)) for t in near}) > 1
+    texts = [*near, " ".join(f"v{k}" for k in rng.integers(0, 10**6, 2000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cells, plain = [], N.near_cells
+    monkeypatch.setattr(N, "near_cells", lambda classes: cells.append(plain(classes).collect()) or plain(classes))
+    monkeypatch.setattr(J, "first_cells", lambda postings, first=J.first_cells: first(postings).limit(0))
+    monkeypatch.setattr(J, "crossing_cells", lambda postings, labels, crossing=J.crossing_cells: crossing(postings, labels).limit(0))
+    assert {r["doc_id"] for r in N.keep_one_of_each(docs).collect()} == {0, 3}
+    assert len(cells) == 1 and len({r["cls"] for r in cells[0]}) == 3
+    crowd = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("cls"), F.lit(3).alias("n"), (1 + F.col("id") % 2).alias("fp"))
+    dealt = plain(crowd).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in dealt) == 5000 and len(dealt) == 3
