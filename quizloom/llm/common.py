@@ -65,3 +65,11 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def hand_few(spark: SparkSession, rows: int) -> None:
+    """From now on no more rows at a time are handed to Python workers in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))

@@ -77,3 +77,18 @@ def test_near_fingerprints_are_candidates_of_the_stage(spark, monkeypatch):
     crowd = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("cls"), F.lit(3).alias("n"), (1 + F.col("id") % 2).alias("fp"))
     dealt = plain(crowd).groupBy("cell").count().collect()
     assert sum(r["count"] for r in dealt) == 5000 and len(dealt) == 3
+
+
+def test_stages_hand_few_texts_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+        corpus_pipeline.packing(spark, docs, SMALL)
+        assert spark.conf.get(name) == "500"
+        spark.conf.set(name, "100")
+        corpus_pipeline.packing(spark, docs, SMALL)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
