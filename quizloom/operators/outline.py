@@ -1,17 +1,21 @@
 """Documents as outlines: lines, blocks, heading nodes, items and chunks, as rows in document order.
 
 All steps are window, aggregation and join expressions over rows; `doc_id` is the key of every window, so that documents are the
-units of work. One pass over the tree, which attaches items to headings, is a grouped map over the node rows of a document.
+units of work. One pass over the tree, which attaches items to headings, is a map over documents, each with its node rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
@@ -372,28 +376,47 @@ def attach_items(node: Node) -> None:
     node.children = out
 
 
-def attached(rows: DataFrame) -> DataFrame:
-    """The rows of a tree (see tree.py) with items attached to headings. A document is the unit of work; its nodes are numbered anew."""
-    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *[StructField(n, ArrayType(IntegerType())) for n in ("node", "parent")], StructField("level", IntegerType()), StructField("title", StringType()), StructField("content", StringType())])
+#: Documents whose nodes a worker has as Python objects at a time.
+DOCUMENTS = 64
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, tops, known, out = frame["doc_id"].iloc[0], [], {}, []
-        for node, parent, level, title, content in sorted((tuple(n), None if p is None else tuple(p), v, t, c) for n, p, v, t, c in frame[["node", "parent", "level", "title", "content"]].itertuples(index=False)):
-            known[node] = Node(int(level), title, content)
-            (known[parent].children if parent in known else tops).append(known[node])
 
-        def walk(n: Node, parent: list[int] | None) -> None:
-            own = [len(out)]
-            out.append((doc, own, parent, n.level, n.title, n.content))
+def attached(rows: DataFrame) -> DataFrame:
+    """The rows of a tree (see tree.py) with items attached to headings. A document is the unit of work; its nodes are numbered anew.
+
+    A document's nodes are gathered into one row; a task goes through documents in Arrow batches.
+    """
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *[StructField(n, ArrayType(IntegerType())) for n in ("node", "parent")], StructField("level", IntegerType()), StructField("title", StringType()), StructField("content", StringType())])
+    form = to_arrow_schema(schema)
+
+    def of_document(nodes: list[dict]) -> Iterator[tuple]:
+        tops, known = [], {}
+        for n in nodes:
+            known[tuple(n["node"])] = node = Node(n["level"], n["title"], n["content"])
+            above = None if n["parent"] is None else known.get(tuple(n["parent"]))
+            (tops if above is None else above.children).append(node)
+        number = itertools.count()
+
+        def walk(n: Node, parent: list[int] | None) -> Iterator[tuple]:
+            own = [next(number)]
+            yield own, parent, n.level, n.title, n.content
             for c in n.children:
-                walk(c, own)
+                yield from walk(c, own)
 
         for top in tops:
             attach_items(top)
-            walk(top, None)
-        return pd.DataFrame(out, columns=["doc_id", "node", "parent", "level", "title", "content"])
-
-    return rows.groupBy("doc_id").applyInPandas(one, schema)
+            yield from walk(top, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                some = batch.slice(at, DOCUMENTS)
+                found = [list(of_document(nodes)) for nodes in some.column("nodes").to_pylist()]
+                own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                made = zip(*itertools.chain.from_iterable(found))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(own)).cast(form[0].type), *[pa.array(c, f.type) for c, f in zip(made, list(form)[1:])]], schema=form)
+
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node", "parent", F.col("level").cast("int").alias("level"), "title", "content"))).alias("nodes"))
+    return whole.mapInArrow(run, schema)
 
 
 def reshaped(rows: DataFrame) -> DataFrame:

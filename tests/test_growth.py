@@ -46,3 +46,8 @@ def test_scorers_see_few_rows_at_a_time_and_share_a_worker(spark):
     assert found.columns == ["doc_id", "provocativeness", "provocativeness_error", "difficulty", "difficulty_error"]
     assert found.filter("provocativeness_error IS NOT NULL").count() == 0 and found.filter("difficulty_error = 'no level'").count() == 1500
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_nodes_of_a_document_go_to_python_as_one_row(spark):
+    plan = catalogue.QUERIES["t12_outline_chunks"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
