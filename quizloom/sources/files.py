@@ -159,22 +159,37 @@ def footnote_words(runs: DataFrame) -> DataFrame:
     return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "left", "digits"))), lambda x: F.struct(x["left"].alias("left"), x["digits"].alias("digits"))).alias("notes"))
 
 
+#: Levels of JSON trees that one round goes down.
+ROUND = 16
+
+
 def tree_nodes(trees: DataFrame, id_col: str = "path", json_col: str = "value") -> DataFrame:
-    """Node rows (id, node_no, level, title, content) of JSON trees of any depth, by a loop over their levels: the children of all
-    nodes of a level are the next one, as variants, until none are left. A text that is no JSON has no rows; nodes are numbered
-    from 0 from top to bottom."""
-    level = trees.select(F.col(id_col).alias("id"), F.array().cast("array<int>").alias("at"), F.try_parse_json(F.col(json_col)).alias("node")).filter("node IS NOT NULL")
+    """Node rows (id, node_no, level, title, content) of JSON trees of any depth, by a loop that goes down so many levels in each
+    round. A text that is no JSON has no rows; nodes are numbered from 0 from top to bottom.
+
+    A step turns each row that holds a tree into the row of its top and rows that hold the trees below it, within the task. Only
+    a round's result is written, so that a text is not written again for each level that stands above it.
+    """
+    rows = trees.select(F.col(id_col).alias("id"), F.array().cast("array<int>").alias("at"), F.try_parse_json(F.col(json_col)).alias("node")).filter("node IS NOT NULL")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    made, held = {"level": "int", "title": "string", "content": "string"}, ("at", "node")
     text = lambda name: F.coalesce(F.try_variant_get("node", f"$.{name}", "string"), F.lit(""))
+    top = F.struct("at", nothing("variant").alias("node"), F.try_variant_get("node", "$.level", "int").alias("level"), text("title").alias("title"), text("content").alias("content"))
+    below = F.transform(
+        F.coalesce(F.try_variant_get("node", "$.children", "array<variant>"), F.array().cast("array<variant>")),
+        lambda child, i: F.struct(F.concat("at", F.array(i)).alias("at"), F.coalesce(child, F.parse_json(F.lit("null"))).alias("node"), *[nothing(kind).alias(name) for name, kind in made.items()]),
+    )
+    same = F.array(F.struct(*held, *made))
     parts = []
     while True:
-        level = kept(level)
-        if level.isEmpty():
+        rows = rows.select("id", *held, *[nothing(kind).alias(name) for name, kind in made.items()])
+        for _ in range(ROUND):
+            rows = rows.select("id", F.explode(F.when(F.col("node").isNull(), same).otherwise(F.concat(F.array(top), below))).alias("n")).select("id", "n.*")
+        rows = kept(rows)
+        parts.append(rows.filter("node IS NULL").select("id", "at", *made))
+        rows = rows.filter("node IS NOT NULL").select("id", *held)
+        if rows.isEmpty():
             break
-        parts.append(level.select("id", "at", F.try_variant_get("node", "$.level", "int").alias("level"), text("title").alias("title"), text("content").alias("content")))
-        children = level.select("id", "at", F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("i", "child"))
-        level = children.select("id", F.concat("at", F.array("i")).alias("at"), F.col("child").alias("node"))
-    if not parts:
-        return trees.select(F.col(id_col).alias("id"), F.lit(0).alias("node_no"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit("").alias("content")).limit(0)
     order = Window.partitionBy("id").orderBy("at")
     return reduce(lambda a, b: a.unionByName(b), parts).select("id", (F.row_number().over(order) - 1).alias("node_no"), "level", "title", "content")
 

@@ -51,3 +51,18 @@ def test_scorers_see_few_rows_at_a_time_and_share_a_worker(spark):
 def test_nodes_of_a_document_go_to_python_as_one_row(spark):
     plan = catalogue.QUERIES["t12_outline_chunks"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_levels_of_trees_are_not_written_one_by_one(spark, monkeypatch):
+    writes, plain = [], D.kept
+    monkeypatch.setattr(D, "kept", lambda rows: writes.append(1) or plain(rows))
+    deep = '{"level": 39, "title": "t39"}'
+    for level in range(38, -1, -1):
+        deep = f'{{"level": {level}, "title": "t{level}", "children": [{deep}, null]}}'
+    trees = spark.createDataFrame([("a", deep), ("b", '{"title": "x", "children": [1, {"level": "2", "content": "c"}]}'), ("c", "{")], "path string, value string")
+    found = {}
+    for r in D.tree_nodes(trees).orderBy("id", "node_no").collect():
+        found.setdefault(r["id"], []).append((r["node_no"], r["level"], r["title"], r["content"]))
+    assert found["a"] == [(i, i, f"t{i}", "") for i in range(40)] + [(i, None, "", "") for i in range(40, 79)]
+    assert found["b"] == [(0, None, "x", ""), (1, None, "", ""), (2, 2, "", "c")] and set(found) == {"a", "b"}
+    assert len(writes) == 3
