@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -314,22 +313,29 @@ class Field:
         pairs[:, OUTSIDE] += marginal[rows, lengths - 1].sum(axis=0)
         return marginal, pairs
 
-    def fit(self, data: list[tuple[list[list[str]], list[int]]], seed: int = 0) -> None:
-        """Gradient steps on the likelihood, each weight with a rate of its own that falls with its gradients, and a ridge."""
-        counts = Counter(f for features, _ in data for own in features for f in own)
-        self.index = {f: i for i, f in enumerate((f for f, n in counts.items() if n >= min(LEAST_COUNT, len(data))), 1)}
+    def fit(self, data: Iterable[tuple[list[list[str]], list[int]]], seed: int = 0) -> None:
+        """Gradient steps on the likelihood, each weight with a rate of its own that falls with its gradients, and a ridge.
+
+        Of the data, which is gone through once, features are kept as numbers: as texts they would be hundreds of MB of the driver's.
+        """
+        numbers: dict[str, int] = {}
+        chains = [(np.fromiter((numbers.setdefault(f, len(numbers)) for own in features for f in own), np.int32), np.fromiter(map(len, features), np.int32), np.array(tags, np.int8)) for features, tags in data]
+        counts = np.bincount(np.concatenate([flat for flat, _, _ in chains]), minlength=len(numbers))
+        often = counts >= min(LEAST_COUNT, len(chains))
+        known = np.where(often, np.cumsum(often), 0)
+        self.index = {f: int(known[i]) for f, i in numbers.items() if often[i]}
+        del numbers
         self.weights = np.zeros((len(self.index) + 1, 3))
-        width, depth = max(len(tags) for _, tags in data), max(len(own) for features, _ in data for own in features)
-        ids, gold = np.zeros((len(data), width, depth), np.int32), np.zeros((len(data), width), np.int8)
-        lengths = np.array([len(tags) for _, tags in data])
-        for k, (features, tags) in enumerate(data):
+        width, depth = max(len(tags) for _, _, tags in chains), max(int(each.max()) for _, each, _ in chains)
+        ids, gold = np.zeros((len(chains), width, depth), np.int32), np.zeros((len(chains), width), np.int8)
+        lengths = np.array([len(tags) for _, _, tags in chains])
+        for k, (flat, each, tags) in enumerate(chains):
             gold[k, : len(tags)] = tags
-            for i, own in enumerate(features):
-                ids[k, i, : len(own)] = [self.index.get(f, 0) for f in own]
+            ids[k, : len(each)][np.arange(depth) < each[:, None]] = known[flat]
         seen, seen_moves = np.full(self.weights.shape, 1e-3), np.full((3, 3), 1e-3)
         order = np.random.default_rng(seed)
         for _ in range(EPOCHS):
-            for at in np.array_split(order.permutation(len(data)), -(-len(data) // BATCH)):
+            for at in np.array_split(order.permutation(len(chains)), -(-len(chains) // BATCH)):
                 own, n = ids[at], lengths[at]
                 emissions = self.weights[own].sum(axis=2)
                 marginal, pairs = self.expectations(emissions, n)
@@ -494,13 +500,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
             yield pd.DataFrame(rows, columns=["kind", "tokens", "codes", "file", "tags"])
 
     got = cut(texts.mapInPandas(run, "kind string, tokens array<string>, codes array<int>, file int, tags array<int>").distinct())
-    data = []
-    for kind, limit in FIT_WINDOWS.items():
-        ranked = got.filter(F.col("kind") == kind).orderBy(F.xxhash64("tokens"), "tokens", "codes", "tags").limit(limit).collect()
-        data += [(window_features(r["tokens"], r["codes"], r["file"]), r["tags"]) for r in ranked]
+
+    def chosen_windows() -> Iterator[tuple[list[list[str]], list[int]]]:
+        for kind, limit in FIT_WINDOWS.items():
+            for r in got.filter(F.col("kind") == kind).orderBy(F.xxhash64("tokens"), "tokens", "codes", "tags", "file").limit(limit).collect():
+                yield window_features(r["tokens"], r["codes"], r["file"]), r["tags"]
+
     field = Field()
-    if data:
-        field.fit(data)
+    if not got.isEmpty():
+        field.fit(chosen_windows())
     return field
 
 
