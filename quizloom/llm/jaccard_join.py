@@ -25,12 +25,16 @@ COUNTERS, SLICES = 1 << 20, 64
 BITS = 1024
 #: A cell with so many times more promising pairs than members is searched as it is; in others each pair is, in one cell only.
 DENSE = 8
-#: Classes whose texts are fetched by a broadcast of their ids, 60 bytes each; more are fetched by a shuffle of the texts.
+#: Classes whose texts, and rows of cells whose wide fields, are fetched by a broadcast of their ids, 60 bytes each; more are fetched by a shuffle of the
+#: texts or fields.
 FEW = 200_000
 #: Bits by which shingles of several prefixes are known before they are shuffled: 8 MB.
 MARKS = 1 << 26
 #: Members of a cell, and shingles of them, about: what one task holds at a time.
 CELL, CELL_SHINGLES = 2048, 1 << 22
+#: Sizes of sets are dealt into groups, each from SPAN times the beginning of the one before, where sets that link are at least so similar in
+#: percent; below, a set would stand in two groups and more as a rule.
+SPAN, GROUPED = 1.25, 88
 #: DivideSkip's weight of a probe of a long list against a step of the merge of the short ones.
 PROBE = 0.0085
 
@@ -237,31 +241,64 @@ def bitmap_of(tokens: DataFrame, bits: int = MARKS) -> np.ndarray:
     return out.ravel()
 
 
+def group_edges(most: int = 1 << 40) -> np.ndarray:
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * SPAN)))
+    return np.array(edges)
+
+
+EDGES = group_edges()
+
+
+def keyed(prefix: pa.ListArray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of prefixes of sets of so many shingles, a row for each token and group of sizes: the number of the set, the token's place, the key of both, whether
+    the group is the set's own. A set stands in the groups of all smaller ones that it can link with, so that two that link share the own group
+    of the smaller one."""
+    tokens, lengths = prefix.flatten().to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(n)), lengths)
+    pos = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if percent < GROUPED:
+        return own, pos, tokens, np.ones(len(own), bool)
+    first, last = (np.searchsorted(EDGES, x, "right") for x in (-(-percent * n // 100), n))
+    times = (last - first + 1)[own]
+    row = np.repeat(np.arange(len(own)), times)
+    group = first[own[row]] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    key = (tokens[row].view(np.uint64) ^ group.astype(np.uint64) * PLACES[0]) * PLACES[1]
+    key ^= key >> np.uint64(32)
+    return own[row], pos[row], key.view(np.int64), group == last[own[row]]
+
+
 def shared_postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, pos, members, weight): the inverted lists of the prefixes, as far as at least two classes stand in them; lists of
-    two, which most are, only if sizes and places let these two link.
+    """(token, cls, n, pos, members, weight): the inverted lists of the prefixes by groups of sizes, as far as at least two classes stand in them, one
+    in its own group; lists of two, which most are, only if sizes and places let these two link.
 
-    Most shingles of a prefix stand in one class alone. Those that do not are found by counts, and a map of bits of them cuts the
-    prefixes down before they are shuffled; where bits are shared by chance, the counts of the lists tell.
+    Most keys of a prefix stand in one class alone. Those that do not are found by counts, and a map of bits of them cuts the
+    prefixes down before they are shuffled; where bits are shared by chance, the counts of the lists tell. Without groups, classes of
+    all sizes that share a shingle by chance would fill the lists, ever more of them to a class the more texts there are.
     """
-    shared = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
-    known = classes.sparkSession.sparkContext.broadcast(bitmap_of(shared))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keyed(batch.column("prefix"), batch.column("n").to_numpy(), percent)[2])], ["token"])
+
+    counted = classes.select("n", "prefix").mapInArrow(keys, "token long").groupBy("token").agg(F.count("*").alias("times"))
+    known = classes.sparkSession.sparkContext.broadcast(bitmap_of(counted.filter("times > 1").select("token")))
 
     def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = known.value
         for batch in batches:
-            lists = batch.column("prefix")
-            tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            own, pos, tokens, home = keyed(batch.column("prefix"), batch.column("n").to_numpy(), percent)
             at = tokens.view(np.uint64) % np.uint64(len(marks) * 8)
             kept = np.flatnonzero(marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            own = np.searchsorted(ends, kept, "right")
-            pos = kept - np.concatenate([[0], ends])[own]
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(pos.astype(np.int32)), pa.array(tokens[kept])], ["cls", "n", "pos", "token"])
+            own = pa.array(own[kept])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(own), batch.column("n").take(own), pa.array(pos[kept].astype(np.int32)), pa.array(tokens[kept]), pa.array(home[kept])], ["cls", "n", "pos", "token", "home"])
 
-    postings = cut(classes.select("cls", "n", "prefix").mapInArrow(cut_down, "cls binary, n long, pos int, token long"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("rest"))
+    postings = cut(classes.select("cls", "n", "prefix").mapInArrow(cut_down, "cls binary, n long, pos int, token long, home boolean"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("rest"), F.max("home").alias("home"))
     able = (100 * (F.col("weight") - F.col("most")) >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * F.col("weight"))
-    return postings.join(lists.filter((F.col("members") > 2) | ((F.col("members") == 2) & able)).drop("most", "rest"), "token")
+    lists = lists.filter(F.col("home") & ((F.col("members") > 2) | ((F.col("members") == 2) & able)))
+    return postings.drop("home").join(lists.select("token", "members", "weight"), "token")
 
 
 def chunks(members: Column, weight: Column) -> Column:
@@ -398,7 +435,8 @@ def promising(cells: DataFrame, classes: DataFrame, percent: int, pivots: int =
 
     narrow = cells.join(classes.select("cls", "n", F.col("parity").alias("field")), "cls")
     first = written(by_cell(narrow, "n").mapInArrow(sift, StructType([cells.schema[c] for c in form.names])))
-    wide = first.join(classes.select("cls", "n", F.coalesce("wide", "parity").alias("field")), "cls")
+    left = F.broadcast(first) if first.count() <= FEW else first
+    wide = left.join(classes.select("cls", "n", F.coalesce("wide", "parity").alias("field")), "cls")
     pairs = by_cell(wide, "n").mapInArrow(pair, "a binary, b binary, cell long")
     chosen = pairs.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("cell")).alias("own")).agg(F.min("cell").alias("cell"))
     return chosen.select("cell", F.explode(F.array_compact(F.array("a", "b"))).alias("cls")).distinct()

@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quizloom.llm import jaccard_join as J
@@ -168,3 +169,21 @@ def test_query_on_given_rows(spark):
     found = op12_jaccard_join(spark, "/root/testdata/sf0.001").collect()
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == plain(rows)
+
+
+def test_sets_that_link_share_the_group_of_the_smaller():
+    for percent in (88, 90, 95):
+        for a in [*range(9, 400), 5000, 99_999]:
+            for b in {a, (a + a * 100 // percent) // 2, a * 100 // percent}:  # as large as may link with a, at most
+                prefixes = pa.array([[7, 8], [8]], pa.list_(pa.int64()))
+                own, pos, key, home = J.keyed(prefixes, np.array([a, b]), percent)
+                mine = set(key[(own == 0) & (pos == 1) & home])
+                assert len(mine) == 1 and mine <= set(key[own == 1])
+
+
+def test_sizes_keep_texts_that_cannot_link_out_of_a_list(spark):
+    prefix = [[int(v)] for v in [5] * 40 + [6] * 2]
+    sizes = [9 * 2 ** (k % 20) for k in range(40)] + [100, 108]
+    classes = spark.createDataFrame([(bytes([k]), n, p) for k, (n, p) in enumerate(zip(sizes, prefix))], "cls binary, n long, prefix array<long>")
+    found = J.shared_postings(classes, 90).collect()
+    assert {r["members"] for r in found} == {2} and len(found) == 42  # 40 of one shingle, two of each size
