@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -216,7 +218,7 @@ def digest(text: Column) -> Column:
 
 def bitmap_of(tokens: DataFrame, bits: int = MARKS) -> np.ndarray:
     """One bit for each remainder of the tokens modulo the bits; partitions mark their own, slices of which are put together on the way.
-    Of a fixed size however many tokens there are."""
+    Of a fixed size however many tokens there are; a partition's slices, of which few bits are set, are written compressed."""
     each = bits // SLICES // 8
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,19 +227,19 @@ def bitmap_of(tokens: DataFrame, bits: int = MARKS) -> np.ndarray:
             at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
             np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         some = [k for k in range(SLICES) if marks[k * each : (k + 1) * each].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([marks[k * each : (k + 1) * each].tobytes() for k in some], pa.binary())], ["slice", "marks"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(marks[k * each : (k + 1) * each].tobytes(), 1) for k in some], pa.binary())], ["slice", "marks"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole[k] = whole.get(k, 0) | np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], ["slice", "marks"])
+                whole[k] = whole.get(k, 0) | np.frombuffer(zlib.decompress(x), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in whole.values()], pa.binary())], ["slice", "marks"])
 
     schema = "slice int, marks binary"
     out = np.zeros((SLICES, each), np.uint8)
     for row in tokens.mapInArrow(local, schema).repartition("slice").mapInArrow(joined, schema).collect():
-        out[row["slice"]] = np.frombuffer(row["marks"], np.uint8)
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["marks"]), np.uint8)
     return out.ravel()
 
 
@@ -579,7 +581,8 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     """One row (id, digest, n, cls, component_id, group) for each row of docs: the group is the same for all that links tie together,
     which the least id alone would not tell where ids are repeated. Rows without shingles are one group here.
 
-    near, if given, makes (cell, cls, pos) from (cls, n, fp), the SimHashes of classes: what it puts together is searched in the first round.
+    near, if given, makes (cell, token, cls, n, pos) from (cls, n, fp), the SimHashes of classes: more lists, whose cells are searched in the first
+    round and which, as the others, are gone through in the second, so that each two classes of one end up tied or compared.
     """
     with small_batches(docs.sparkSession, BATCH):
         rows = written(sets_of(docs, id_col, text_col, width, percent, near is not None))
@@ -592,11 +595,13 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
             survivors = written(promising(cells, classes, percent, pivots))
             return cut(found_links(survivors, labels, shingles_of(docs, survivors, classes, id_col, text_col, width), percent))
 
-        cells = first_cells(postings)
+        cells, lists = first_cells(postings), [postings]
         if near:
-            cells = cells.unionByName(near(classes.select("cls", "n", "fp")))
+            lists.append(cut(near(classes.select("cls", "n", "fp"))))
+            cells = cells.unionByName(lists[1].select("cell", "cls", "pos"))
         labels = components(links(cells.withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
-        ties = links(crossing_cells(postings, labels), labels)
+        # each by itself: together they would lose the order by token in which the postings are dealt out, and be shuffled again
+        ties = links(reduce(DataFrame.unionByName, [crossing_cells(x, labels) for x in lists]), labels)
         of = labels.withColumnRenamed("label", "own")
         named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
         named = named.select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))

@@ -43,6 +43,10 @@ def pivot_table(fp: Column, mask: int = -1, bits: int = 8) -> list[Column]:
     return packed
 
 
+def pivots_of(fp: str, side: str = "") -> list[Column]:
+    return [c.alias(f"{side}pivots{i}") for i, c in enumerate(pivot_table(F.col(fp)))]
+
+
 def within_pivot_bound(a: str, b: str, radius: int, count: int = PIVOTS) -> Column:
     """By the triangle inequality, fingerprints within the radius differ by no more than it in any coordinate."""
 
@@ -75,8 +79,7 @@ def candidates(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
     agree = blocks - radius
     tables = fingerprints.select("fp", *[pivot_table(F.col("fp"), m, 4)[0].alias(f"block{i}") for i, m in enumerate(block_masks(blocks))])
     keys = [F.struct(F.lit(sum(1 << i for i in c)).alias("choice"), F.xxhash64(F.lit(sum(1 << i for i in c)), *[f"block{i}" for i in c]).alias("key")) for c in combinations(range(blocks), agree)]
-    whole = [c.alias(f"pivots{i}") for i, c in enumerate(pivot_table(F.col("fp")))]
-    return tables.select("fp", *whole, F.explode(F.array(*keys)).alias("k")).select("fp", "pivots0", "pivots1", "k.choice", "k.key")
+    return tables.select("fp", *pivots_of("fp"), F.explode(F.array(*keys)).alias("k")).select("fp", "pivots0", "pivots1", "k.choice", "k.key")
 
 
 def near(x: str, y: str, radius: int) -> Column:
@@ -105,47 +108,35 @@ def clusters(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     Links are not all written. Fingerprints that meet share a bucket; each is compared with the bucket's leader, and what is
     linked is contracted. Then those of a bucket that are not in its leader's component are compared with the members in
     other components, and what is linked is written once for each two components. So each two of a bucket are in one
-    component or compared, and no more rows are written than fingerprints stand in buckets.
+    component or compared, and no more rows are written than fingerprints stand in buckets. Keys and fingerprints alone are shuffled
+    for the buckets, the distances to the pivots are made again from them.
     """
-    keyed = candidates(fingerprints, radius, blocks_for(fingerprints.count(), radius))
-    first = F.min(F.struct(F.xxhash64("key", "fp").alias("hash"), "fp", "pivots0", "pivots1")).alias("first")
-    buckets = keyed.groupBy("key").agg(first, F.count("*").alias("n")).filter("n > 1")
-    leaders = buckets.select("key", *[F.col(f"first.{c}").alias(f"leader_{c}") for c in ("fp", "pivots0", "pivots1")])
-    members = cut(keyed.join(leaders, "key").drop("choice"))
-    star = members.filter((F.col("fp") != F.col("leader_fp")) & near("", "leader_", radius))
+    keyed = candidates(fingerprints, radius, blocks_for(fingerprints.count(), radius)).select("key", "fp")
+    by_hash = F.col("fp").bitwiseXOR(F.col("key"))  # another order in each bucket
+    buckets = keyed.groupBy("key").agg(F.min(by_hash).bitwiseXOR(F.col("key")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = cut(keyed.join(buckets, "key"))
+    met = members.filter("fp <> leader").select("fp", "leader").distinct()
+    star = met.select("fp", F.col("leader").alias("leader_fp"), *pivots_of("fp"), *pivots_of("leader", "leader_")).filter(near("", "leader_", radius))
     labels = components(star.select(F.least("fp", "leader_fp").alias("a"), F.greatest("fp", "leader_fp").alias("b")).distinct())
     of = labels.select(F.col("node").alias("fp"), F.col("label").alias("own"))
-    of_leader = labels.select(F.col("node").alias("leader_fp"), F.col("label").alias("leading"))
-    named = members.join(of, "fp", "left").join(of_leader, "leader_fp", "left")
-    named = named.select("key", "fp", "pivots0", "pivots1", F.coalesce("own", "fp").alias("own"), F.coalesce("leading", "leader_fp").alias("leading"))
-    rest = cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi"))
+    of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("leading"))
+    named = members.filter("n > 2").join(of, "fp", "left").join(of_leader, "leader", "left")
+    named = named.select("key", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("leading", "leader").alias("leading"))
+    rest = cut(named.join(named.filter("own <> leading").select("key").distinct(), "key", "left_semi")).select("*", *pivots_of("fp"))
     x, y = rest.filter("own <> leading").alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.leading")) | (F.col("x.fp") < F.col("y.fp")))
     tied = x.join(y, apart & near("x.", "y.", radius)).select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
     return merged(labels, tied)
 
 
-def leaders(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, leader): of the distinct longs in column `fp` those within the radius of the least one of a bucket, and that one itself.
-
-    Buckets are those of candidates. Keys and fingerprints alone are shuffled, the distances to the pivots are made again from them.
-    """
-    keyed = candidates(fingerprints, radius, blocks_for(fingerprints.count(), radius)).select("key", "fp")
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = keyed.join(buckets, "key").filter("fp <> leader").select("fp", "leader").distinct()
-    tables = [c.alias(f"{side}pivots{i}") for side in ("", "leader_") for i, c in enumerate(pivot_table(F.col("leader" if side else "fp")))]
-    star = met.select("fp", F.col("leader").alias("leader_fp"), *tables).filter(near("", "leader_", radius))
-    return star.select(F.explode(F.array("fp", "leader_fp")).alias("fp"), F.col("leader_fp").alias("leader")).distinct()
-
-
 def near_cells(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(cell, cls, pos) of sets (cls, n, fp) whose SimHashes are equal or near that of one leader; many are dealt into chunks. Every place is the first,
-    which rules out no pair."""
-    equal = classes.groupBy("fp").agg(F.count("*").alias("times")).filter("times > 1").select("fp", F.col("fp").alias("leader"))
-    led = cut(leaders(classes.select("fp").distinct(), radius))
-    star = cut(classes.join(led.union(equal.join(led, "fp", "left_anti")), "fp").select("leader", "cls", "n"))
-    sizes = star.groupBy("leader").agg(chunks(F.count("*"), F.sum("n")).alias("chunks"))
-    return star.join(sizes, "leader").select(F.xxhash64("leader", F.lit("near"), chunk_of(F.col("chunks"))).alias("cell"), "cls", F.lit(0).alias("pos"))
+    """(cell, token, cls, n, pos) of sets (cls, n, fp) whose SimHashes are equal or tied together by links within the radius: these are one list, known by
+    its token. Long lists are dealt into chunks, which are the cells. Every place is the first, which rules out no pair."""
+    equal = classes.groupBy("fp").agg(F.count("*").alias("times")).filter("times > 1").select("fp", F.col("fp").alias("label"))
+    tied = clusters(classes.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
+    listed = cut(classes.join(tied.union(equal.join(tied, "fp", "left_anti")), "fp").select(F.xxhash64("label", F.lit("near")).alias("token"), "cls", "n"))
+    sizes = listed.groupBy("token").agg(chunks(F.count("*"), F.sum("n")).alias("chunks"))
+    return listed.join(sizes, "token").select(F.xxhash64("token", chunk_of(F.col("chunks"))).alias("cell"), "token", "cls", "n", F.lit(0).alias("pos"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -165,13 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Of each group of similar texts the row of smallest id; of several rows with that id in one group the one of least MD5 of
     its text, of rows equal in both any one. So an id that is repeated with texts of several groups may stay in each. Rows
-    with a NULL id stay. All columns are kept, whatever their names; no rows give no rows.
+    without an id, which no order sets against the others, may tie a group together, and one of them stays besides, that of least MD5.
+    All columns are kept, whatever their names; no rows give no rows.
 
     Texts are similar by their sets of shingles, texts without words are one group. Sets whose SimHashes the tables of distances to
-    pivots put together are compared first, exactly. At a similarity of 0.8 SimHashes differ by five to ten bits as a rule, where blocks of
-    64 bits find no candidates; so what the SimHashes miss is sought through the rarest shingles. There the fingerprints are wider
-    ones, parities, whose distance is never more than that of the sets: tables of their distances to the pivots discard pairs by the
-    largest difference of coordinates, what survives is compared as a whole, and then the sets are, exactly.
+    pivots tie together are lists, of which each two end up in one group or are compared, exactly. At a similarity of 0.8 SimHashes differ by
+    five to ten bits as a rule, where blocks of 64 bits find no candidates; so what the SimHashes miss is sought through the rarest shingles. There
+    the fingerprints are wider ones, parities, whose distance is never more than that of the sets: tables of their distances to the pivots discard
+    pairs by the largest difference of coordinates, what survives is compared as a whole, and then the sets are, exactly.
     """
 
     def free(name: str) -> str:
@@ -179,10 +171,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             name += "_"
         return name
 
-    own_id, own_digest = free("kept_id"), free("kept_digest")
-    found = linked(docs, id_col, text_col, width, percent, pivots=PIVOTS, near=lambda classes: near_cells(classes)).filter(F.col("id") == F.col("component_id"))
-    kept = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("kept")).select(F.col("kept.id").alias(own_id), F.col("kept.digest").alias(own_digest)).distinct()
+    own_id, own_digest, other_digest = free("kept_id"), free("kept_digest"), free("kept_other")
+    found = linked(docs, id_col, text_col, width, percent, pivots=PIVOTS, near=lambda classes: near_cells(classes)).filter(F.col("id").isNull() | (F.col("id") == F.col("component_id")))
+    least = found.groupBy("group", F.col("id").isNull()).agg(F.min(F.struct("id", "digest")).alias("kept"))
+    kept = least.select(F.col("kept.id").alias(own_id), F.col("kept.digest").alias(other_digest)).distinct()
     digested = docs.withColumn(own_digest, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    named = digested.join(kept.withColumnRenamed(own_digest, free("kept_other")), (F.col(id_col) == F.col(own_id)) & (F.col(own_digest) == F.col(free("kept_other"))), "left_semi")
-    named = named.dropDuplicates([id_col, own_digest]).drop(own_digest)
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    named = digested.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(own_digest) == F.col(other_digest)), "left_semi")
+    return named.dropDuplicates([id_col, own_digest]).drop(own_digest)

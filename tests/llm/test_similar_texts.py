@@ -79,6 +79,35 @@ def test_near_fingerprints_are_candidates_of_the_stage(spark, monkeypatch):
     assert sum(r["count"] for r in dealt) == 5000 and len(dealt) == 3
 
 
+def test_texts_that_simhashes_tie_are_all_compared(spark, monkeypatch):
+    """Without the shingles' lists: copies in several chunks of a list, and two fingerprints near each other but not near a bucket's leader."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    texts = [" ".join([*words[:at], f"x{at}", *words[at + 1 :]]) for at in range(0, 200, 5)]
+    texts.append(" ".join(f"v{k}" for k in rng.integers(0, 10**6, 2000)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(J, "CELL", 2)
+    monkeypatch.setattr(J, "shared_postings", lambda classes, percent, shared=J.shared_postings: shared(classes, percent).limit(0))
+    assert {r["doc_id"] for r in N.keep_one_of_each(docs).collect()} == {0, 40}
+    base, near = 0x0123456789ABCDEF, 0b1111 << 33
+    fps = sorted({base, *(base ^ 1 << i ^ 1 << j for i in (1, 2, 3) for j in (7, 8)), *(base ^ near ^ 0b111 << 45 ^ k for k in (0, 1, 2))})
+    classes = spark.createDataFrame([(bytes([k]), 9, f) for k, f in enumerate(fps)], "cls binary, n long, fp long")
+    token = {fps[r["cls"][0]]: r["token"] for r in N.near_cells(classes).collect()}
+    for a in fps:
+        for b in fps:
+            assert (a ^ b).bit_count() > 4 or token[a] == token[b]
+
+
+def test_rows_without_an_id_are_reduced_too(spark):
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, one, "a"), (None, one, "b"), (None, one + " x", "c"), (2, one + " y", "d"), (3, one, "e"), (None, other, "f"), (None, other, "g"), (None, None, "h"), (None, " ", "i"), (7, "", "j"), (None, "alone", "k")]
+    kept = N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [2, 7]
+    left = [r["text"] for r in kept if r["doc_id"] is None]
+    assert len(left) == 4 and len({one, one + " x"} & set(left)) == 1 and other in left and "alone" in left
+    assert sum(not (t or "").strip() for t in left) == 1
+
+
 def test_stages_hand_few_texts_to_python(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
