@@ -600,7 +600,6 @@ def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
             lists.append(cut(near(classes.select("cls", "n", "fp"))))
             cells = cells.unionByName(lists[1].select("cell", "cls", "pos"))
         labels = components(links(cells.withColumn("label", F.col("cls")), classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)))
-        # each by itself: together they would lose the order by token in which the postings are dealt out, and be shuffled again
         ties = links(reduce(DataFrame.unionByName, [crossing_cells(x, labels) for x in lists]), labels)
         of = labels.withColumnRenamed("label", "own")
         named = ties.join(of.withColumnRenamed("node", "a").withColumnRenamed("own", "c"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("own", "d"), "b", "left")
